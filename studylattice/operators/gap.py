@@ -27,6 +27,15 @@ def _level() -> Column:
     return rules.lookup(F.col("difficulty"), K.LEVEL_RANK, 2)
 
 
+def _factored_score() -> Column:
+    return F.col("score") * rules.lookup(F.col("difficulty"), K.GAP_FACTOR, 1.0)
+
+
+def gap_weighted_score(attempts: DataFrame) -> DataFrame:
+    """Score times the level's fixed factor, for every attempt."""
+    return attempts.select("log_pos", *KEYS, "difficulty", _factored_score().alias("weighted_score"))
+
+
 def forecast(attempts: DataFrame) -> DataFrame:
     """Weighted mean, slope and predicted next score, with the facts the rules below use."""
     moment = F.struct("attempt_ts", "log_pos", _level().alias("level"))
@@ -34,7 +43,7 @@ def forecast(attempts: DataFrame) -> DataFrame:
         attempts.filter("score is not null"),
         KEYS,
         _time_order(),
-        F.col("score") * rules.lookup(F.col("difficulty"), K.GAP_FACTOR, 1.0),
+        _factored_score(),
         {
             "points": (F.sum("score"), F.sum),
             "levels": (F.sum(_level()), F.sum),

@@ -157,12 +157,7 @@ def _two(name: str) -> Column:
 
 def peer_recommendation(profiles: DataFrame, weight: float = K.PEER_LAMBDA) -> DataFrame:
     """The closest other user by |difficulty gap| + weight * |score gap|; ties to the lowest id."""
-    points = profiles.select(
-        "user_id",
-        (F.lit(float(weight)) * F.col("avg_score")).alias("x"),
-        F.col("avg_difficulty").alias("y"),
-    )
-    # Only sums are compared, so scaling the score axis first gives the same distances.
-    return nearest(points, "user_id", "x", "y").select(
+    closest = nearest(profiles, "user_id", "avg_score", "avg_difficulty", weight)
+    return closest.select(
         F.col("key").alias("user_id"), F.col("peer").alias("peer_id"), F.col("distance").alias("match_score")
     )

@@ -21,19 +21,23 @@ _HUGE_EXPONENT = 600.0
 def difficulty_weights(attempts: DataFrame) -> DataFrame:
     """Weight per weighted subject and level: the base weight times one factor per attempt.
 
-    The order of attempts does not matter, so counting passes and fails is enough. Always
-    one row per entry of the base table, whatever the size of the log.
+    The order of attempts does not matter, so counting passes and fails is enough; rows that
+    carry these counts already (the stream's cells) are summed. Always one row per entry of
+    the base table, whatever the size of the log.
     """
     base = attempts.sparkSession.range(1).select(
         F.explode(F.array(*[F.lit(s) for s in K.WEIGHTED_SUBJECTS])).alias("subject")
     ).select(
         "subject", F.explode(F.array(*[F.lit(level) for level in K.LEVELS])).alias("difficulty")
     )
-    good = rules.passed()
+    if "passes" in attempts.columns:
+        tallies = {"passes": F.sum("passes"), "fails": F.sum("fails")}
+    else:
+        tallies = {"passes": F.count_if(rules.passed()), "fails": F.count_if(~rules.passed())}
     counts = (
         attempts.filter(F.col("subject").isin(*K.WEIGHTED_SUBJECTS))
         .groupBy("subject", "difficulty")
-        .agg(F.count_if(good).alias("passes"), F.count_if(~good).alias("fails"))
+        .agg(*[tally.alias(name) for name, tally in tallies.items()])
     )
     passes, fails = (F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in ("passes", "fails"))
     log_weight = (
@@ -51,14 +55,12 @@ def difficulty_weights(attempts: DataFrame) -> DataFrame:
     )
 
 
-def _weighted(attempts: DataFrame, log: DataFrame | None = None) -> DataFrame:
+def _weighted(attempts: DataFrame) -> DataFrame:
     """Attach ``ln_weight``; 0 (weight 1) for subjects or levels outside the base table.
 
     The broadcast side has one row per base-table entry by construction.
     """
-    weights = difficulty_weights(attempts if log is None else log).select(
-        "subject", "difficulty", "ln_weight"
-    )
+    weights = difficulty_weights(attempts).select("subject", "difficulty", "ln_weight")
     return attempts.join(F.broadcast(weights), ["subject", "difficulty"], "left").withColumn(
         "ln_weight", F.coalesce("ln_weight", F.lit(0.0))
     )
@@ -69,35 +71,43 @@ def _ln_score(score: str = "score") -> Column:
     return F.when(F.col(score) > 0, F.ln(F.col(score).cast("double")) + F.col("ln_weight"))
 
 
-def best_scores(attempts: DataFrame, log: DataFrame | None = None) -> DataFrame:
+def best_scores(attempts: DataFrame) -> DataFrame:
     """Best weighted score and attempts per (subject, user), in one shuffle.
 
-    ``attempts`` may be raw attempts, or (user, subject, difficulty) cells with ``score`` as
-    the cell's maximum and ``attempts`` as its count.
+    ``attempts`` may be raw attempts, or the stream's (user, subject, difficulty) cells.
     """
     n = F.sum("attempts") if "attempts" in attempts.columns else F.count("score")
     return (
-        _weighted(attempts, log)
+        _weighted(attempts)
         .groupBy("subject", "user_id")
         .agg(F.max(_ln_score()).alias("ln_weighted_score"), n.alias("attempts"))
     )
 
 
+def weighted_score(attempts: DataFrame) -> DataFrame:
+    """Score times the learned weight, for every attempt."""
+    return _weighted(attempts).select(
+        "log_pos",
+        "user_id",
+        "subject",
+        "difficulty",
+        "score",
+        (F.col("score") * F.exp("ln_weight")).alias("weighted_score"),
+    )
+
+
 def _display(ln_value: Column) -> Column:
     return F.coalesce(F.exp(ln_value), F.lit(0.0))
 
 
-def subject_leaderboard(
-    attempts: DataFrame, subject: str | None = None, log: DataFrame | None = None
-) -> DataFrame:
+def subject_leaderboard(attempts: DataFrame, subject: str | None = None) -> DataFrame:
     """Users of every subject ranked by their best weighted score; ties by user id.
 
     ``subject`` limits the ranking (weights are per subject, so they are unaffected).
     """
     if subject is not None:
         attempts = attempts.filter(F.col("subject") == subject)
-        log = log if log is None else log.filter(F.col("subject") == subject)
-    best = best_scores(attempts, log)
+    best = best_scores(attempts)
     order = [rules.settled(F.col("ln_weighted_score")).desc_nulls_last(), F.col("user_id").asc()]
     return with_position(best, ["subject"], order, "rank").select(
         "subject",

@@ -94,6 +94,10 @@ def _summary(attempts: DataFrame) -> DataFrame:
     return rows.withColumn("performance", rules.performance_label(F.col("avg_percent")))
 
 
+def performance_label(attempts: DataFrame) -> DataFrame:
+    return _summary(attempts).select(*TARGET, "avg_percent", "performance")
+
+
 def revision_recommendations(attempts: DataFrame) -> DataFrame:
     """Advice codes per target, one row each, in the order they are shown."""
     score, minutes = F.col("avg_percent"), F.col("avg_minutes")

@@ -27,13 +27,16 @@ def _cell(value: Column, level: Column) -> Column:
     return F.when(level == 0, F.lit(0).cast("bigint")).otherwise(F.floor(value / width))
 
 
-def nearest(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """For every row of ``points`` (unique ``key``, plane position ``x``, ``y``): the other
-    row nearest to it, ties to the lowest key, as (key, peer, distance).
+def nearest(points: DataFrame, key: str, x: str, y: str, x_weight: float) -> DataFrame:
+    """For every row of ``points`` (unique ``key``, position ``x``, ``y``): the other row
+    nearest to it by |dy| + x_weight * |dx|, ties to the lowest key, as (key, peer, distance).
 
     A row with a NULL coordinate, and a row without any other, gets a NULL peer.
     """
-    points = points.select(F.col(key).alias("key"), F.col(x).alias("x"), F.col(y).alias("y"))
+    weight = F.lit(float(x_weight))
+    points = points.select(
+        F.col(key).alias("key"), F.col(x).alias("raw"), (weight * F.col(x)).alias("x"), F.col(y).alias("y")
+    )
     located = points.filter("x is not null and y is not null")
 
     # The two lowest keys of every place; Spark prunes to two per place before the shuffle.
@@ -42,7 +45,7 @@ def nearest(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
         located.withColumn("n", F.row_number().over(lowest))
         .filter("n <= 2")
         .groupBy("x", "y")
-        .agg(F.min("key").alias("first"), F.max("key").alias("second"))
+        .agg(F.min("key").alias("first"), F.max("key").alias("second"), F.min("raw").alias("raw"))
     )
     together = located.join(places.filter("first <> second"), ["x", "y"]).select(
         "key",
@@ -58,7 +61,7 @@ def nearest(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
     )
     alone = (
         cells.groupBy("level", "cx", "cy")
-        .agg(F.count("*").alias("n"), F.min(F.struct("first", "second", "x", "y")).alias("p"))
+        .agg(F.count("*").alias("n"), F.min(F.struct("first", "second")).alias("p"))
         .filter("n = 1 and p.first = p.second")
         .groupBy("p")
         .agg(F.min("level").alias("alone_from"))
@@ -71,6 +74,7 @@ def nearest(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
             F.col("first").alias("key"),
             F.col("x").alias("sx"),
             F.col("y").alias("sy"),
+            F.col("raw").alias("sraw"),
             F.greatest(F.coalesce("alone_from", F.lit(_LEVELS + 1)) - 2, F.lit(0)).alias("level"),
         )
     )
@@ -82,16 +86,16 @@ def nearest(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
         .withColumn("dy", F.explode(around))
         .select(
             "key",
-            "sx",
+            "sraw",
             "sy",
             "level",
             (_cell(F.col("sx"), level) + F.col("dx")).alias("cx"),
             (_cell(F.col("sy"), level) + F.col("dy")).alias("cy"),
         )
     )
-    distance = F.abs(F.col("y") - F.col("sy")) + F.abs(F.col("x") - F.col("sx"))
+    distance = F.abs(F.col("y") - F.col("sy")) + weight * F.abs(F.col("raw") - F.col("sraw"))
     found = (
-        reach.join(cells.select("level", "cx", "cy", "x", "y", "first"), ["level", "cx", "cy"])
+        reach.join(cells.select("level", "cx", "cy", "raw", "y", "first"), ["level", "cx", "cy"])
         .filter(F.col("first") != F.col("key"))
         .groupBy("key")
         .agg(F.min(F.struct(distance.alias("distance"), F.col("first").alias("peer"))).alias("best"))
