@@ -17,7 +17,7 @@ from studylattice.plans.ordered import with_position
 from studylattice.session import checkpointed
 
 FEATURES = ("avg_score", "attempts", "avg_difficulty")
-_PARALLEL_FITS = 4
+_PARALLEL_FITS = 8
 
 
 def student_profiles(attempts: DataFrame) -> DataFrame:
@@ -65,10 +65,10 @@ def _silhouettes(vectors: DataFrame, seed: int) -> list[tuple[int, float]]:
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
 
     def score(k: int) -> tuple[int, float] | None:
-        clustered = _fit(vectors, k, seed).transform(vectors)
-        if clustered.select("cluster").distinct().count() < 2:
-            return None
-        return k, judge.evaluate(clustered)
+        model = _fit(vectors, k, seed)
+        if sum(size > 0 for size in model.summary.clusterSizes) < 2:
+            return None  # too few distinct points for this k
+        return k, judge.evaluate(model.transform(vectors))
 
     with ThreadPool(_PARALLEL_FITS) as pool:
         scores = pool.map(score, range(low, min(high, users - 1) + 1))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from studylattice import constants as K
 from studylattice.functions import rules
 from studylattice.plans.ordered import with_position, with_running_sums
+from studylattice.session import checkpointed
 
 PRIORITIES = (1, 2, 3, 4, 5)
 _PLAN = ["request_id", "pos", "name", "priority", "total_hours", "hours"]
@@ -96,6 +97,7 @@ def allocate_proportional(items: DataFrame) -> DataFrame:
         .agg(F.max(best).alias("best"), F.max_by(rest, best).alias("set"))
         .select("request_id", F.col("best.size").alias("size"), "set.*")
     )
+    widest = checkpointed(widest)  # one row per request, read three times below
     full = widest.filter("points >= highest")
     short = _fullest_small_sets(measured, widest.filter("points < highest"))
     sets = full.drop("size").unionByName(short)

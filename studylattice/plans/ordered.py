@@ -82,27 +82,9 @@ def indexed_sums(
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str
 ) -> DataFrame:
-    """Add the 1-based position of each row in its key by a total ``order``.
-
-    Without keys this is a global rank. The placed rows are checkpointed, because their
-    partition numbers are used twice. Runs a job.
-    """
-    placed = checkpointed(_placed(df, keys, order))
-    runs = (
-        placed.groupBy(*keys, _PART)
-        .agg(F.count("*").alias("_n"), F.min(_INDEX).alias("_first"))
-        .withColumn("_shift", _before("_n", keys) - F.col("_first") + 1)
-    )
-    # One row per run: at most (keys + partitions) rows. Without keys that is one row per
-    # partition, safe to broadcast; with keys Spark picks the join by the size it sees.
-    runs = runs if keys else F.broadcast(runs)
-    runs = runs.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(_PART).alias("_p"), "_shift")
-    match = F.col(_PART) == F.col("_p")
-    for key in keys:
-        match &= F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-    return placed.join(runs, match).select(
-        *df.columns, (F.col(_INDEX) + F.col("_shift")).cast("bigint").alias(name)
-    )
+    """Add the 1-based position of each row in its key by a total ``order``; without keys, a
+    global rank. Runs a job."""
+    return with_running_sums(df, keys, order, {name: F.lit(1)})
 
 
 def with_running_sums(
@@ -114,7 +96,9 @@ def with_running_sums(
     """Add, per row, the sums over the rows of its key up to and including itself.
 
     ``order`` must be a total order inside a key. Inside a run the sum is a window over
-    (key, partition), so no task holds more than one partition of a key. Runs a job.
+    (key, partition), so no task holds more than one partition of a key. The placed rows are
+    checkpointed, because their partition numbers are used twice and must not change between
+    the two. Runs a job.
     """
     values = {f"_v_{name}": column for name, column in sums.items()}
     placed = checkpointed(_placed(df.withColumns(values), keys, order))
@@ -123,10 +107,10 @@ def with_running_sums(
         runs = runs.withColumn(f"{v}_base", _before(f"{v}_run", keys))
     # Only the first key of a partition can continue from an earlier one, so at most one row
     # per partition passes this filter: a bound that does not grow with the rows.
-    started = F.row_number().over(Window.partitionBy(*keys).orderBy(_PART)) > 1
+    continued = F.row_number().over(Window.partitionBy(*keys).orderBy(_PART)) > 1
     moved = (
-        runs.withColumn("_moved", started)
-        .filter("_moved")
+        runs.withColumn("_continued", continued)
+        .filter("_continued")
         .select(
             *[F.col(k).alias(f"_k_{k}") for k in keys],
             F.col(_PART).alias("_p"),
