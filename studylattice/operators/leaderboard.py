@@ -229,16 +229,15 @@ def platform_kpis(attempts: DataFrame) -> DataFrame:
     pairs = attempts.groupBy("user_id", "subject").agg(
         F.count("*").alias("n"), F.count("score").alias("scored"), F.sum("score").alias("points")
     )
-    # One row per user first, so that no row is expanded for a second distinct count.
+    # One row per user, then one row in all: no row is expanded for a distinct count.
     users = pairs.groupBy("user_id").agg(
-        F.collect_set("subject").alias("subjects"),
         F.sum("n").alias("n"),
         F.sum("scored").alias("scored"),
         F.sum("points").alias("points"),
     )
     totals = users.agg(
         F.count("user_id").alias("users"),
-        F.sum("n").alias("attempts"),
+        F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("attempts"),
         F.try_divide(F.sum("points").cast("double"), F.sum("scored").cast("double")).alias("mean_score"),
     )
     subjects = attempts.select(F.countDistinct("subject").alias("subjects"))

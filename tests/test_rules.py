@@ -1,0 +1,53 @@
+import math
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from studylattice.functions import rules
+
+
+def evaluate(spark, values, kind, expression):
+    df = spark.createDataFrame([(v,) for v in values], f"v {kind}")
+    return [r[0] for r in df.select(expression(F.col("v"))).collect()]
+
+
+def test_half_even_keeps_ties_even_and_has_no_negative_zero(spark):
+    got = evaluate(spark, [0.5, 1.5, 2.5, -0.2, 11.25, None], "double", rules.half_even)
+    assert got == [0.0, 2.0, 2.0, 0.0, 11.0, None]
+    assert math.copysign(1, got[3]) == 1
+    assert evaluate(spark, [11.25, 3.75], "double", lambda c: rules.half_even(c, 1)) == [11.2, 3.8]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.floats(0.01, 90), min_size=1, max_size=20))
+def test_half_step_ceil_rounds_up_to_halves(spark, values):
+    for value, got in zip(values, evaluate(spark, values, "double", rules.half_step_ceil)):
+        whole, part = int(value), value - int(value)
+        assert got == (whole + 1 if part > 0.5 else whole + (0.5 if part > 0 else 0))
+
+
+def test_title_case_follows_every_non_letter(spark):
+    got = evaluate(spark, ["social STUDIES", "x-ray", "o'neil", "a1b", ""], "string", rules.title_case)
+    assert got == ["Social Studies", "X-Ray", "O'Neil", "A1B", ""]
+
+
+@pytest.mark.parametrize(
+    "percent, days, label",
+    [(100.0, 7, "Excellent"), (90.0, 7, "Excellent"), (89.9, 5, "Excellent"), (75.0, 5, "Good"), (60.0, 3, "Good"), (59.9, 2, "Needs Practice"), (None, None, None)],
+)
+def test_bands(spark, percent, days, label):
+    assert evaluate(spark, [percent], "double", rules.ideal_interval) == [days]
+    assert evaluate(spark, [percent], "double", rules.performance_label) == [label]
+
+
+def test_clamp_and_lookup_keep_null(spark):
+    assert evaluate(spark, [None, 3.0, 300.0], "double", lambda c: rules.clamp(c, 0.0, 100.0)) == [None, 3.0, 100.0]
+    assert evaluate(spark, ["a", "z"], "string", lambda c: rules.lookup(c, {"a": 1})) == [1, None]
+    assert evaluate(spark, ["a", "z"], "string", lambda c: rules.lookup(c, {"a": 1}, 2)) == [1, 2]
+
+
+def test_passed_handles_missing_questions(spark):
+    df = spark.createDataFrame([(3, 5), (2, 5), (0, 0), (5, 0), (None, 5)], "score int, total int")
+    assert [r[0] for r in df.select(rules.passed()).collect()] == [True, False, False, False, False]
