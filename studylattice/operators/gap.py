@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from studylattice import constants as K
 from studylattice.functions import rules
-from studylattice.plans.ordered import indexed_sums, with_position
+from studylattice.plans.ordered import INDEX, PART, indexed_sums, with_position
 
 KEYS = ["user_id", "subject"]
 _TREND = 0.1
@@ -38,7 +38,6 @@ def gap_weighted_score(attempts: DataFrame) -> DataFrame:
 
 def forecast(attempts: DataFrame) -> DataFrame:
     """Weighted mean, slope and predicted next score, with the facts the rules below use."""
-    moment = F.struct("attempt_ts", "log_pos", _level().alias("level"))
     sums = indexed_sums(
         attempts.filter("score is not null"),
         KEYS,
@@ -47,7 +46,7 @@ def forecast(attempts: DataFrame) -> DataFrame:
         {
             "points": (F.sum("score"), F.sum),
             "levels": (F.sum(_level()), F.sum),
-            "latest": (F.max(moment), F.max),
+            "last_level": (F.max_by(_level(), INDEX), lambda level: F.max_by(level, PART)),
             "first_pos": (F.min("log_pos"), F.min),
         },
     )
@@ -63,7 +62,7 @@ def forecast(attempts: DataFrame) -> DataFrame:
         rules.settled(slope).alias("slope"),
         (F.col("points") / n).alias("mean_score"),
         (F.col("levels") / n).alias("mean_level"),
-        F.col("latest.level").alias("last_level"),
+        "last_level",
         "first_pos",
     )
     expected = rules.settled(F.col("weighted_avg") + F.col("slope"))

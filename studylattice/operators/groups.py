@@ -34,19 +34,25 @@ def student_profiles(attempts: DataFrame) -> DataFrame:
 def scaled_features(profiles: DataFrame) -> DataFrame:
     """z-scores with the population deviation; a constant feature becomes 0.
 
-    Means and deviations are scalar subqueries: one row, no join.
+    All means and deviations come from one scalar subquery: one row, no join.
     """
+    facts = [
+        f(name).alias(f"{name}_{kind}")
+        for name in FEATURES
+        for f, kind in ((F.avg, "mean"), (F.stddev_pop, "spread"))
+    ]
+    whole = profiles.agg(*facts).select(F.struct("*")).scalar()
 
     def scaled(name: str) -> Column:
-        mean = profiles.agg(F.avg(name)).scalar()
-        spread = profiles.agg(F.stddev_pop(name)).scalar()
+        mean, spread = whole[f"{name}_mean"], whole[f"{name}_spread"]
         return (F.col(name) - mean) / F.when(spread > 0, spread).otherwise(1.0)
 
     return profiles.select("user_id", *[scaled(name).alias(f"{name}_z") for name in FEATURES])
 
 
 def _vectors(profiles: DataFrame) -> DataFrame:
-    """Scaled features as vectors, kept in the shared folder because every fit rereads them."""
+    """Scaled features as vectors, kept in the shared folder because every fit rereads them.
+    Users without a feature cannot be clustered and are left out here."""
     assemble = VectorAssembler(
         inputCols=[f"{f}_z" for f in FEATURES], outputCol="features", handleInvalid="skip"
     )
@@ -94,7 +100,8 @@ def student_groups(
     """Every user's group letter. Runs jobs.
 
     Of ``restarts`` fits the one with the lowest cost wins. Letters follow the clusters by
-    falling mean score, so that equal inputs give equal letters.
+    falling mean score, so that equal inputs give equal letters. Users without a feature
+    (no known level, say) get no letter.
     """
     vectors = _vectors(profiles)
     if k is None:
@@ -108,14 +115,20 @@ def student_groups(
     centres = model.clusterCenters()  # k rows
     ranked = sorted(range(len(centres)), key=lambda c: (-centres[c][0], tuple(centres[c])))
     letters = {cluster: chr(ord("A") + place) for place, cluster in enumerate(ranked)}
-    return model.transform(vectors).select(
+    grouped = model.transform(vectors).select(
         "user_id", rules.lookup(F.col("cluster"), letters).alias("study_group")
     )
+    lacking = F.lit(False)
+    for name in FEATURES:
+        lacking |= F.col(name).isNull()
+    rest = profiles.filter(lacking).select("user_id", F.lit(None).cast("string").alias("study_group"))
+    return grouped.unionByName(rest)
 
 
 def group_members(groups: DataFrame, page_size: int = 1000) -> DataFrame:
     """Ordered member list per group, in pages so that no row grows with the group. Runs jobs."""
-    placed = with_position(groups, ["study_group"], [F.col("user_id").asc()], "position")
+    grouped = groups.filter("study_group is not null")
+    placed = with_position(grouped, ["study_group"], [F.col("user_id").asc()], "position")
     return (
         placed.withColumn("page", F.expr(f"(position - 1) div {page_size}"))
         .groupBy("study_group", "page")

@@ -150,35 +150,20 @@ def overall_leaderboard(attempts: DataFrame) -> DataFrame:
 def progress(attempts: DataFrame) -> DataFrame:
     """Change in weighted percentage from the first to the last attempt in log order, for
     every (subject, user) with two attempts or more; within -100..100, two decimals."""
-    point = F.struct("score", "total", "difficulty")
-    ends = (
-        attempts.groupBy("subject", "user_id")
+    percent = F.col("score").cast("double") / F.greatest(F.col("total"), F.lit(1)) * 100.0
+    points = _weighted(attempts).withColumn(
+        "ln_percent", F.when(F.col("score") > 0, F.ln(percent) + F.col("ln_weight"))
+    )
+    # Plain numbers only, so that Spark can aggregate by hashing.
+    rows = (
+        points.groupBy("subject", "user_id")
         .agg(
-            F.min_by(point, "log_pos").alias("first"),
-            F.max_by(point, "log_pos").alias("last"),
+            F.min_by("ln_percent", "log_pos").alias("ln_first"),
+            F.max_by("ln_percent", "log_pos").alias("ln_last"),
             F.count("*").alias("attempts"),
         )
         .filter("attempts > 1")
     )
-    weights = difficulty_weights(attempts).select("subject", "difficulty", "ln_weight")
-    for end in ("first", "last"):
-        # At most one row per base-table entry, so safe to broadcast.
-        side = weights.select(
-            "subject",
-            F.col("difficulty").alias(f"{end}_difficulty"),
-            F.col("ln_weight").alias(f"{end}_ln_weight"),
-        )
-        ends = ends.withColumn(f"{end}_difficulty", F.col(f"{end}.difficulty")).join(
-            F.broadcast(side), ["subject", f"{end}_difficulty"], "left"
-        )
-
-    def ln_percent(end: str) -> Column:
-        score, total = F.col(f"{end}.score"), F.greatest(F.col(f"{end}.total"), F.lit(1))
-        weight = F.coalesce(F.col(f"{end}_ln_weight"), F.lit(0.0))
-        percent = score.cast("double") / total.cast("double") * 100.0
-        return F.when(score > 0, F.ln(percent) + weight)
-
-    rows = ends.withColumns({"ln_first": ln_percent("first"), "ln_last": ln_percent("last")})
     floor = F.lit(float("-inf"))
     ln_first, ln_last = F.coalesce("ln_first", floor), F.coalesce("ln_last", floor)
     change = F.when(

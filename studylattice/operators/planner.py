@@ -127,12 +127,13 @@ def _fullest_small_sets(measured: DataFrame, widest: DataFrame) -> DataFrame:
     """
     most = PRIORITIES[-1] - 1
     shapes = [s for s in product(range(most + 1), repeat=len(PRIORITIES)) if 0 < sum(s) <= most]
-    # Only the least demanding few of every priority can matter; a per-group limit keeps them.
+    # Only the least demanding few of every priority can matter. The limit comes first: Spark
+    # applies it before the shuffle, so a large request never reaches the join whole.
     least = Window.partitionBy("request_id", "priority").orderBy("demand", "pos")
     lists = (
-        measured.join(widest.select("request_id", "size", "highest"), "request_id")
-        .withColumn("nth", F.row_number().over(least))
+        measured.withColumn("nth", F.row_number().over(least))
         .filter(F.col("nth") <= most)
+        .join(widest.select("request_id", "size", "highest"), "request_id")
         .groupBy("request_id", "size", "highest")
         .agg(*[
             F.array_sort(F.collect_list(F.when(F.col("priority") == p, F.struct("demand", "budget")))).alias(f"d{p}")

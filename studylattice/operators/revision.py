@@ -20,22 +20,20 @@ TARGET = [*KEYS, "difficulty"]
 
 
 def _per_level(attempts: DataFrame) -> DataFrame:
-    """One row per (user, subject, level), all aggregates mergeable."""
+    """One row per (user, subject, level); mergeable aggregates over plain numbers."""
     percent, minutes = rules.score_percent(), F.col("time_spent_mins")
     numbered = "attempt_no" in attempts.columns
-    point = F.struct(
-        percent.alias("percent"),
-        minutes.alias("minutes"),
-        (F.col("attempt_no") if numbered else F.lit(None)).cast("int").alias("attempt_no"),
-    )
+    number = (F.col("attempt_no") if numbered else F.lit(None)).cast("int")
     return attempts.filter("difficulty is not null").groupBy(*TARGET).agg(
         F.count("*").alias("n"),
         F.count(percent).alias("percent_n"),
         F.sum(percent).alias("percent_sum"),
         F.count(minutes).alias("minutes_n"),
         F.sum(minutes).alias("minutes_sum"),
-        F.max_by(point, "log_pos").alias("latest"),
-        (F.max("attempt_no") if numbered else F.lit(None)).cast("int").alias("max_attempt_no"),
+        F.max_by(percent, "log_pos").alias("latest_percent"),
+        F.max_by(minutes, "log_pos").alias("latest_minutes"),
+        F.max_by(number, "log_pos").alias("latest_attempt_no"),
+        F.max(number).alias("max_attempt_no"),
     )
 
 
@@ -211,7 +209,7 @@ def revision_plan(attempts: DataFrame, days: int = K.DAYS_UNTIL_QUIZ) -> DataFra
     """
     rows = _level_means(_targets(attempts))
     percent = F.when(F.col("is_prediction_mode"), F.col("mean_percent")).otherwise(
-        F.col("own.latest.percent")
+        F.col("own.latest_percent")
     )
     base = rules.ideal_interval(rules.settled(percent)).cast("double")
     return with_sessions(rows.select(*TARGET, "is_prediction_mode", base.alias("base_interval")), days)
@@ -222,7 +220,8 @@ def with_sessions(rows: DataFrame, days: int) -> DataFrame:
     if not 1 <= days <= 90:
         raise ValueError("days must be between 1 and 90")
     fit = (F.lit(float(days)) / F.col("base_interval")).cast("int")
-    return rows.withColumn("sessions", F.greatest(F.lit(2), fit)).withColumns(
+    sessions = F.when(fit.isNotNull(), F.greatest(F.lit(2), fit))
+    return rows.withColumn("sessions", sessions).withColumns(
         {
             "interval_days": F.lit(float(days)) / F.col("sessions"),
             "rounded_days": rules.half_step_ceil(F.lit(float(days)) / F.col("sessions")),
@@ -277,12 +276,18 @@ def revision_interval_model(
     asked = rows.select(
         *TARGET,
         "is_prediction_mode",
-        F.when(guess, F.col("mean_percent")).otherwise(F.col("own.latest.percent")).alias("percent"),
+        F.when(guess, F.col("mean_percent")).otherwise(F.col("own.latest_percent")).alias("percent"),
         F.when(guess, F.col("mean_max_attempt"))
-        .otherwise(F.col("own.latest.attempt_no").cast("double"))
+        .otherwise(F.col("own.latest_attempt_no").cast("double"))
         .alias("attempt_no"),
-        F.when(guess, F.col("mean_minutes")).otherwise(F.col("own.latest.minutes")).alias("minutes"),
+        F.when(guess, F.col("mean_minutes")).otherwise(F.col("own.latest_minutes")).alias("minutes"),
         level,
     )
-    predicted = model.transform(assemble.transform(asked))
-    return with_sessions(predicted.select(*TARGET, "is_prediction_mode", "base_interval"), days)
+    # A target whose attempts had no questions or times has no input: its interval is NULL.
+    shown = [*TARGET, "is_prediction_mode", "base_interval"]
+    complete = F.lit(True)
+    for name in inputs:
+        complete &= F.col(name).isNotNull()
+    predicted = model.transform(assemble.transform(asked.filter(complete))).select(*shown)
+    unknown = asked.filter(~complete).withColumn("base_interval", F.lit(None).cast("double"))
+    return with_sessions(predicted.unionByName(unknown.select(*shown)), days)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from studylattice.session import checkpointed
 
 # A row's place: the partition it is in, and its index there after sorting.
-_PART, _INDEX = "_part", "_index"
+PART, INDEX = "_part", "_index"
 _INDEX_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
@@ -26,15 +26,15 @@ def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Data
         df.repartitionByRange(*sort)
         .sortWithinPartitions(*sort)
         .withColumn("_spot", spot)
-        .withColumn(_PART, F.shiftright("_spot", _INDEX_BITS))
-        .withColumn(_INDEX, F.col("_spot").bitwiseAND((1 << _INDEX_BITS) - 1))
+        .withColumn(PART, F.shiftright("_spot", _INDEX_BITS))
+        .withColumn(INDEX, F.col("_spot").bitwiseAND((1 << _INDEX_BITS) - 1))
         .drop("_spot")
     )
 
 
 def _before(column: str, keys: Sequence[str]) -> Column:
     """Sum of ``column`` over the earlier runs of the same key."""
-    window = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    window = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(column).over(window), F.lit(0))
 
 
@@ -49,7 +49,9 @@ def indexed_sums(
 
     ``index`` is the 0-based position of the row among the key's rows with a non-null
     ``value``, by ``order`` (which must be a total order). Rows with a NULL value take no
-    index but still reach ``extra``: name -> (aggregate per run, function merging runs).
+    index but still reach ``extra``: name -> (aggregate per run, function merging runs). An
+    aggregate may use ``INDEX``, the row's place in its run, and a merge ``PART``, the run's
+    place in its key.
 
     One shuffle of the rows; after it only one row per (key, partition) moves.
     """
@@ -59,12 +61,12 @@ def indexed_sums(
     # NULL values sort last in their key, so a run's valued rows are its first rows.
     runs = (
         _placed(rows, keys, [F.col("_value").isNull().asc(), *order])
-        .groupBy(*keys, _PART)
+        .groupBy(*keys, PART)
         .agg(
             F.count("_value").alias("_n"),
-            F.min(_INDEX).alias("_first"),
+            F.min(INDEX).alias("_first"),
             F.coalesce(F.sum("_value"), F.lit(0.0)).alias("_total"),
-            F.coalesce(F.sum(F.when(valued, F.col(_INDEX) * F.col("_value"))), F.lit(0.0)).alias(
+            F.coalesce(F.sum(F.when(valued, F.col(INDEX) * F.col("_value"))), F.lit(0.0)).alias(
                 "_index_total"
             ),
             *[partial.alias(name) for name, (partial, _) in extra.items()],
@@ -102,27 +104,27 @@ def with_running_sums(
     """
     values = {f"_v_{name}": column for name, column in sums.items()}
     placed = checkpointed(_placed(df.withColumns(values), keys, order))
-    runs = placed.groupBy(*keys, _PART).agg(*[F.sum(v).alias(f"{v}_run") for v in values])
+    runs = placed.groupBy(*keys, PART).agg(*[F.sum(v).alias(f"{v}_run") for v in values])
     for v in values:
         runs = runs.withColumn(f"{v}_base", _before(f"{v}_run", keys))
     # Only the first key of a partition can continue from an earlier one, so at most one row
     # per partition passes this filter: a bound that does not grow with the rows.
-    continued = F.row_number().over(Window.partitionBy(*keys).orderBy(_PART)) > 1
+    continued = F.row_number().over(Window.partitionBy(*keys).orderBy(PART)) > 1
     moved = (
         runs.withColumn("_continued", continued)
         .filter("_continued")
         .select(
             *[F.col(k).alias(f"_k_{k}") for k in keys],
-            F.col(_PART).alias("_p"),
+            F.col(PART).alias("_p"),
             *[f"{v}_base" for v in values],
         )
     )
-    match = F.col(_PART) == F.col("_p")
+    match = F.col(PART) == F.col("_p")
     for key in keys:
         match &= F.col(key).eqNullSafe(F.col(f"_k_{key}"))
     inside = (
-        Window.partitionBy(*keys, _PART)
-        .orderBy(_INDEX)
+        Window.partitionBy(*keys, PART)
+        .orderBy(INDEX)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     totals = [

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from studylattice.operators import gap, grades, groups, leaderboard, planner, quiz, revision
-from studylattice.session import fresh_dir
+from studylattice.session import allow_skewed_joins, fresh_dir
 from studylattice.sources import bindings, files, schemas
 from studylattice.streaming import attempt_log
 
@@ -35,6 +35,7 @@ def shown(df: DataFrame) -> DataFrame:
 def query(build: Query) -> Query:
     @wraps(build)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        allow_skewed_joins(spark)
         return shown(build(spark, sf_dir))
 
     QUERIES[build.__name__] = run
@@ -115,6 +116,12 @@ def _bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quiz.question_bank(bindings.questions(spark, sf_dir))
 
 
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered attempts with only the columns the revision features read."""
+    log = bindings.attempts(spark, sf_dir).drop("attempt_ts", "dataset")
+    return quiz.attempt_numbering(log)
+
+
 def _new_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = quiz.grade_responses(bindings.responses(spark, sf_dir), _bank(spark, sf_dir))
     return quiz.finished_attempts(bindings.sessions(spark, sf_dir), graded)
@@ -140,9 +147,8 @@ def attempts_filter(spark, sf_dir):
 
 @query
 def attempt_numbering(spark, sf_dir):
-    return quiz.attempt_numbering(bindings.attempts(spark, sf_dir)).select(
-        "log_pos", "user_id", "subject", "attempt_no"
-    )
+    log = bindings.attempts(spark, sf_dir).select("log_pos", "user_id", "subject")
+    return quiz.attempt_numbering(log)
 
 
 @query
@@ -182,7 +188,7 @@ def combine_logs(spark, sf_dir):
 
 @query
 def fallback_features(spark, sf_dir):
-    return revision.fallback_features(quiz.attempt_numbering(bindings.attempts(spark, sf_dir)))
+    return revision.fallback_features(_numbered(spark, sf_dir))
 
 
 @query
@@ -201,7 +207,7 @@ def export_schedule_csv(spark, sf_dir):
 
 @query
 def revision_interval_model(spark, sf_dir):
-    return revision.revision_interval_model(quiz.attempt_numbering(bindings.attempts(spark, sf_dir)))
+    return revision.revision_interval_model(_numbered(spark, sf_dir))
 
 
 @query

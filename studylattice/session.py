@@ -17,17 +17,25 @@ def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8
         .appName("studylattice")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    allow_skewed_joins(spark)
     return spark
 
 
+def allow_skewed_joins(spark: SparkSession) -> None:
+    """Settings the plans rely on when one key holds a large part of the rows: joins split
+    such a key over several tasks, even where that costs one more small shuffle after it."""
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
