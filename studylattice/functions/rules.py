@@ -70,7 +70,9 @@ def performance_label(percent: Column) -> Column:
 def title_case(text: Column) -> Column:
     """Capital after every non-letter, so ``x-ray`` becomes ``X-Ray``."""
     words = F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
-    return F.array_join(F.transform(words, F.initcap), "")
+    split = F.array_join(F.transform(words, F.initcap), "")
+    # Letters and spaces only, the usual case, is what the compiled ``initcap`` does.
+    return F.when(text.rlike(r"[^\p{L} ]"), split).otherwise(F.initcap(text))
 
 
 def passed(score: str = "score", total: str = "total") -> Column:

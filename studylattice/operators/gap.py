@@ -150,7 +150,7 @@ def gap_score_path(attempts: DataFrame, page_size: int = 1000) -> DataFrame:
 
 def gap_most_improved(attempts: DataFrame) -> DataFrame:
     """Each user's subject with the steepest slope; ties to the subject first attempted."""
-    best = F.max_by(F.struct("subject", "slope"), F.struct("slope", -F.col("first_pos")))
+    best = F.min_by(F.struct("subject", "slope"), F.struct(-F.col("slope"), "first_pos", "subject"))
     return (
         forecast(attempts)
         .groupBy("user_id")

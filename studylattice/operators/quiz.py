@@ -114,8 +114,11 @@ def continue_numbering(batch: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def combine_logs(first: DataFrame, second: DataFrame) -> DataFrame:
-    """All rows of both logs; a column one of them lacks becomes NULL there."""
-    return first.unionByName(second, allowMissingColumns=True)
+    """All rows of both logs, the second after the first in log order; a column one of them
+    lacks becomes NULL there."""
+    end = F.coalesce(first.agg(F.max("log_pos")).scalar(), F.lit(-1))
+    follow = second.withColumn("log_pos", (F.col("log_pos") + end + 1).cast("bigint"))
+    return first.unionByName(follow, allowMissingColumns=True)
 
 
 def attempts_filter(

@@ -278,7 +278,8 @@ _add(
 _add(
     "combine_logs",
     ("attempts", "graded", "fresh"),
-    """SELECT * REPLACE (CAST(NULL AS DOUBLE) AS time_spent_mins) FROM attempts UNION ALL BY NAME SELECT * FROM fresh""",
+    """SELECT * REPLACE (CAST(NULL AS DOUBLE) AS time_spent_mins) FROM attempts UNION ALL BY NAME
+       SELECT * REPLACE (log_pos + (SELECT MAX(log_pos) + 1 FROM attempts) AS log_pos) FROM fresh""",
     ("time_spent_mins",),
 )
 

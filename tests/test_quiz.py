@@ -60,7 +60,7 @@ def test_finished_attempts(spark):
 
 def test_combine_fills_missing_columns(spark):
     both = Q.combine_logs(log(spark, [(1, "Art", "Easy", 1)]).drop("dataset"), log(spark, [(2, "Art", "Easy", 1)]))
-    assert records(both, "user_id", "dataset") == [(1, None), (2, "bank.csv")]
+    assert records(both, "user_id", "dataset", "log_pos") == [(1, None, 0), (2, "bank.csv", 1)]
 
 
 def test_filter_and_domains(spark):
