@@ -44,10 +44,10 @@ def scaled_features(profiles: DataFrame) -> DataFrame:
     whole = profiles.agg(*facts).select(F.struct("*")).scalar()
 
     def scaled(name: str) -> Column:
-        mean, spread = whole[f"{name}_mean"], whole[f"{name}_spread"]
+        mean, spread = F.col(f"whole.{name}_mean"), F.col(f"whole.{name}_spread")
         return (F.col(name) - mean) / F.when(spread > 0, spread).otherwise(1.0)
 
-    return profiles.select("user_id", *[scaled(name).alias(f"{name}_z") for name in FEATURES])
+    return profiles.withColumn("whole", whole).select("user_id", *[scaled(name).alias(f"{name}_z") for name in FEATURES])
 
 
 def _vectors(profiles: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from studylattice.session import checkpointed
+
 # Cell widths run from 2^7 down to 2^-32; level 0 is one cell that holds everything.
 _WIDEST_EXPONENT = 7
 _LEVELS = 40
@@ -31,7 +33,8 @@ def nearest(points: DataFrame, key: str, x: str, y: str, x_weight: float) -> Dat
     """For every row of ``points`` (unique ``key``, position ``x``, ``y``): the other row
     nearest to it by |dy| + x_weight * |dx|, ties to the lowest key, as (key, peer, distance).
 
-    A row with a NULL coordinate, and a row without any other, gets a NULL peer.
+    A row with a NULL coordinate, and a row without any other, gets a NULL peer. ``points``
+    is read three times; hand in a kept table rather than a long computation. Runs a job.
     """
     weight = F.lit(float(x_weight))
     points = points.select(
@@ -47,6 +50,7 @@ def nearest(points: DataFrame, key: str, x: str, y: str, x_weight: float) -> Dat
         .groupBy("x", "y")
         .agg(F.min("key").alias("first"), F.max("key").alias("second"), F.min("raw").alias("raw"))
     )
+    places = checkpointed(places)  # read four times below
     together = located.join(places.filter("first <> second"), ["x", "y"]).select(
         "key",
         F.when(F.col("key") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("peer"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from studylattice.operators import gap, grades, groups, leaderboard, planner, quiz, revision
-from studylattice.session import allow_skewed_joins, fresh_dir
+from studylattice.session import allow_skewed_joins, checkpointed, fresh_dir
 from studylattice.sources import bindings, files, schemas
 from studylattice.streaming import attempt_log
 
@@ -112,6 +112,11 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.student_profiles(bindings.attempts(spark, sf_dir))
 
 
+def _kept_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles, one row per user, kept because the operators below read them several times."""
+    return checkpointed(_profiles(spark, sf_dir))
+
+
 def _bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quiz.question_bank(bindings.questions(spark, sf_dir))
 
@@ -212,35 +217,35 @@ def revision_interval_model(spark, sf_dir):
 
 @query
 def scaled_features(spark, sf_dir):
-    return groups.scaled_features(_profiles(spark, sf_dir))
+    return groups.scaled_features(_kept_profiles(spark, sf_dir))
 
 
 @query
 def cluster_k_selection(spark, sf_dir):
-    return groups.cluster_k_selection(_profiles(spark, sf_dir))
+    return groups.cluster_k_selection(_kept_profiles(spark, sf_dir))
 
 
 @query
 def student_groups(spark, sf_dir):
-    return groups.student_groups(_profiles(spark, sf_dir))
+    return groups.student_groups(_kept_profiles(spark, sf_dir))
 
 
 @query
 def group_members(spark, sf_dir):
-    return groups.group_members(groups.student_groups(_profiles(spark, sf_dir)))
+    return groups.group_members(groups.student_groups(_kept_profiles(spark, sf_dir)))
 
 
 @query
 def compare_users(spark, sf_dir):
     """Every user compared with the user of the next id."""
-    profiles = _profiles(spark, sf_dir)
+    profiles = _kept_profiles(spark, sf_dir)
     pairs = profiles.select(F.col("user_id").alias("first_user"), (F.col("user_id") + 1).alias("second_user"))
     return groups.compare_users(profiles, pairs)
 
 
 @query
 def peer_recommendation(spark, sf_dir):
-    return groups.peer_recommendation(_profiles(spark, sf_dir))
+    return groups.peer_recommendation(_kept_profiles(spark, sf_dir))
 
 
 @query

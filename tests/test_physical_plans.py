@@ -27,7 +27,7 @@ def test_no_pairwise_joins_no_python(spark, name):
         assert operator not in text
 
 
-@pytest.mark.parametrize("name", ["top_improved", "gap_micro_trend", "recent_attempts", "quiz_sample", "peer_recommendation"])
+@pytest.mark.parametrize("name", ["top_improved", "gap_micro_trend", "recent_attempts", "quiz_sample"])
 def test_group_limits_come_before_the_shuffle(spark, name):
     assert re.search(r"WindowGroupLimit .*Partial", plan(spark, name))
 
