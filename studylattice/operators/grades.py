@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from studylattice import constants as K
 from studylattice.functions import rules
 from studylattice.plans.ordered import indexed_sums
+from studylattice.plans.skew import join_totals
 
 _CLOSE_GAP = 10.0
 _VARIED_STD = 10.0
@@ -131,17 +132,17 @@ def goal_status(assignments: DataFrame, courses: DataFrame) -> DataFrame:
 def study_time_allocation(assignments: DataFrame, courses: DataFrame) -> DataFrame:
     """Share of the available hours for every remaining assignment, by weight.
 
-    The total is aggregated and joined back: a window would hold a whole course in one task,
-    the join's large side can be split.
+    The total is aggregated and joined back: a window would hold a whole course in one task.
     """
     remaining = assignments.filter(~_done())
     totals = (
         remaining.groupBy("course_id")
-        .agg(F.sum("weight").alias("total_weight"))
+        .agg(F.sum("weight").alias("total_weight"), F.count("*").alias("open_items"))
         .join(courses.select("course_id", "available_hours"), "course_id")
     )
     hours = F.try_divide(F.col("weight"), F.col("total_weight")) * F.col("available_hours")
-    return remaining.select("course_id", "assignment_name", "weight").join(totals, "course_id").select(
+    rows = remaining.select("course_id", "assignment_name", "weight")
+    return join_totals(rows, totals, ["course_id"], "open_items").select(
         "course_id",
         "assignment_name",
         "weight",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from studylattice import constants as K
 from studylattice.functions import rules
 from studylattice.plans.ordered import with_position, with_running_sums
+from studylattice.plans.skew import join_totals
 from studylattice.session import checkpointed
 
 PRIORITIES = (1, 2, 3, 4, 5)
@@ -24,11 +25,11 @@ def _softmax(items: DataFrame, score: Column) -> DataFrame:
     """Minimum hours plus a softmax share of what is left; requests whose minimums exceed
     their hours have no plan. Totals are joined back, so a large request stays spread."""
     totals = items.groupBy("request_id").agg(
-        F.sum("min_hours").alias("needed"), F.sum(F.exp(score)).alias("mass")
+        F.sum("min_hours").alias("needed"), F.sum(F.exp(score)).alias("mass"), F.count("*").alias("items")
     )
     share = (F.col("total_hours") - F.col("needed")) * F.exp(score) / F.col("mass")
     return (
-        items.join(totals, "request_id")
+        join_totals(items, totals, ["request_id"], "items")
         .filter("needed <= total_hours")
         .withColumn("hours", rules.half_steps(F.col("min_hours") + share))
         .select(*_PLAN)
@@ -74,13 +75,16 @@ def allocate_proportional(items: DataFrame) -> DataFrame:
     """
     usable = items.filter(F.col("priority").isin(*PRIORITIES))
     measured = usable.withColumns({"demand": _demand(), "budget": _budget()})
-    highest = measured.groupBy("request_id").agg(F.max("priority").alias("highest"))
+    highest = measured.groupBy("request_id").agg(
+        F.max("priority").alias("highest"), F.count("*").alias("items")
+    )
 
     counts = [F.count_if(F.col("priority") == p).alias(f"n{p}") for p in PRIORITIES]
     bands = measured.groupBy("request_id", "demand").agg(F.max("budget").alias("budget"), *counts)
     upto = with_running_sums(
         bands, ["request_id"], [F.col("demand").asc()], {f"upto{p}": F.col(f"n{p}") for p in PRIORITIES}
-    ).join(highest, "request_id").filter("budget >= highest")
+    )
+    upto = join_totals(upto, highest, ["request_id"], "items").filter("budget >= highest")
 
     # The most subjects within the budget: the cheapest priorities first.
     left = F.col("budget")
@@ -91,7 +95,7 @@ def allocate_proportional(items: DataFrame) -> DataFrame:
     size = sum((F.col(c) for c in picked[1:]), F.col(picked[0]))
     points = sum((p * F.col(f"c{p}") for p in PRIORITIES[1:]), F.col("c1"))
     best = F.struct(size.alias("size"), (-F.col("demand")).alias("ease"))
-    rest = F.struct("demand", "highest", points.alias("points"), *picked)
+    rest = F.struct("demand", "highest", "items", points.alias("points"), *picked)
     widest = (
         upto.groupBy("request_id")
         .agg(F.max(best).alias("best"), F.max_by(rest, best).alias("set"))
@@ -104,7 +108,7 @@ def allocate_proportional(items: DataFrame) -> DataFrame:
 
     taken = F.element_at(F.array(*picked), F.col("priority"))
     eligible = (
-        measured.join(sets.withColumnRenamed("demand", "limit"), "request_id")
+        join_totals(measured, sets.withColumnRenamed("demand", "limit"), ["request_id"], "items")
         .filter("demand <= limit")
         .withColumn("taken", taken)
         .filter("taken > 0")
@@ -133,8 +137,8 @@ def _fullest_small_sets(measured: DataFrame, widest: DataFrame) -> DataFrame:
     lists = (
         measured.withColumn("nth", F.row_number().over(least))
         .filter(F.col("nth") <= most)
-        .join(widest.select("request_id", "size", "highest"), "request_id")
-        .groupBy("request_id", "size", "highest")
+        .join(widest.select("request_id", "size", "highest", "items"), "request_id")
+        .groupBy("request_id", "size", "highest", "items")
         .agg(*[
             F.array_sort(F.collect_list(F.when(F.col("priority") == p, F.struct("demand", "budget")))).alias(f"d{p}")
             for p in PRIORITIES
@@ -157,6 +161,7 @@ def _fullest_small_sets(measured: DataFrame, widest: DataFrame) -> DataFrame:
     tried = tried.select(
         "request_id",
         "highest",
+        "items",
         points.cast("bigint").alias("points"),
         F.greatest(*hardest("demand")).alias("demand"),
         F.least(*hardest("budget")).alias("budget"),
@@ -168,9 +173,10 @@ def _fullest_small_sets(measured: DataFrame, widest: DataFrame) -> DataFrame:
         "points",
         *[f"c{p}" for p in reversed(PRIORITIES)],
         "highest",
+        "items",
     )
     return tried.groupBy("request_id").agg(F.min(choice).alias("set")).select(
-        "request_id", "set.demand", "set.highest", "set.points", *[f"set.c{p}" for p in PRIORITIES]
+        "request_id", "set.demand", "set.highest", "set.items", "set.points", *[f"set.c{p}" for p in PRIORITIES]
     )
 
 
@@ -185,8 +191,8 @@ def plan_summary(plan: DataFrame) -> DataFrame:
 
 def plan_shares(plan: DataFrame) -> DataFrame:
     """Every subject's share of its request's planned hours."""
-    totals = plan.groupBy("request_id").agg(F.sum("hours").alias("planned"))
-    return plan.join(totals, "request_id").select(
+    totals = plan.groupBy("request_id").agg(F.sum("hours").alias("planned"), F.count("*").alias("items"))
+    return join_totals(plan, totals, ["request_id"], "items").select(
         "request_id", "name", "hours", (F.try_divide(F.col("hours"), F.col("planned")) * 100.0).alias("share")
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from studylattice import constants as K
 from studylattice.functions import rules
-from studylattice.plans.ordered import with_position
+from studylattice.plans.ordered import with_running_sums
 
 STRATUM = ["subject", "difficulty"]
 OPTIONS = ["option1", "option2", "option3", "option4"]
@@ -55,9 +55,17 @@ def grade_responses(responses: DataFrame, bank: DataFrame) -> DataFrame:
 
 def attempt_numbering(attempts: DataFrame) -> DataFrame:
     """Number every attempt of a (user, subject) in log order, levels mixed. Runs a job."""
-    keyed = attempts.withColumn("subject_key", rules.title_case(F.col("subject")))
-    numbered = with_position(keyed, ["user_id", "subject_key"], [F.col("log_pos").asc()], "attempt_no")
-    return numbered.withColumn("attempt_no", F.col("attempt_no").cast("int")).drop("subject_key")
+    return _numbered(attempts.withColumn("subject_key", _subject_key()), F.lit(1))
+
+
+def _subject_key() -> Column:
+    return rules.title_case(F.col("subject"))
+
+
+def _numbered(rows: DataFrame, step: Column) -> DataFrame:
+    order = [F.col("log_pos").asc_nulls_first()]
+    numbered = with_running_sums(rows, ["user_id", "subject_key"], order, {"number": step})
+    return numbered.withColumn("attempt_no", F.col("number").cast("int")).drop("number", "subject_key")
 
 
 def finished_attempts(sessions: DataFrame, grades: DataFrame) -> DataFrame:
@@ -93,24 +101,21 @@ def basename(path: Column) -> Column:
 def continue_numbering(batch: DataFrame, log: DataFrame) -> DataFrame:
     """Number a batch so that it continues the log's count per (user, subject). Runs a job.
 
-    The log is reduced to one count per key, which is then joined to the batch. Instead of the
-    log, the stream's running cells will do; they save reading it.
+    The log is reduced to one count per key of the batch. That count enters the running sum as
+    a row before the batch's first, so the batch itself is not joined to anything. Instead of
+    the log, the stream's running cells will do; they save reading it.
     """
-    subject = rules.title_case(F.col("subject"))
+    keyed = batch.withColumn("subject_key", _subject_key())
     n = F.sum("attempts") if "attempts" in log.columns else F.count("*")
-    so_far = log.groupBy("user_id", subject.alias("subject_key")).agg(n.alias("so_far"))
-    so_far = so_far.withColumnRenamed("user_id", "log_user")
-    numbered = attempt_numbering(batch)
-    return (
-        numbered.withColumn("subject_key", subject)
-        .join(
-            so_far.withColumnRenamed("subject_key", "log_subject"),
-            (F.col("user_id") == F.col("log_user")) & (F.col("subject_key") == F.col("log_subject")),
-            "left",
-        )
-        .withColumn("attempt_no", (F.col("attempt_no") + F.coalesce("so_far", F.lit(0))).cast("int"))
-        .select(*numbered.columns)
+    so_far = (
+        log.groupBy("user_id", _subject_key().alias("subject_key"))
+        .agg(n.alias("step"))
+        .join(keyed.select("user_id", "subject_key").distinct(), ["user_id", "subject_key"], "left_semi")
+        .withColumn("from_log", F.lit(True))
     )
+    rows = keyed.withColumns({"step": F.lit(1).cast("bigint"), "from_log": F.lit(False)})
+    together = rows.unionByName(so_far, allowMissingColumns=True)
+    return _numbered(together, F.col("step")).filter("not from_log").drop("step", "from_log")
 
 
 def combine_logs(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def attempts(spark):
     for pos, line in enumerate(ATTEMPTS.strip().splitlines()):
         at, user, subject, level, score, total, number, minutes = line.split(",")
         rows.append(
-            (pos, datetime.fromisoformat(at), int(user), subject, level, int(score), int(total), "quiz_data.csv", int(number), float(minutes))
+            (pos, datetime.fromisoformat(at), int(user), subject, level, int(score), int(total), "bank.csv", int(number), float(minutes))
         )
     return spark.createDataFrame(rows, SCHEMA)
 

@@ -4,7 +4,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from studylattice.plans import ordered
+from studylattice.operators import planner
+from studylattice.plans import ordered, skew
 from studylattice.plans.nearest import nearest
 from studylattice.plans.ordered import indexed_sums, with_position, with_running_sums
 
@@ -107,3 +108,54 @@ def test_nearest_is_exact(spark, kind, weight):
     for key, (peer, distance) in want.items():
         assert got[key][0] == peer, key
         assert got[key][1] == pytest.approx(distance, abs=1e-12) if distance is not None else got[key][1] is None
+
+
+@pytest.fixture
+def nothing_is_small(spark, many_partitions, monkeypatch):
+    """Shuffle joins only, and keys with more than 500 rows count as hot."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 500)
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name in settings:
+        spark.conf.set(name, "-1")
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_totals_reach_all_rows_and_a_hot_key_stays_spread(spark, nothing_is_small):
+    df, pdf = skewed(spark)
+    df = df.filter("key is not null")
+    totals = df.groupBy("key").agg(F.sum("t").alias("sum_t"), F.count("*").alias("n"), F.max(F.lit(None)).alias("nothing"))
+    joined = skew.join_totals(df, totals, ["key"], "n").withColumn("part", F.spark_partition_id()).toPandas()
+    want = pdf.dropna(subset=["key"])
+    sums = want.groupby("key").t.sum()
+    assert sorted(joined.id) == sorted(want.id)
+    assert (joined.sum_t == joined.key.map(sums)).all()
+    assert joined.nothing.isna().all()
+    hot = joined[joined.key == "hot"].part.value_counts()
+    assert len(hot) == 7 and hot.max() < 300  # 1,000 rows over 7 partitions
+
+
+def test_rows_without_totals_are_left_out(spark):
+    df, _ = skewed(spark)
+    totals = df.filter("key = 'hot'").groupBy("key").agg(F.count("*").alias("n"))
+    assert {r.key for r in skew.join_totals(df, totals, ["key"], "n").collect()} == {"hot"}
+
+
+def test_a_hot_request_is_planned_like_any_other(spark, nothing_is_small):
+    items = spark.range(3000).selectExpr(
+        "IF(id % 3 = 0, 7L, 1000 + id % 300) AS request_id",
+        "id AS pos",
+        "concat('S', id) AS name",
+        "CAST(1 + id % 5 AS INT) AS priority",
+        "CAST(1 + id % 4 AS INT) AS difficulty_level",
+        "0.5D * (id % 4) AS min_hours",
+        "2000.0D AS total_hours",
+    )
+    plan = planner.allocate_softmax(items).toPandas()
+    assert sorted(plan.pos) == list(range(3000))
+    assert plan[plan.request_id == 7].hours.sum() == pytest.approx(2000, rel=0.05)
+    assert len(planner.allocate_proportional(items).filter("request_id = 7").collect()) > 500
+    shares = planner.plan_shares(planner.allocate_softmax(items)).groupBy("request_id").agg(F.sum("share").alias("s"))
+    assert all(r.s == pytest.approx(100) for r in shares.collect())

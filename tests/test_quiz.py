@@ -95,8 +95,8 @@ def test_csv_header_in_any_order_and_bad_values(spark, tmp_path):
     path = tmp_path / "log.csv"
     path.write_text(
         " Score ,TIMESTAMP,user_id,subject,difficulty,total,dataset,attempt_no,time_spent(mins)\n"
-        "3,2025-10-12T20:00:00,102,Maths,Hard,5,quiz_data.csv,1,9\n"
-        "oops,2025-10-12T20:00:00,103,Maths,Hard,5,quiz_data.csv,1,0.37\n"
+        "3,2025-10-12T20:00:00,102,Maths,Hard,5,bank.csv,1,9\n"
+        "oops,2025-10-12T20:00:00,103,Maths,Hard,5,bank.csv,1,0.37\n"
     )
     rows = files.read_attempts_csv(spark, str(path))
     assert records(rows, "user_id", "score", "time_spent_mins", "log_pos") == [(102, 3, 9.0, 1), (103, None, 0.37, 1)]
