@@ -101,10 +101,9 @@ def allocate_proportional(items: DataFrame) -> DataFrame:
         .agg(F.max(best).alias("best"), F.max_by(rest, best).alias("set"))
         .select("request_id", F.col("best.size").alias("size"), "set.*")
     )
-    widest = checkpointed(widest)  # one row per request, read three times below
     full = widest.filter("points >= highest")
     short = _fullest_small_sets(measured, widest.filter("points < highest"))
-    sets = full.drop("size").unionByName(short)
+    sets = checkpointed(full.drop("size").unionByName(short))  # one row per request
 
     taken = F.element_at(F.array(*picked), F.col("priority"))
     eligible = (
