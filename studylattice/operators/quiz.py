@@ -70,7 +70,7 @@ def _numbered(rows: DataFrame, step: Column) -> DataFrame:
 
 def finished_attempts(sessions: DataFrame, grades: DataFrame) -> DataFrame:
     """Log rows, not numbered yet, for the graded sittings."""
-    seconds = F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("finished_at")) / 1e6
+    seconds = _seconds(F.col("finished_at") - F.col("started_at"))
     return sessions.filter(valid_user(F.col("user_id"))).join(grades, "session_id").select(
         F.col("session_id").alias("log_pos"),
         _whole_seconds(F.col("finished_at")).alias("attempt_ts"),
@@ -85,8 +85,14 @@ def finished_attempts(sessions: DataFrame, grades: DataFrame) -> DataFrame:
 
 
 def _whole_seconds(moment: Column) -> Column:
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_add("SECOND", F.timestamp_diff("SECOND", epoch, moment), epoch)
+    second = F.extract(F.lit("SECOND"), moment)
+    return moment - F.make_dt_interval(secs=second - F.floor(second))
+
+
+def _seconds(span: Column) -> Column:
+    """Length of an interval; unlike a timestamp difference it knows no time zone."""
+    parts = (("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60), ("SECOND", 1))
+    return sum((F.extract(F.lit(part), span).cast("double") * size for part, size in parts), F.lit(0.0))
 
 
 def valid_user(user: Column) -> Column:
