@@ -165,3 +165,64 @@ def texts_of(docs: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint where its counted rows take at most BROADCAST_BYTES."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def filter_texts(docs: DataFrame, keep) -> DataFrame:
+    """The rows of ``docs`` for whose texts ``keep`` (binary array -> boolean numpy array) says so,
+    with all columns and without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            at = 0
+            texts = pa.RecordBatch.from_arrays([whole["text"].cast(pa.binary())], ["text"])
+            for part in batches_of(texts, "text", STEP_BYTES):
+                yield whole.slice(at, part.num_rows).filter(pa.array(keep(part["text"])))
+                at += part.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def remainder(modulus: int):
+    """crc32 of the doc_id as text modulo ``modulus``; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def held_out_rows(modulus: int, left_out: int):
+    return F.coalesce(remainder(modulus) == left_out, F.lit(False))
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, modulus: int, left_out: int, rows: int
+) -> DataFrame:
+    """(text, label) of at most about ``rows`` labelled documents, as evenly of both classes as they
+    come, plus the weight that gives a class its share of all labels back.
+
+    Rows whose id leaves the remainder ``left_out`` are not looked at. Labels other than 0 and 1,
+    and null ids, are left out; of several labels of an id the larger counts. Sampling is by a hash
+    of the id, so it is the same in every run. Only the chosen ids, at most about ``rows``, are
+    broadcast.
+    """
+    usable = (
+        labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label"))
+        .filter(F.col("label").isin(0, 1) & ~held_out_rows(modulus, left_out) & F.col("doc_id").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.max("label").alias("label"))
+    )
+    counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    lesser = min(rows // 2, *counts.values()) if counts else 0
+    quota = {k: n if n == lesser else min(n, rows - lesser) for k, n in counts.items()}
+    total, scale = sum(counts.values()), 1 << 20
+    chosen = usable.filter("false")
+    for value, n in counts.items():
+        share = int(scale * quota[value] / n)
+        chosen = chosen.union(
+            usable.filter((F.col("label") == value) & (F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share)).select(
+                "doc_id", "label"
+            )
+        )
+    weight = F.lit(1.0)
+    for value, n in counts.items():
+        weight = F.when(F.col("label") == value, F.lit(n / total / (quota[value] / sum(quota.values())))).otherwise(weight)
+    return texts_of(docs).join(F.broadcast(chosen.withColumn("weight", weight)), "doc_id").select(
+        "text", "label", "weight"
+    )

@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from studylattice.llm import near_dedup
-from studylattice.session import allow_skewed_joins
+from studylattice.llm import (
+    decontaminate,
+    embed_dedup,
+    near_dedup,
+    packing,
+    quality,
+    toxicity,
+    warc,
+    wrappers,
+)
+from studylattice.session import allow_skewed_joins, fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +37,110 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+@query
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_dir(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    return warc.summaries(warc.read_archive(spark, folder))
+
+
+@query
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
+# Words as every operator sees them: A-Z lower-cased, cut at space and tab to carriage return.
+_WORDS = """list_filter(string_split_regex(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"""
+
+SQL["op1_benchmark_decontamination"] = f"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+docs AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+item_runs AS (SELECT DISTINCT item_id, least(5, len(w)) AS size,
+    unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), i -> array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) AS run
+  FROM items WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM item_runs),
+doc_runs AS (SELECT DISTINCT r, doc_id, size,
+    unnest(list_transform(range(1, len(w) - size + 2), i -> array_to_string(w[i:i + size - 1], ' '))) AS run
+  FROM docs, sizes WHERE len(w) >= size),
+totals AS (SELECT item_id, count(*) AS n_item FROM item_runs GROUP BY item_id),
+shared AS (SELECT r, doc_id, item_id, count(*) AS n_shared FROM item_runs JOIN doc_runs USING (size, run)
+  GROUP BY r, doc_id, item_id)
+SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+FROM shared JOIN totals USING (item_id) WHERE 100 * n_shared >= 80 * n_item"""
+
+# The smallest id reachable over links (a, b) held in both directions.
+_REACHED = """reached AS (SELECT a AS node, b AS other FROM both_ways UNION SELECT r.node, l.b FROM reached r JOIN both_ways l ON r.other = l.a),
+lowest AS (SELECT node, min(other) AS low FROM reached GROUP BY node)"""
+
+SQL["op7_minhash_near_dedup"] = f"""
+WITH RECURSIVE docs AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+runs AS MATERIALIZED (SELECT doc_id, hash(run) AS run FROM (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 1 THEN w
+    ELSE list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) END)) AS run FROM docs WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS s FROM runs x JOIN runs y USING (run)
+  WHERE x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * s >= 80 * (p.n + q.n - s)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+{_REACHED}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
+  doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
+FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON node = doc_id"""
+
+SQL["op2_embedding_near_dedup"] = f"""
+WITH RECURSIVE vectors AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], x -> x * x))) AS norm,
+    row_number() OVER () AS r FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b, x.r FROM vectors x JOIN vectors y
+  ON x.label = y.label AND len(x.v) = len(y.v) AND x.r <> y.r AND x.norm > 0 AND y.norm > 0
+  WHERE list_dot_product(x.v, y.v) / (x.norm * y.norm) >= 0.93),
+both_ways AS MATERIALIZED (SELECT DISTINCT a, b FROM links),
+{_REACHED}
+SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(low, e.vec_id)) AS component_id,
+  coalesce(e.vec_id = least(e.vec_id, coalesce(low, e.vec_id)), false) AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = e.vec_id LEFT JOIN lowest ON node = e.vec_id"""
+
+# 40 bits of a digest as eight base-32 digits.
+_PART = "lpad(to_base(CAST('0x' || substr(d, {0}, 10) AS BIGINT), 32), 8, '0')"
+SQL["op8_warc_archive"] = f"""
+WITH records AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS d FROM pages),
+firsts AS (SELECT payload, min(page_id) AS first_page FROM records GROUP BY payload)
+SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
+  translate({" || ".join(_PART.format(i) for i in (1, 11, 21, 31))}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN page_id > first_page THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_page THEN first_page END AS refers_to
+FROM records JOIN firsts USING (payload)"""
