@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from studylattice.llm.components import UnionFind, components
 from studylattice.session import checkpointed
@@ -175,7 +176,7 @@ def linked_vectors(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
     named = classes.select("key_high", "key_low", "rep", "copies", "label", "size", "vector").withColumn(
         "name", F.col("key_high").bitwiseXOR(F.col("key_low") * 31)
     )
-    schema = named.schema.add("place", "double")
+    schema = T.StructType([*named.schema.fields, T.StructField("place", T.DoubleType())])
     placed = checkpointed(named.mapInArrow(_project, schema))
     grid = [(i + 1) / CUTS for i in range(CUTS - 1)]
     groups = placed.groupBy("label", "size").agg(

@@ -306,3 +306,19 @@ def near_duplicates(
         .select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
+
+
+def without_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD_PERCENT) -> DataFrame:
+    """The rows of ``docs`` with one document of each group left, the one with the smallest doc_id, and
+    with all their columns. Rows without an id all stay; rows that repeat both an id and its text
+    stay once."""
+    grouped = checkpointed(near_duplicates(docs, words, threshold))
+    dropped = grouped.filter("not kept and doc_id is not null").select("doc_id").distinct()
+    left = docs.join(broadcast_if_small(dropped, dropped.count(), 32), "doc_id", "left_anti").select(docs.columns)
+    repeated = grouped.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    repeated = broadcast_if_small(repeated, repeated.count(), 32)
+    once = left.join(repeated, "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("text"))
+    once = once.dropDuplicates(["doc_id", "text_hash"]).select(docs.columns)
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).union(once)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from studylattice.llm import (
     decontaminate,
     embed_dedup,
+    licenses,
+    lm_score,
     near_dedup,
     packing,
     quality,
@@ -65,6 +67,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
@@ -82,19 +89,24 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_texts(table(spark, sf_dir, "pages"))
 
 
+@query
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licence_notices(table(spark, sf_dir, "documents"))
+
+
 # Words as every operator sees them: A-Z lower-cased, cut at space and tab to carriage return.
 _WORDS = """list_filter(string_split_regex(translate(coalesce(text, ''),
-  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), w -> w <> '')"""
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"""
 
 SQL["op1_benchmark_decontamination"] = f"""
 WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
 docs AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
 item_runs AS (SELECT DISTINCT item_id, least(5, len(w)) AS size,
-    unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), i -> array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) AS run
+    unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) AS run
   FROM items WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT size FROM item_runs),
 doc_runs AS (SELECT DISTINCT r, doc_id, size,
-    unnest(list_transform(range(1, len(w) - size + 2), i -> array_to_string(w[i:i + size - 1], ' '))) AS run
+    unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS run
   FROM docs, sizes WHERE len(w) >= size),
 totals AS (SELECT item_id, count(*) AS n_item FROM item_runs GROUP BY item_id),
 shared AS (SELECT r, doc_id, item_id, count(*) AS n_shared FROM item_runs JOIN doc_runs USING (size, run)
@@ -109,7 +121,7 @@ lowest AS (SELECT node, min(other) AS low FROM reached GROUP BY node)"""
 SQL["op7_minhash_near_dedup"] = f"""
 WITH RECURSIVE docs AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
 runs AS MATERIALIZED (SELECT doc_id, hash(run) AS run FROM (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 1 THEN w
-    ELSE list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) END)) AS run FROM docs WHERE len(w) > 0)),
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS run FROM docs WHERE len(w) > 0)),
 sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id),
 shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS s FROM runs x JOIN runs y USING (run)
   WHERE x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
@@ -122,9 +134,9 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)
 FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON node = doc_id"""
 
 SQL["op2_embedding_near_dedup"] = f"""
-WITH RECURSIVE vectors AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], x -> x * x))) AS norm,
+WITH RECURSIVE vectors AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm,
     row_number() OVER () AS r FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b, x.r FROM vectors x JOIN vectors y
   ON x.label = y.label AND len(x.v) = len(y.v) AND x.r <> y.r AND x.norm > 0 AND y.norm > 0
   WHERE list_dot_product(x.v, y.v) / (x.norm * y.norm) >= 0.93),

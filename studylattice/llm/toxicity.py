@@ -8,6 +8,7 @@ Embeddings and softmax are trained together in numpy. Only the text is used.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,9 +33,9 @@ THRESHOLD = 0.5
 BUCKET_BITS, DIMENSIONS = 17, 8
 BUCKETS = 1 << BUCKET_BITS
 # Lengths of n-grams in bytes, the marks at a word's borders included.
-GRAMS = (3, 5, 7)
+GRAMS = (3, 4, 5, 7)
 PASSAGE_WORDS = 16
-STEPS, RATE, DECAY, MIN_PASSAGES = 80, 0.08, 2e-6, 4
+STEPS, RATE, DECAY, MIN_PASSAGES = 140, 0.08, 2e-6, 4
 
 # Bytes that end a word: everything in ASCII but letters and digits.
 _BORDER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -79,18 +80,9 @@ class _Words:
             if n:
                 clear = clear & (self.data[n : n + count] != 32)
 
-    def whole(self) -> np.ndarray:
-        """The bucket of each word as a whole."""
-        sums = _running(_CODES[0][self.data].astype(np.uint64))
-        place = np.arange(len(self.data), dtype=np.uint64)
-        squares = _running(_CODES[1][self.data].astype(np.uint64) * place)
-        flat = sums[self.ends] - sums[self.starts]
-        tilted = squares[self.ends] - squares[self.starts] - flat * self.starts.astype(np.uint64)
-        return (mixed(flat * np.uint64(31) + tilted) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32)
-
     def pulls(self, pull: np.ndarray) -> np.ndarray:
         """The mean of ``pull`` over the buckets of each word."""
-        total, count = pull[self.whole()], np.ones(len(self.starts))
+        total, count = np.zeros(len(self.starts)), np.zeros(len(self.starts))
         for n, buckets, clear in self.grams():
             sums = _running(np.where(clear, pull[buckets], 0.0))
             lasts = np.maximum(self.ends + 2 - n, self.starts - 1)
@@ -100,7 +92,7 @@ class _Words:
 
     def bags(self) -> tuple[np.ndarray, np.ndarray]:
         """All buckets of all words, word by word, and how many each word has."""
-        owners, found = [np.arange(len(self.starts))], [self.whole()]
+        owners, found = [], []
         for n, buckets, clear in self.grams():
             lasts = np.maximum(self.ends + 2 - n, self.starts - 1)
             counts = lasts - self.starts + 1
@@ -164,11 +156,14 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> ToxicityMo
     training goes on, so at first all passages count and at last the worst one."""
     found = [_Words.of(text.lower().encode("utf-8", "replace")) for text in texts]
     counts = np.array([max(1, len(w.starts)) for w in found])
-    spelled = [
-        bytes(w.data[a:b]) for w in found for a, b in (zip(w.starts.tolist(), w.ends.tolist()) if len(w.starts) else [(0, 0)])
-    ]
     numbers: dict[bytes, int] = {}
-    token = np.array([numbers.setdefault(w, len(numbers)) for w in spelled], np.int32)
+    token = array("i")
+    for words in found:
+        spelled = words.data.tobytes()
+        spans = zip(words.starts.tolist(), words.ends.tolist())
+        token.extend([numbers.setdefault(spelled[a:b], len(numbers)) for a, b in spans] or [numbers.setdefault(b"", len(numbers))])
+    del found
+    token = np.array(token)
     per_text = -(-counts // PASSAGE_WORDS)
     passages = int(per_text.sum())
     document = np.repeat(np.arange(len(texts)), per_text)
@@ -177,7 +172,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> ToxicityMo
     passage = np.repeat(first, counts) + within // PASSAGE_WORDS
     # The empty word of an empty text takes the place of one without buckets of its own.
     grams, sizes = _Words.of(b" ".join(w or b"0" for w in numbers)).bags()
-    owner = np.repeat(np.arange(len(numbers)), sizes)
+    owner = np.repeat(np.arange(len(numbers), dtype=np.int32), sizes)
     # A word counts once in a passage, so repeats do not drown the rest.
     pairs = np.unique(passage.astype(np.int64) * len(numbers) + token)
     passage, token = (pairs // len(numbers)).astype(np.int32), (pairs % len(numbers)).astype(np.int32)
@@ -189,7 +184,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> ToxicityMo
     embeddings = _Adam(random.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32))
     softmax = _Adam(np.stack([-np.ones(DIMENSIONS), np.ones(DIMENSIONS)]).astype(np.float32))
     bias = _Adam(np.zeros(2, np.float32))
-    weights = weights / weights.sum()
+    weights = np.sqrt(weights) / np.sqrt(weights).sum()
     for step in range(STEPS):
         direction = softmax.value[1] - softmax.value[0]
         pull = embeddings.value @ direction
