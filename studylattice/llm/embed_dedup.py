@@ -174,7 +174,7 @@ def linked_vectors(embeddings: DataFrame, threshold: float = 0.93) -> DataFrame:
     )
     # Rows that repeat an id with another vector still need a name of their own.
     named = classes.select("key_high", "key_low", "rep", "copies", "label", "size", "vector").withColumn(
-        "name", F.col("key_high").bitwiseXOR(F.col("key_low") * 31)
+        "name", F.xxhash64("key_high", "key_low")
     )
     schema = T.StructType([*named.schema.fields, T.StructField("place", T.DoubleType())])
     placed = checkpointed(named.mapInArrow(_project, schema))
