@@ -54,7 +54,7 @@ def course_grades(assignments: DataFrame) -> DataFrame:
             "current_grade",
             "completed_weight",
             "projected_grade",
-            F.when(F.col("completed_weight") < 100, F.col("current_grade"))
+            F.when(rules.settled(F.col("completed_weight")) < 100, F.col("current_grade"))
             .otherwise(F.col("projected_grade"))
             .alias("display_grade"),
         )
@@ -64,15 +64,15 @@ def course_grades(assignments: DataFrame) -> DataFrame:
 def required_scores(assignments: DataFrame, courses: DataFrame) -> DataFrame:
     """Mean score needed on the remaining work to reach the target, and what that means."""
     rows = _weights(assignments).join(courses.select("course_id", "target"), "course_id")
-    open_work = F.col("remaining_weight") > 0
+    open_work = rules.settled(F.col("remaining_weight")) > 0
     needed = F.when(
         F.col("remaining_weight") != 0,
         (F.col("target") - F.col("earned")) / (F.col("remaining_weight") / 100.0),
     ).otherwise(F.col("earned"))
     required = F.greatest(F.lit(0.0), needed)
-    reached = F.col("earned") >= F.col("target")
+    reached = rules.settled(F.col("earned")) >= F.col("target")
     status = (
-        F.when(open_work & (required > 100), "UNACHIEVABLE")
+        F.when(open_work & (rules.settled(required) > 100), "UNACHIEVABLE")
         .when(open_work & reached, "SECURED")
         .when(open_work, "NEEDS_SCORE")
         .when(reached, "MEETS_TARGET")
@@ -122,8 +122,8 @@ def goal_status(assignments: DataFrame, courses: DataFrame) -> DataFrame:
         "mean_grade",
         gap.alias("gap"),
         F.when(gap.isNull(), "NO_DATA")
-        .when(gap <= 0, "ON_TRACK")
-        .when(gap <= _CLOSE_GAP, "CLOSE")
+        .when(rules.settled(gap) <= 0, "ON_TRACK")
+        .when(rules.settled(gap) <= _CLOSE_GAP, "CLOSE")
         .otherwise("NEEDS_IMPROVEMENT")
         .alias("status"),
     )
@@ -137,12 +137,12 @@ def study_time_allocation(assignments: DataFrame, courses: DataFrame) -> DataFra
     remaining = assignments.filter(~_done())
     totals = (
         remaining.groupBy("course_id")
-        .agg(F.sum("weight").alias("total_weight"), F.count("*").alias("open_items"))
+        .agg(F.sum("weight").alias("total_weight"))
         .join(courses.select("course_id", "available_hours"), "course_id")
     )
     hours = F.try_divide(F.col("weight"), F.col("total_weight")) * F.col("available_hours")
     rows = remaining.select("course_id", "assignment_name", "weight")
-    return join_totals(rows, totals, ["course_id"], "open_items").select(
+    return join_totals(rows, totals, ["course_id"]).select(
         "course_id",
         "assignment_name",
         "weight",
@@ -168,7 +168,7 @@ def grade_insights(assignments: DataFrame, courses: DataFrame) -> DataFrame:
     return facts.join(courses.select("course_id", "target"), "course_id").select(
         "course_id",
         "mean_grade",
-        (F.col("mean_grade") >= F.col("target")).alias("meets_target"),
+        (rules.settled(F.col("mean_grade")) >= F.col("target")).alias("meets_target"),
         "grade_std",
         F.when(rules.settled(F.col("grade_std")) > _VARIED_STD, "VARIED").otherwise("CONSISTENT").alias("consistency"),
         F.when(several, F.col("best")).alias("best"),
@@ -188,7 +188,7 @@ def course_progress(assignments: DataFrame) -> DataFrame:
 def course_weight_check(assignments: DataFrame) -> DataFrame:
     """Courses whose weights do not add up to 100."""
     totals = assignments.groupBy("course_id").agg(F.sum("weight").alias("total_weight"))
-    return totals.filter(F.col("total_weight") != 100)
+    return totals.filter(rules.settled(F.col("total_weight")) != 100)
 
 
 def grade_series(assignments: DataFrame, courses: DataFrame) -> DataFrame:

@@ -25,12 +25,12 @@ def _softmax(items: DataFrame, score: Column) -> DataFrame:
     """Minimum hours plus a softmax share of what is left; requests whose minimums exceed
     their hours have no plan. Totals are joined back, so a large request stays spread."""
     totals = items.groupBy("request_id").agg(
-        F.sum("min_hours").alias("needed"), F.sum(F.exp(score)).alias("mass"), F.count("*").alias("items")
+        F.sum("min_hours").alias("needed"), F.sum(F.exp(score)).alias("mass")
     )
     share = (F.col("total_hours") - F.col("needed")) * F.exp(score) / F.col("mass")
     return (
-        join_totals(items, totals, ["request_id"], "items")
-        .filter("needed <= total_hours")
+        join_totals(items, totals, ["request_id"])
+        .filter(rules.settled(F.col("needed")) <= rules.settled(F.col("total_hours")))
         .withColumn("hours", rules.half_steps(F.col("min_hours") + share))
         .select(*_PLAN)
     )
@@ -53,7 +53,9 @@ def _budget() -> Column:
     (points * m / p) fits into the request's hours.
     """
     points = F.col("total_hours") * F.col("priority") / F.col("min_hours")
-    return F.when(F.col("min_hours") <= 0, F.lit(1e15)).otherwise(F.floor(points).cast("double"))
+    # 1.2 / 0.4 is a little under 3: settle the quotient before it is cut.
+    whole = F.floor(rules.settled(points)).cast("double")
+    return F.when(F.col("min_hours") <= 0, F.lit(float("inf"))).otherwise(whole)
 
 
 def _demand() -> Column:
@@ -73,29 +75,34 @@ def allocate_proportional(items: DataFrame) -> DataFrame:
     Per request the work is one ordered pass over its distinct demands; no subsets of the
     request are formed. Runs jobs.
     """
-    usable = items.filter(F.col("priority").isin(*PRIORITIES))
-    measured = usable.withColumns({"demand": _demand(), "budget": _budget()})
-    highest = measured.groupBy("request_id").agg(
-        F.max("priority").alias("highest"), F.count("*").alias("items")
+    known = F.coalesce(F.col("priority").isin(*PRIORITIES), F.lit(False))
+    priority = F.when(known, F.col("priority")).otherwise(
+        F.raise_error(F.concat(F.lit("priority must be 1 to 5, not "), F.coalesce(F.col("priority").cast("string"), F.lit("NULL")))).cast("int")
     )
-
+    measured = items.withColumn("priority", priority).withColumns({"demand": _demand(), "budget": _budget()})
     counts = [F.count_if(F.col("priority") == p).alias(f"n{p}") for p in PRIORITIES]
-    bands = measured.groupBy("request_id", "demand").agg(F.max("budget").alias("budget"), *counts)
+    bands = checkpointed(
+        measured.groupBy("request_id", "demand").agg(
+            F.max("budget").alias("budget"), F.max("priority").alias("band_highest"), *counts
+        )
+    )
+    highest = bands.groupBy("request_id").agg(F.max("band_highest").alias("highest"))
+    bands = bands.drop("band_highest")
     upto = with_running_sums(
         bands, ["request_id"], [F.col("demand").asc()], {f"upto{p}": F.col(f"n{p}") for p in PRIORITIES}
     )
-    upto = join_totals(upto, highest, ["request_id"], "items").filter("budget >= highest")
+    upto = join_totals(upto, highest, ["request_id"]).filter("budget >= highest")
 
     # The most subjects within the budget: the cheapest priorities first.
     left = F.col("budget")
     for p in PRIORITIES:
-        upto = upto.withColumn(f"c{p}", F.least(F.col(f"upto{p}").cast("double"), F.floor(left / p)).cast("bigint"))
+        upto = upto.withColumn(f"c{p}", F.floor(F.least(F.col(f"upto{p}").cast("double"), left / p)).cast("bigint"))
         left = left - p * F.col(f"c{p}")
     picked = [f"c{p}" for p in PRIORITIES]
     size = sum((F.col(c) for c in picked[1:]), F.col(picked[0]))
     points = sum((p * F.col(f"c{p}") for p in PRIORITIES[1:]), F.col("c1"))
     best = F.struct(size.alias("size"), (-F.col("demand")).alias("ease"))
-    rest = F.struct("demand", "highest", "items", points.alias("points"), *picked)
+    rest = F.struct("demand", "highest", points.alias("points"), *picked)
     widest = (
         upto.groupBy("request_id")
         .agg(F.max(best).alias("best"), F.max_by(rest, best).alias("set"))
@@ -107,7 +114,7 @@ def allocate_proportional(items: DataFrame) -> DataFrame:
 
     taken = F.element_at(F.array(*picked), F.col("priority"))
     eligible = (
-        join_totals(measured, sets.withColumnRenamed("demand", "limit"), ["request_id"], "items")
+        join_totals(measured, sets.withColumnRenamed("demand", "limit"), ["request_id"])
         .filter("demand <= limit")
         .withColumn("taken", taken)
         .filter("taken > 0")
@@ -136,8 +143,8 @@ def _fullest_small_sets(measured: DataFrame, widest: DataFrame) -> DataFrame:
     lists = (
         measured.withColumn("nth", F.row_number().over(least))
         .filter(F.col("nth") <= most)
-        .join(widest.select("request_id", "size", "highest", "items"), "request_id")
-        .groupBy("request_id", "size", "highest", "items")
+        .join(widest.select("request_id", "size", "highest"), "request_id")
+        .groupBy("request_id", "size", "highest")
         .agg(*[
             F.array_sort(F.collect_list(F.when(F.col("priority") == p, F.struct("demand", "budget")))).alias(f"d{p}")
             for p in PRIORITIES
@@ -160,7 +167,6 @@ def _fullest_small_sets(measured: DataFrame, widest: DataFrame) -> DataFrame:
     tried = tried.select(
         "request_id",
         "highest",
-        "items",
         points.cast("bigint").alias("points"),
         F.greatest(*hardest("demand")).alias("demand"),
         F.least(*hardest("budget")).alias("budget"),
@@ -172,10 +178,9 @@ def _fullest_small_sets(measured: DataFrame, widest: DataFrame) -> DataFrame:
         "points",
         *[f"c{p}" for p in reversed(PRIORITIES)],
         "highest",
-        "items",
     )
     return tried.groupBy("request_id").agg(F.min(choice).alias("set")).select(
-        "request_id", "set.demand", "set.highest", "set.items", "set.points", *[f"set.c{p}" for p in PRIORITIES]
+        "request_id", "set.demand", "set.highest", "set.points", *[f"set.c{p}" for p in PRIORITIES]
     )
 
 
@@ -190,8 +195,8 @@ def plan_summary(plan: DataFrame) -> DataFrame:
 
 def plan_shares(plan: DataFrame) -> DataFrame:
     """Every subject's share of its request's planned hours."""
-    totals = plan.groupBy("request_id").agg(F.sum("hours").alias("planned"), F.count("*").alias("items"))
-    return join_totals(plan, totals, ["request_id"], "items").select(
+    totals = plan.groupBy("request_id").agg(F.sum("hours").alias("planned"))
+    return join_totals(plan, totals, ["request_id"]).select(
         "request_id", "name", "hours", (F.try_divide(F.col("hours"), F.col("planned")) * 100.0).alias("share")
     )
 

@@ -45,8 +45,9 @@ def quiz_sample(bank: DataFrame, seed: int = K.MODEL_SEED, size: int = K.QUESTIO
 
 def grade_responses(responses: DataFrame, bank: DataFrame) -> DataFrame:
     """Correct answers and questions asked per sitting. An answer counts when it equals the
-    key exactly; Spark broadcasts the bank only if its size allows."""
-    graded = responses.join(bank.select("question_id", "answer"), "question_id")
+    key exactly; a question the bank does not know is asked all the same, and never right. Spark
+    broadcasts the bank only if its size allows."""
+    graded = responses.join(bank.select("question_id", "answer"), "question_id", "left")
     return graded.groupBy("session_id").agg(
         F.count_if(F.col("choice") == F.col("answer")).cast("int").alias("score"),
         F.count("*").cast("int").alias("total"),

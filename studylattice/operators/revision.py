@@ -24,7 +24,7 @@ def _per_level(attempts: DataFrame) -> DataFrame:
     percent, minutes = rules.score_percent(), F.col("time_spent_mins")
     numbered = "attempt_no" in attempts.columns
     number = (F.col("attempt_no") if numbered else F.lit(None)).cast("int")
-    return attempts.filter("difficulty is not null").groupBy(*TARGET).agg(
+    return attempts.groupBy(*TARGET).agg(
         F.count("*").alias("n"),
         F.count(percent).alias("percent_n"),
         F.sum(percent).alias("percent_sum"),
@@ -43,7 +43,7 @@ def _targets(attempts: DataFrame) -> DataFrame:
     level = F.struct(*[F.col(c) for c in _per_level(attempts).columns if c not in KEYS])
     subjects = _per_level(attempts).groupBy(*KEYS).agg(F.array_sort(F.collect_list(level)).alias("all"))
     standard = F.array(*[F.lit(name) for name in K.LEVELS])
-    target = F.explode(F.array_union(standard, F.col("all.difficulty")))
+    target = F.explode(F.array_union(standard, F.array_compact("all.difficulty")))
     rows = subjects.select(*KEYS, target.alias("difficulty"), "all")
     own = F.filter("all", lambda r: r["difficulty"] == F.col("difficulty"))
     return rows.withColumn("own", F.get(own, F.lit(0))).withColumn(
@@ -70,7 +70,7 @@ def training_set_fallback(attempts: DataFrame) -> DataFrame:
         *TARGET,
         "is_prediction_mode",
         _over("n").cast("bigint").alias("training_rows"),
-        F.array_join(F.col("all.difficulty"), ", ").alias("available"),
+        F.array_join(F.array_sort(F.array_compact("all.difficulty")), ", ").alias("available"),
     )
 
 
@@ -89,7 +89,7 @@ def _summary(attempts: DataFrame) -> DataFrame:
             "avg_minutes": F.try_divide(_over("minutes_sum"), _over("minutes_n")),
         }
     )
-    return rows.withColumn("performance", rules.performance_label(F.col("avg_percent")))
+    return rows.withColumn("performance", rules.performance_label(rules.settled(F.col("avg_percent"))))
 
 
 def performance_label(attempts: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def performance_label(attempts: DataFrame) -> DataFrame:
 
 def revision_recommendations(attempts: DataFrame) -> DataFrame:
     """Advice codes per target, one row each, in the order they are shown."""
-    score, minutes = F.col("avg_percent"), F.col("avg_minutes")
+    score, minutes = rules.settled(F.col("avg_percent")), rules.settled(F.col("avg_minutes"))
     pace = F.when(minutes < 10, "EXTEND_SESSIONS").when(minutes > 45, "TAKE_BREAKS")
     advice = F.array_compact(
         F.concat(
@@ -146,8 +146,7 @@ def recent_attempts(attempts: DataFrame, last: int = 5) -> DataFrame:
     """
     newest = F.col("log_pos").desc()
     kept = (
-        attempts.filter("difficulty is not null")
-        .withColumn("back", F.row_number().over(Window.partitionBy(*TARGET).orderBy(newest)))
+        attempts.withColumn("back", F.row_number().over(Window.partitionBy(*TARGET).orderBy(newest)))
         .filter(F.col("back") <= last)
         .select(*KEYS, F.col("difficulty").alias("taken_at"), "log_pos", "attempt_ts", "score", "total", "time_spent_mins")
     )
@@ -156,7 +155,7 @@ def recent_attempts(attempts: DataFrame, last: int = 5) -> DataFrame:
         F.collect_list(F.struct("log_pos", "taken_at", "attempt_ts", "score", "total", "time_spent_mins")).alias("rows")
     )
     standard = F.array(*[F.lit(name) for name in K.LEVELS])
-    target = F.explode(F.array_union(standard, F.array_distinct(F.col("rows.taken_at"))))
+    target = F.explode(F.array_union(standard, F.array_compact(F.array_distinct("rows.taken_at"))))
     rows = listed.select(*KEYS, target.alias("difficulty"), "rows")
     own = F.filter("rows", lambda r: r["taken_at"] == F.col("difficulty"))
     chosen = F.when(F.size(own) > 0, own).otherwise(F.col("rows"))
@@ -179,10 +178,12 @@ def recent_attempts(attempts: DataFrame, last: int = 5) -> DataFrame:
 
 
 def _level_means(rows: DataFrame) -> DataFrame:
-    """Unweighted means over a subject's levels: what an unseen level is predicted from."""
+    """Unweighted means over a subject's levels: what an unseen level is predicted from. Attempts
+    without a level belong to no level and do not count here."""
+    levels = F.filter("all", lambda r: r["difficulty"].isNotNull())
 
     def mean(value) -> Column:
-        values = F.array_compact(F.transform("all", value))
+        values = F.array_compact(F.transform(levels, value))
         return F.try_divide(
             F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v), F.size(values).cast("double")
         )

@@ -146,7 +146,7 @@ _BLOCKS: dict[str, str] = {
         SELECT l_orderkey AS session_id,
           CAST(COUNT(*) FILTER ((CASE WHEN l_returnflag = 'A' THEN p_brand ELSE 'Brand#' || (l_suppkey % 25 + 1) END) = p_brand) AS INTEGER) AS score,
           CAST(COUNT(*) AS INTEGER) AS total
-        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey""",
+        FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey""",
     "fresh": f"""
         SELECT o_orderkey AS log_pos, date_trunc('second', finished_at) AS attempt_ts, o_custkey AS user_id,
           CASE SUBSTR(o_orderpriority, 1, 1) WHEN '1' THEN 'Maths' WHEN '2' THEN 'Science' WHEN '3' THEN 'Social Studies'
@@ -212,7 +212,7 @@ _BLOCKS: dict[str, str] = {
         FROM items GROUP BY request_id""",
     "subsets": """
         SELECT m.request_id, m.mask, m.highest, COUNT(*) AS k, SUM(priority) AS points, MAX(min_hours / priority) AS demand,
-          MIN(CASE WHEN min_hours > 0 THEN FLOOR(i.total_hours * priority / min_hours) ELSE 1e15 END) AS budget,
+          MIN(CASE WHEN min_hours > 0 THEN FLOOR(ROUND(i.total_hours * priority / min_hours, 9)) ELSE CAST('Infinity' AS DOUBLE) END) AS budget,
           COUNT(*) FILTER (priority = 5) AS c5, COUNT(*) FILTER (priority = 4) AS c4, COUNT(*) FILTER (priority = 3) AS c3,
           COUNT(*) FILTER (priority = 2) AS c2, COUNT(*) FILTER (priority = 1) AS c1
         FROM (SELECT request_id, highest, UNNEST(range(1, CAST(pow(2, n) AS BIGINT))) AS mask FROM requests) m
@@ -278,7 +278,7 @@ _add(
 _add(
     "combine_logs",
     ("attempts", "graded", "fresh"),
-    """SELECT * REPLACE (CAST(NULL AS DOUBLE) AS time_spent_mins) FROM attempts UNION ALL BY NAME
+    """SELECT * FROM attempts UNION ALL BY NAME
        SELECT * REPLACE (log_pos + (SELECT MAX(log_pos) + 1 FROM attempts) AS log_pos) FROM fresh""",
     ("time_spent_mins",),
 )

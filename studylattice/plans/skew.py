@@ -1,38 +1,18 @@
-"""Joining totals back to the rows they were taken from, with hot keys kept spread.
-
-AQE splits a skewed join only between two shuffles; totals that come straight out of an
-aggregation on the same key have none, so a hot key would go to one task.
-"""
+"""Joining totals back to the rows they were taken from, with hot keys kept spread."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# A key with more rows than this is hot; any task can stream this many rows through a join.
-HOT_ROWS = 10_000_000
-_SALTS = 4096
+from studylattice.session import checkpointed
 
 
-def join_totals(rows: DataFrame, totals: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
-    """Inner join of ``rows`` with ``totals``, which has one row per key and in ``size`` the
-    number of rows of the key (or more).
+def join_totals(rows: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``totals``, which has one row per key.
 
-    Totals of hot keys are broadcast: there are at most (all rows / HOT_ROWS) of them. Rows
-    that found theirs get a salt that matches nothing and spreads them over the second join,
-    which serves all other keys; so the rows are read once and no task gets a whole hot key.
+    The totals are checkpointed, so both sides of the join are plain shuffles and AQE can split a
+    hot key over several tasks; straight out of an aggregation on the key it could not. Runs a job.
     """
-    facts = [c for c in totals.columns if c not in keys]
-    hot = totals.filter(F.col(size) > HOT_ROWS).select(
-        *keys, *[F.col(c).alias(f"_hot_{c}") for c in facts]
-    )
-    marked = rows.join(F.broadcast(hot), list(keys), "left")
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(_SALTS)) + 2
-    salted = marked.withColumn("_salt", F.when(F.col(f"_hot_{size}").isNull(), F.lit(0)).otherwise(spread))
-    # 0 for cold keys; written as a comparison, since a constant would be dropped from the join.
-    cold = totals.withColumn("_salt", (F.col(size) > HOT_ROWS).cast("bigint"))
-    joined = salted.join(cold, [*keys, "_salt"], "left")
-    found = [F.coalesce(f"_hot_{c}", c).alias(c) for c in facts]
-    return joined.select(*rows.columns, *found).filter(F.col(size).isNotNull())
+    return rows.join(checkpointed(totals), list(keys))
