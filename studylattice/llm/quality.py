@@ -125,22 +125,35 @@ def _best_cut(gradient: np.ndarray, hessian: np.ndarray) -> tuple[float, int]:
     return float(gain[best]), best + 1
 
 
-def _shallow_tree(gradient: np.ndarray, hessian: np.ndarray, depth: int = 2) -> tuple[np.ndarray, float]:
-    """A tree over a one- or two-dimensional grid of bins: a value for each cell, and the gain."""
-    value = np.full(gradient.shape, -gradient.sum() / (hessian.sum() + SHRINK))
-    cuts = []
-    for axis in range(gradient.ndim):
-        rest = tuple(a for a in range(gradient.ndim) if a != axis)
-        cuts.append((*_best_cut(gradient.sum(rest), hessian.sum(rest)), axis))
-    gain, place, axis = max(cuts, default=(-1.0, 0, 0))
+def _shallow_tree(gradient: np.ndarray, hessian: np.ndarray, depth: int = 2) -> np.ndarray:
+    """A tree over the bins of one feature: a value for each bin."""
+    gain, place = _best_cut(gradient, hessian)
     if not depth or gain <= 0:
-        return value, 0.0
-    total = gain
-    for part in (slice(None, place), slice(place, None)):
-        side = tuple(part if a == axis else slice(None) for a in range(gradient.ndim))
-        value[side], below = _shallow_tree(gradient[side], hessian[side], depth - 1)
-        total += below
-    return value, total
+        return np.full(len(gradient), -gradient.sum() / (hessian.sum() + SHRINK))
+    sides = (slice(None, place), slice(place, None))
+    return np.concatenate([_shallow_tree(gradient[s], hessian[s], depth - 1) for s in sides])
+
+
+def _quadrants(gradient: np.ndarray, hessian: np.ndarray) -> tuple[np.ndarray, float]:
+    """The tree over two features that cuts both once: a value for each cell, and the gain. Both cuts
+    are chosen together, since one alone may gain nothing."""
+    best = (0.0, 0, 0)
+    if min(gradient.shape) > 1:
+        sums = [np.cumsum(np.cumsum(x, 0), 1) for x in (gradient, hessian)]
+        corners = []
+        for s in sums:
+            low, across, down = s[:-1, :-1], s[:-1, -1:], s[-1:, :-1]
+            corners.append((low, across - low, down - low, s[-1, -1] - across - down + low))
+        gain = sum(g * g / (h + SHRINK) for g, h in zip(*corners)) - gradient.sum() ** 2 / (hessian.sum() + SHRINK)
+        gain[np.minimum.reduce(corners[1]) < MIN_HESSIAN] = 0
+        at = np.unravel_index(int(np.argmax(gain)), gain.shape)
+        best = (float(gain[at]), int(at[0]) + 1, int(at[1]) + 1)
+    value = np.full(gradient.shape, -gradient.sum() / (hessian.sum() + SHRINK))
+    if best[0] > 0:
+        for rows in (slice(None, best[1]), slice(best[1], None)):
+            for columns in (slice(None, best[2]), slice(best[2], None)):
+                value[rows, columns] = -gradient[rows, columns].sum() / (hessian[rows, columns].sum() + SHRINK)
+    return value, best[0]
 
 
 @dataclass
@@ -182,9 +195,8 @@ class _Trainer:
     def step(self, cells: np.ndarray, shape: tuple[int, ...], table: np.ndarray) -> None:
         gradient, hessian = self.slopes()
         size = int(np.prod(shape))
-        tree, _ = _shallow_tree(
-            np.bincount(cells, gradient, size).reshape(shape), np.bincount(cells, hessian, size).reshape(shape)
-        )
+        grids = [np.bincount(cells, s, size).reshape(shape) for s in (gradient, hessian)]
+        tree = _shallow_tree(*grids) if len(shape) == 1 else _quadrants(*grids)[0]
         table += RATE * tree
         self.total += RATE * tree.reshape(-1)[cells]
 
@@ -205,7 +217,7 @@ class _Trainer:
                 shape = (len(coarse[a]) + 1, len(coarse[b]) + 1)
                 joint, size = places[a] * shape[1] + places[b], shape[0] * shape[1]
                 grids = [np.bincount(joint, s, size).reshape(shape) for s in (gradient, hessian)]
-                gains.append((_shallow_tree(*grids)[1], a, b))
+                gains.append((_quadrants(*grids)[1], a, b))
         for _, a, b in sorted(gains, reverse=True)[:PAIRS]:
             grid = np.zeros((len(coarse[a]) + 1, len(coarse[b]) + 1))
             model.pairs.append((a, b, coarse[a], coarse[b], grid))

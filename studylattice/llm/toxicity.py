@@ -34,8 +34,8 @@ BUCKET_BITS, DIMENSIONS = 17, 8
 BUCKETS = 1 << BUCKET_BITS
 # Lengths of n-grams in bytes, the marks at a word's borders included.
 GRAMS = (3, 4, 5, 7)
-PASSAGE_WORDS = 16
-STEPS, RATE, DECAY, MIN_PASSAGES = 140, 0.08, 2e-6, 4
+PASSAGE_WORDS = 4
+STEPS, RATE, DECAY, MIN_PASSAGES = 100, 0.08, 3e-5, 4
 
 # Bytes that end a word: everything in ASCII but letters and digits.
 _BORDER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
