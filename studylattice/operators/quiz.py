@@ -65,7 +65,7 @@ def _subject_key() -> Column:
 
 def _numbered(rows: DataFrame, step: Column) -> DataFrame:
     order = [F.col("log_pos").asc_nulls_first()]
-    numbered = with_running_sums(rows, ["user_id", "subject_key"], order, {"number": step})
+    numbered = with_running_sums(rows, ["user_id", "subject_key"], order, {"number": step}, F.col("log_pos"))
     return numbered.withColumn("attempt_no", F.col("number").cast("int")).drop("number", "subject_key")
 
 

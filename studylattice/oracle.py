@@ -258,6 +258,7 @@ _add(
        UNION SELECT DISTINCT 'subject', subject FROM attempts UNION SELECT DISTINCT 'difficulty', difficulty FROM attempts""",
 )
 _add("question_bank_scan", ("questions",), "SELECT * FROM questions")
+_add("question_bank_csv_scan", ("questions",), "SELECT * EXCLUDE (question_id) FROM questions")
 _add("question_bank_counts", ("questions",), "SELECT subject, difficulty, COUNT(*) AS questions FROM questions GROUP BY subject, difficulty")
 _add(
     "quiz_sample",

@@ -11,11 +11,13 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from studylattice.session import checkpointed
 
 # A row's place: the partition it is in, and its index there after sorting.
 PART, INDEX = "_part", "_index"
+_MOST_BUCKETS = 1000
 _INDEX_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
@@ -82,11 +84,68 @@ def indexed_sums(
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, place: Column | None = None
 ) -> DataFrame:
     """Add the 1-based position of each row in its key by a total ``order``; without keys, a
     global rank. Runs a job."""
-    return with_running_sums(df, keys, order, {name: F.lit(1)})
+    return with_running_sums(df, keys, order, {name: F.lit(1)}, place)
+
+
+def _bucket(df: DataFrame, place: Column) -> Column:
+    """Number of the cut points below ``place``: a function of the row alone, in up to as many
+    buckets of about equal size as there are shuffle partitions. Runs an aggregation."""
+    wanted = min(_MOST_BUCKETS, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    shares = [i / wanted for i in range(1, wanted)]
+    found = df.agg(F.percentile_approx(place, shares, 10 * wanted)).first()[0]
+    cuts = sorted(set(found or []))
+    # Two steps of about the square root each, instead of looking at every cut point.
+    width = max(1, int(len(cuts) ** 0.5))
+    steps = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    if not steps:
+        return F.lit(0)
+    above = sum(((place > s[0]).cast("int") for s in steps[1:]), F.lit(0))
+    above = F.coalesce(above, F.lit(0))
+    own = F.get(F.array(*[F.array(*[F.lit(c) for c in s]) for s in steps]), above)
+    return (above * width + F.size(F.filter(own, lambda c: F.coalesce(c < place, F.lit(False))))).cast("int")
+
+
+def leading_number(df: DataFrame, column: str) -> Column | None:
+    """A number that never falls along ``column``: itself, or the first field of a struct."""
+    kind, place = df.schema[column].dataType, F.col(column)
+    while isinstance(kind, T.StructType) and kind.fields:
+        place, kind = place[kind.fields[0].name], kind.fields[0].dataType
+    return place if isinstance(kind, T.NumericType) else None
+
+
+def _bucketed_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column], place: Column
+) -> DataFrame:
+    """Running sums inside (key, bucket), plus the sums of the key's earlier buckets.
+
+    The rows are shuffled once, by (key, bucket), which serves the window and the join alike; the
+    other side has a row for each (key, bucket).
+    """
+    values = {f"_v_{name}": column for name, column in sums.items()}
+    # A struct groups and joins NULL keys like any other.
+    piece = F.struct(*[F.col(k) for k in keys], F.col("_bucket"))
+    rows = (
+        df.withColumns({**values, "_place": place.cast("double")})
+        .withColumn("_bucket", _bucket(df, place.cast("double")))
+        .withColumn("_piece", piece)
+    )
+    pieces = rows.groupBy("_piece").agg(*[F.sum(v).alias(f"{v}_sum") for v in values])
+    earlier = (
+        Window.partitionBy(*[F.col(f"_piece.{k}") for k in keys])
+        .orderBy("_piece._bucket")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    bases = pieces.select("_piece", *[F.sum(f"{v}_sum").over(earlier).alias(f"{v}_base") for v in values])
+    inside = Window.partitionBy("_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.withColumns({f"{v}_here": F.sum(v).over(inside) for v in values})
+    totals = [
+        (F.col(f"{v}_here") + F.coalesce(F.col(f"{v}_base"), F.lit(0))).alias(name) for name, v in zip(sums, values)
+    ]
+    return running.join(bases, "_piece").select(*df.columns, *totals)
 
 
 def with_running_sums(
@@ -94,14 +153,19 @@ def with_running_sums(
     keys: Sequence[str],
     order: Sequence[Column],
     sums: Mapping[str, Column],
+    place: Column | None = None,
 ) -> DataFrame:
     """Add, per row, the sums over the rows of its key up to and including itself.
 
-    ``order`` must be a total order inside a key. Inside a run the sum is a window over
+    ``order`` must be a total order inside a key. Given a number ``place`` that never falls along
+    ``order`` (NULLs first), rows are cut into buckets of that number and shuffled once. Otherwise they
+    are placed by range: inside a run the sum is a window over
     (key, partition), so no task holds more than one partition of a key. The placed rows are
     checkpointed, because their partition numbers are used twice and must not change between
     the two. Runs a job.
     """
+    if place is not None and keys:
+        return _bucketed_sums(df, keys, order, sums, place)
     values = {f"_v_{name}": column for name, column in sums.items()}
     placed = checkpointed(_placed(df.withColumns(values), keys, order))
     runs = placed.groupBy(*keys, PART).agg(*[F.sum(v).alias(f"{v}_run") for v in values])

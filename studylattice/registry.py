@@ -161,6 +161,15 @@ def question_bank_scan(spark, sf_dir):
     return _bank(spark, sf_dir).withColumn("options", F.array_join("options", "|"))
 
 
+@query
+def question_bank_csv_scan(spark, sf_dir):
+    """The bank written as CSV in the order of its file format and read back."""
+    path = fresh_dir(spark, "bank-csv")
+    files.write_csv(bindings.questions(spark, sf_dir).select(*schemas.QUESTION_HEADER), path)
+    bank = quiz.question_bank(files.read_questions_csv(spark, path))
+    return bank.withColumn("options", F.array_join("options", "|"))
+
+
 @query
 def question_bank_counts(spark, sf_dir):
     return quiz.question_bank_counts(_bank(spark, sf_dir))
@@ -206,7 +215,7 @@ def export_schedule_csv(spark, sf_dir):
     rows = revision.revision_schedule(revision.revision_plan(bindings.attempts(spark, sf_dir)))
     path = fresh_dir(spark, "schedule-csv")
     files.write_csv(rows, path)
-    return spark.read.schema(rows.schema).csv(path, header=True)
+    return files.read_csv(spark, path, rows.schema)
 
 
 @query
@@ -289,15 +298,14 @@ def export_plan_csv(spark, sf_dir):
     rows = plan.select("request_id", F.col("name").alias("subject"), "hours", "priority")
     path = fresh_dir(spark, "plan-csv")
     files.write_csv(rows, path)
-    return spark.read.schema(rows.schema).csv(path, header=True)
+    return files.read_csv(spark, path, rows.schema)
 
 
 @query
 def attempts_stream(spark, sf_dir):
     """The subject leaderboard from the state of the streamed log."""
-    events = (
-        spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    )
+    # The pattern also takes a table that is one file.
+    events = spark.readStream.schema(schemas.EVENTS).parquet(f"{sf_dir}/event[s].parquet")
     state = fresh_dir(spark, "stream-state")
     attempt_log.run_available(bindings.as_attempts(events), state, fresh_dir(spark, "stream-checkpoint"))
     return leaderboard.subject_leaderboard(attempt_log.read_cells(spark, state))

@@ -46,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_SETTING, None) or context.getConf().get(CHECKPOINT_SETTING)
     current = context.getCheckpointDir()
     if named is None and current is None:
-        if not context.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="studylattice-")
     if current is None:

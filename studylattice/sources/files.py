@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from studylattice.sources import schemas
 
 
-# Fixed value: ISO-8601 to the second; a fraction is kept where there is one.
+# Times are written as ISO-8601 to the second, with a fraction where there is one;
+# quotes inside a cell are doubled, and white space is part of the cell.
 _CSV_TIME = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+_CSV_CELLS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 class MissingColumns(ValueError):
@@ -28,21 +30,24 @@ def require_columns(df: DataFrame, needed: Iterable[str]) -> DataFrame:
 
 def _header(spark: SparkSession, path: str) -> list[str]:
     """Column names of the first line; reads no more than that."""
-    return spark.read.option("header", True).csv(path).columns
+    return spark.read.options(**_CSV_CELLS).option("header", True).csv(path).columns
 
 
 def read_attempts_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Attempt log from CSV with a header, in any column order.
-
-    Header names are trimmed and lower-cased. Values that do not fit their type become NULL.
-    Files carry no row order, so an order column is not invented here: if the header has no
-    ``log_pos``, ``attempt_no`` is the log order inside a (user, subject).
+    """Attempt log from CSV with a header, in any column order that all files share; a file with
+    another header is an error.
+
+    Header names are trimmed and lower-cased. Times may have a T or a space, and may end at the
+    minute. Rows without a readable user or time are left to ``rejected_attempts``; other values that
+    do not fit their type become NULL. Files carry no row order, so an order column is not
+    invented here: if the header has no ``log_pos``, ``attempt_no`` is the log order inside a
+    (user, subject).
     """
-    names = [name.strip().lower() for name in _header(spark, path)]
+    cells = _attempt_cells(spark, path)
+    log = cells.filter(_reason(cells).isNull())
     types = {**schemas.ATTEMPT_TYPES, "userid": T.LongType()}
-    schema = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
-    log = spark.read.schema(schema).options(**_CSV_TIME).csv(path, header=True, enforceSchema=True)
-    known = {old: new for old, new in schemas.ATTEMPT_RENAMES.items() if old in names}
+    log = log.select(*[F.col(f"`{n}`").try_cast(types.get(n, T.StringType())).alias(n) for n in log.columns])
+    known = {old: new for old, new in schemas.ATTEMPT_RENAMES.items() if old in log.columns}
     log = log.withColumnsRenamed(known)
     needed = [schemas.ATTEMPT_RENAMES.get(n, n) for n in schemas.ATTEMPT_HEADER]
     require_columns(log, needed)
@@ -51,6 +56,28 @@ def read_attempts_csv(spark: SparkSession, path: str) -> DataFrame:
     return log
 
 
+def _attempt_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The log's cells as text. Every file's header is checked against the first one's."""
+    names = _header(spark, path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    cells = spark.read.schema(schema).options(**_CSV_CELLS).csv(path, header=True, enforceSchema=False)
+    return cells.toDF(*[name.strip().lower() for name in names])
+
+
+def _reason(cells: DataFrame) -> Column:
+    """Name of the cell that makes a row useless, NULL for a good row."""
+    user = "userid" if "userid" in cells.columns else "user_id"
+    checks = [(user, "bigint"), ("timestamp", "timestamp_ntz")]
+    bad = [F.when(F.col(n).try_cast(t).isNull(), F.lit(n)) for n, t in checks if n in cells.columns]
+    return F.coalesce(*bad) if bad else F.lit(None).cast("string")
+
+
+def rejected_attempts(spark: SparkSession, path: str) -> DataFrame:
+    """Rows that ``read_attempts_csv`` leaves out, as text, with the ``reason``."""
+    cells = _attempt_cells(spark, path)
+    return cells.withColumn("reason", _reason(cells)).filter("reason is not null")
+
+
 def read_attempts_parquet(spark: SparkSession, path: str) -> DataFrame:
     needed = ["attempt_ts", "user_id", "subject", "difficulty", "score", "total"]
     return require_columns(spark.read.parquet(path), needed)
@@ -60,7 +87,7 @@ def write_attempts_csv(attempts: DataFrame, path: str, mode: str = "append") ->
     """Append attempts to a CSV log, one header per file. Runs a job."""
     names = {new: old for old, new in schemas.ATTEMPT_RENAMES.items() if old != "userid"}
     columns = [names.get(c, c) for c in attempts.columns]
-    attempts.toDF(*columns).write.mode(mode).options(**_CSV_TIME).csv(path, header=True)
+    attempts.toDF(*columns).write.mode(mode).options(**_CSV_TIME, **_CSV_CELLS).csv(path, header=True)
 
 
 def append_attempts(numbered: DataFrame, path: str) -> None:
@@ -69,10 +96,12 @@ def append_attempts(numbered: DataFrame, path: str) -> None:
 
 
 def read_questions_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Question bank from CSV. Cells beyond the header are ignored, so a line with an unquoted
+    """Question bank from CSV; cells may hold doubled quotes, commas and line breaks. Cells beyond the header are ignored, so a line with an unquoted
     comma keeps its shifted cells and can never be answered."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in schemas.QUESTION_HEADER])
-    bank = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, mode="PERMISSIVE")
+    bank = spark.read.schema(schema).options(**_CSV_CELLS).csv(
+        path, header=True, enforceSchema=False, mode="PERMISSIVE", multiLine=True
+    )
     return bank.toDF(*[name.lower() for name in schemas.QUESTION_HEADER])
 
 
@@ -82,4 +111,9 @@ def write_csv(rows: DataFrame, path: str) -> None:
     The parts are left as Spark makes them: a folder per request would be as many files as
     requests.
     """
-    rows.write.mode("errorifexists").csv(path, header=True)
+    rows.write.mode("errorifexists").options(**_CSV_CELLS).csv(path, header=True)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A plan or schedule that ``write_csv`` has written."""
+    return spark.read.schema(schema).options(**_CSV_CELLS).csv(path, header=True)

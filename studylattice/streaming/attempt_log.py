@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from studylattice.functions import rules
 
 CELL = ["user_id", "subject", "difficulty"]
+# Batches after which all cells are written again.
+GENERATION = 16
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -30,37 +32,54 @@ def run_available(attempts: DataFrame, state_path: str, checkpoint_path: str) ->
     """Process everything the streaming ``attempts`` has and stop. Runs a streaming query.
 
     Every micro-batch writes the cells it changed to a folder of its own. A batch that is run
-    again after a failure overwrites that folder, so nothing is counted twice.
+    again after a failure overwrites that folder, so nothing is counted twice. The first batch of
+    every generation of GENERATION batches also writes all other cells, so a reader needs the
+    newest generation only.
     """
+    cells = running_cells(attempts)
+    spark = attempts.sparkSession
+    # A log without any attempt yet has a state too, an empty one.
+    empty = spark.createDataFrame([], cells.schema)
+    empty.write.mode("overwrite").parquet(f"{state_path}/generation=-1/batch_id=-1")
 
     def save(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
+        generation = batch_id // GENERATION
+        if generation and batch_id % GENERATION == 0:
+            older = _newest(spark, state_path, generation - 1)
+            same = [older[c].eqNullSafe(changed[c]) for c in CELL]
+            changed = changed.unionByName(older.join(changed, same, "left_anti"))
+        changed.write.mode("overwrite").parquet(f"{state_path}/generation={generation}/batch_id={batch_id}")
 
-    # On disk, because the number of cells grows with the users.
-    spark = attempts.sparkSession
+    # On disk, because the number of cells grows with the users. The query keeps the setting it
+    # is started with, so the session has its own back at once.
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
     spark.conf.set(setting, _ROCKSDB)
     try:
         query = (
-            running_cells(attempts)
-            .writeStream.outputMode("update")
+            cells.writeStream.outputMode("update")
             .foreachBatch(save)
             .option("checkpointLocation", checkpoint_path)
             .trigger(availableNow=True)
             .start()
         )
-        query.awaitTermination()
     finally:
         spark.conf.set(setting, before)
+    query.awaitTermination()
 
 
-def read_cells(spark: SparkSession, state_path: str) -> DataFrame:
-    """The newest row of every cell."""
+def _newest(spark: SparkSession, state_path: str, generation: int) -> DataFrame:
     facts = F.struct("score", "attempts", "passes", "fails")
     return (
         spark.read.parquet(state_path)
+        .filter(F.col("generation") == generation)
         .groupBy(*CELL)
         .agg(F.max_by(facts, "batch_id").alias("f"))
         .select(*CELL, "f.*")
     )
+
+
+def read_cells(spark: SparkSession, state_path: str) -> DataFrame:
+    """The newest row of every cell, from the files of the newest generation."""
+    newest = spark.read.parquet(state_path).agg(F.max("generation")).first()[0]
+    return _newest(spark, state_path, newest)

@@ -1,3 +1,5 @@
+from random import Random
+
 import pytest
 from conftest import records
 from samples import attempts, log
@@ -7,8 +9,9 @@ from studylattice.operators import groups as S
 
 def test_profile_goldens(spark):
     rows = {r.user_id: r for r in S.student_profiles(attempts(spark)).collect()}
-    assert rows[102].attempts == 23
-    assert (rows[102].avg_score, rows[102].avg_difficulty) == pytest.approx((50.4348, 2.2174), abs=1e-4)
+    percents = [20, 40, 80, 75, 100, 60, 80, 100, 40, 20]  # one of user 7's attempts had four questions
+    assert rows[7].attempts == len(percents)
+    assert (rows[7].avg_score, rows[7].avg_difficulty) == pytest.approx((sum(percents) / 10, 19 / 10), abs=1e-4)
 
 
 def test_levels_are_normalised_and_unknown_ones_ignored(spark):
@@ -26,13 +29,16 @@ def test_scaling_uses_the_population_deviation(spark):
 
 
 def test_peer_goldens(spark):
-    rows = [
-        (102, 50.4348, 23, 2.2174), (103, 73.6364, 22, 2.0455), (104, 77.2727, 22, 1.9091),
-        (105, 47.8261, 23, 1.9565), (106, 65.7143, 21, 1.9048), (107, 59.0, 20, 2.2),
-        (108, 42.6087, 23, 1.9130), (109, 59.0476, 21, 1.7143), (110, 71.6667, 24, 1.9167),
-    ]
-    got = dict(records(S.peer_recommendation(profiles(spark, rows)), "user_id", "peer_id"))
-    assert got == {102: 105, 103: 110, 104: 103, 105: 102, 106: 110, 107: 109, 108: 105, 109: 107, 110: 103}
+    random = Random(4)
+    rows = [(i, round(random.uniform(30, 90), 1), random.randint(1, 40), round(random.uniform(1, 3), 2)) for i in range(40)]
+
+    def distance(a, b):
+        return abs(a[3] - b[3]) + 0.4 * abs(a[1] - b[1])
+
+    got = {r.user_id: r for r in S.peer_recommendation(profiles(spark, rows)).collect()}
+    for row in rows:
+        want = min((distance(row, other), other[0]) for other in rows if other[0] != row[0])
+        assert distance(row, rows[got[row[0]].peer_id]) == pytest.approx(want[0])
 
 
 def test_comparison_rows(spark):

@@ -35,7 +35,7 @@ def brute(hours, items):
         for chosen in combinations(range(len(items)), size):
             points = sum(items[i][0] for i in chosen)
             base = max(points, highest)
-            if any(items[i][2] * base > hours * items[i][0] for i in chosen):
+            if any(items[i][2] * base > hours * items[i][0] + 1e-9 for i in chosen):
                 continue
             counts = [sum(items[i][0] == p for i in chosen) for p in (5, 4, 3, 2, 1)]
             demand = max(items[i][2] / items[i][0] for i in chosen)
@@ -136,3 +136,22 @@ def test_block_schedule_follows_the_clock(spark, many_partitions, block, pause):
 def test_schedule_of_nothing(spark):
     empty = spark.createDataFrame([(1, 0, "S", 3, 6.0, 0.0)], "request_id long, pos int, name string, priority int, total_hours double, hours double")
     assert records(P.block_schedule(empty), "name") == []
+
+
+def test_a_quotient_just_below_a_whole_number_counts_as_it(spark):
+    got = plan(P.allocate_proportional(table(spark, {1: (1.2, [(1, 1, 0.4)] * 3)})))
+    assert len(got[1]) == 3
+
+
+@pytest.mark.parametrize("priority", [0, 6, None])
+def test_unknown_priorities_are_refused(spark, priority):
+    with pytest.raises(Exception, match="priority must be 1 to 5"):
+        P.allocate_proportional(table(spark, {1: (6.0, [(3, 1, 0.5), (priority, 1, 0.5), (2, 1, 0.5)])})).collect()
+
+
+def test_minimums_off_the_half_hour(spark):
+    requests = {i: (1.0 + i / 7, [(1 + (i + k) % 5, 1, round(0.1 * ((3 * i + k) % 7), 1)) for k in range(4)]) for i in range(1, 40)}
+    got = plan(P.allocate_proportional(table(spark, requests)))
+    for rid, (hours, items) in requests.items():
+        want = brute(hours, items)
+        assert len(got.get(rid, {})) == (0 if want is None else len(want)), rid

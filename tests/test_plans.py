@@ -111,9 +111,24 @@ def test_nearest_is_exact(spark, kind, weight):
 
 
 @pytest.fixture
-def nothing_is_small(spark, many_partitions, monkeypatch):
-    """Shuffle joins only, and keys with more than 500 rows count as hot."""
-    monkeypatch.setattr(skew, "HOT_ROWS", 500)
+def small_splits(spark):
+    """Let AQE split partitions of a few hundred rows."""
+    settings = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1024",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1024",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+@pytest.fixture
+def nothing_is_small(spark, many_partitions):
+    """Shuffle joins only."""
     settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
     before = {name: spark.conf.get(name, None) for name in settings}
     for name in settings:
@@ -123,24 +138,54 @@ def nothing_is_small(spark, many_partitions, monkeypatch):
         spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def test_totals_reach_all_rows_and_a_hot_key_stays_spread(spark, nothing_is_small):
+def test_totals_reach_all_rows_and_a_hot_key_stays_spread(spark, nothing_is_small, small_splits):
     df, pdf = skewed(spark)
     df = df.filter("key is not null")
     totals = df.groupBy("key").agg(F.sum("t").alias("sum_t"), F.count("*").alias("n"), F.max(F.lit(None)).alias("nothing"))
-    joined = skew.join_totals(df, totals, ["key"], "n").withColumn("part", F.spark_partition_id()).toPandas()
+    joined = skew.join_totals(df, totals, ["key"]).withColumn("part", F.spark_partition_id()).toPandas()
     want = pdf.dropna(subset=["key"])
     sums = want.groupby("key").t.sum()
     assert sorted(joined.id) == sorted(want.id)
     assert (joined.sum_t == joined.key.map(sums)).all()
     assert joined.nothing.isna().all()
-    hot = joined[joined.key == "hot"].part.value_counts()
-    assert len(hot) == 7 and hot.max() < 300  # 1,000 rows over 7 partitions
+    assert joined[joined.key == "hot"].part.nunique() > 1
+
+
+def test_identical_rows_of_a_hot_key_stay_spread(spark, nothing_is_small, small_splits):
+    df = spark.range(3000).selectExpr("'hot' AS key", "1 AS t").repartition(5)
+    joined = skew.join_totals(df, df.groupBy("key").agg(F.count("*").alias("n")), ["key"])
+    assert joined.filter("n = 3000").count() == 3000
+    assert joined.withColumn("part", F.spark_partition_id()).select("part").distinct().count() > 1
+
+
+def test_bucketed_sums_shuffle_the_rows_once(spark, many_partitions):
+    df, pdf = skewed(spark)
+    sums = {"s": F.col("v"), "n": F.lit(1)}
+    got = with_running_sums(df.fillna(0.0, ["v"]), ["key"], by_time(), sums, F.col("t"))
+    rows = got.toPandas().set_index("id")
+    want = pdf.fillna({"v": 0.0}).sort_values(["t", "id"])
+    want["s"] = want.groupby("key", dropna=False).v.cumsum()
+    want["n"] = want.groupby("key", dropna=False).cumcount() + 1
+    want = want.set_index("id").loc[rows.index]
+    assert (rows.n == want.n).all() and (rows.s - want.s).abs().max() < 1e-9
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Checkpoint" not in text and "ExternalRDD" not in text
+    # A hot key's rows lie in several pieces.
+    pieces = df.withColumn("_bucket", ordered._bucket(df, F.col("t").cast("double")))
+    assert pieces.filter("key = 'hot'").groupBy("_bucket").count().agg(F.max("count")).first()[0] < 400
+
+
+@pytest.mark.parametrize("values", [[None, None], [1.0], [5, 5, 5, 5], list(range(100)), [-2.5, None, 3.5, 3.5, 9.0]])
+def test_buckets_never_fall_along_the_order(spark, values):
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "p double")
+    rows = [r.b for r in df.withColumn("b", ordered._bucket(df, F.col("p"))).orderBy(F.col("p").asc_nulls_first()).collect()]
+    assert rows == sorted(rows)
 
 
 def test_rows_without_totals_are_left_out(spark):
     df, _ = skewed(spark)
     totals = df.filter("key = 'hot'").groupBy("key").agg(F.count("*").alias("n"))
-    assert {r.key for r in skew.join_totals(df, totals, ["key"], "n").collect()} == {"hot"}
+    assert {r.key for r in skew.join_totals(df, totals, ["key"]).collect()} == {"hot"}
 
 
 def test_a_hot_request_is_planned_like_any_other(spark, nothing_is_small):

@@ -31,6 +31,11 @@ def test_grading_needs_the_exact_answer(spark):
     assert records(Q.grade_responses(responses, Q.question_bank(bank(spark))), "session_id", "score", "total") == [(1, 1, 3), (2, 1, 1)]
 
 
+def test_unknown_questions_are_asked_all_the_same(spark):
+    responses = spark.createDataFrame([(1, 0, "a"), (1, 999, "a"), (1, None, "a")], "session_id long, question_id long, choice string")
+    assert records(Q.grade_responses(responses, Q.question_bank(bank(spark))), "session_id", "score", "total") == [(1, 1, 3)]
+
+
 def test_numbering_matches_the_log(spark, many_partitions):
     rows = attempts(spark)
     numbered = Q.attempt_numbering(rows.drop("attempt_no"))
@@ -65,9 +70,9 @@ def test_combine_fills_missing_columns(spark):
 
 def test_filter_and_domains(spark):
     rows = attempts(spark)
-    assert Q.attempts_filter(rows, user_id=102, subject="Maths", difficulty="Hard").count() == 5
-    assert Q.attempts_filter(rows, user_id=110).count() == 14
-    assert Q.attempts_filter(rows).count() == 37
+    assert Q.attempts_filter(rows, user_id=7, subject="Maths", difficulty="Hard").count() == 3
+    assert Q.attempts_filter(rows, user_id=9).count() == 9
+    assert Q.attempts_filter(rows).count() == 20
     values = [(r.domain, r.value) for r in Q.filter_domains(log(spark, [(10, "B", "Easy", 1), (9, "A", "Easy", 1)])).collect()]
     assert values == [("difficulty", "Easy"), ("subject", "A"), ("subject", "B"), ("user", "9"), ("user", "10")]
 
@@ -75,9 +80,9 @@ def test_filter_and_domains(spark):
 def test_filters_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "log")
     files.append_attempts(attempts(spark), path)
-    plan = Q.attempts_filter(files.read_attempts_parquet(spark, path), user_id=102, subject="Maths").select("score")
+    plan = Q.attempts_filter(files.read_attempts_parquet(spark, path), user_id=7, subject="Maths").select("score")
     text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(user_id,102)" in text and "EqualTo(subject,Maths)" in text
+    assert "EqualTo(user_id,7)" in text and "EqualTo(subject,Maths)" in text
     assert "ReadSchema: struct<user_id:bigint,subject:string,score:int>" in text
 
 
@@ -87,7 +92,7 @@ def test_csv_log_round_trip_and_append(spark, tmp_path):
     files.write_attempts_csv(rows, path)
     files.write_attempts_csv(rows.filter("log_pos = 0"), path)
     back = files.read_attempts_csv(spark, path)
-    assert back.count() == 38
+    assert back.count() == 21
     assert records(back.dropDuplicates(["log_pos"]), *rows.columns) == records(rows, *rows.columns)
 
 
@@ -95,11 +100,12 @@ def test_csv_header_in_any_order_and_bad_values(spark, tmp_path):
     path = tmp_path / "log.csv"
     path.write_text(
         " Score ,TIMESTAMP,user_id,subject,difficulty,total,dataset,attempt_no,time_spent(mins)\n"
-        "3,2025-10-12T20:00:00,102,Maths,Hard,5,bank.csv,1,9\n"
-        "oops,2025-10-12T20:00:00,103,Maths,Hard,5,bank.csv,1,0.37\n"
+        "3,2031-05-01T20:00:00,41,Maths,Hard,5,bank.csv,1,9\n"
+        "oops,2031-05-02 08:15,42,Maths,Hard,5,bank.csv,1,0.25\n"
     )
     rows = files.read_attempts_csv(spark, str(path))
-    assert records(rows, "user_id", "score", "time_spent_mins", "log_pos") == [(102, 3, 9.0, 1), (103, None, 0.37, 1)]
+    assert records(rows, "user_id", "score", "time_spent_mins", "log_pos") == [(41, 3, 9.0, 1), (42, None, 0.25, 1)]
+    assert files.rejected_attempts(spark, str(path)).count() == 0
 
 
 def test_missing_columns_are_named(spark, tmp_path):
@@ -109,6 +115,47 @@ def test_missing_columns_are_named(spark, tmp_path):
         files.read_attempts_csv(spark, str(path))
 
 
+def test_rejected_rows_are_shown(spark, tmp_path):
+    path = tmp_path / "log.csv"
+    path.write_text(
+        "user_id,timestamp,subject,difficulty,score,total,dataset,attempt_no,time_spent(mins)\n"
+        "5,2031-05-01T20:00:00,Maths,Hard,3,5,bank.csv,1,9\n"
+        "x5,2031-05-01T20:00:00,Maths,Hard,3,5,bank.csv,2,9\n"
+        "5,some day,Maths,Hard,3,5,bank.csv,3,9\n"
+    )
+    assert records(files.read_attempts_csv(spark, str(path)), "user_id", "attempt_no") == [(5, 1)]
+    assert records(files.rejected_attempts(spark, str(path)), "attempt_no", "reason") == [("2", "user_id"), ("3", "timestamp")]
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    head = "user_id,timestamp,subject,difficulty,score,total,dataset,attempt_no,time_spent(mins)\n"
+    other = "timestamp,user_id,subject,difficulty,total,score,dataset,attempt_no,time_spent(mins)\n"
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.csv").write_text(head + "5,2031-05-01T20:00:00,Maths,Hard,3,5,bank.csv,1,9\n")
+    (tmp_path / "log" / "b.csv").write_text(other + "2031-05-01T20:00:00,5,Maths,Hard,5,2,bank.csv,1,9\n")
+    with pytest.raises(Exception, match="header"):
+        files.read_attempts_csv(spark, str(tmp_path / "log")).collect()
+
+
+def test_quotes_commas_and_line_breaks_survive(spark, tmp_path):
+    odd = [("art", "easy", 'Say "hi", then\ngo', " lead", "tail ", "a,b", "d", " lead"), ("art", "easy", "plain", "p", "q", "r", None, "p")]
+    columns = "Subject string, Difficulty string, Question string, Option1 string, Option2 string, Option3 string, Option4 string, Answer string"
+    path = str(tmp_path / "bank")
+    files.write_csv(spark.createDataFrame(odd, columns), path)
+    back = files.read_questions_csv(spark, path)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(odd, key=repr)
+
+
+def test_doubled_quotes_are_read(spark, tmp_path):
+    path = tmp_path / "bank.csv"
+    path.write_text(
+        "Subject,Difficulty,Question,Option1,Option2,Option3,Option4,Answer\n"
+        'art,easy,"Pick ""one"", or two",p,q,r,s,q\n'
+    )
+    row = files.read_questions_csv(spark, str(path)).first()
+    assert (row.question, row.answer) == ('Pick "one", or two', "q")
+
+
 def test_malformed_bank_line_can_never_be_answered(spark, tmp_path):
     path = tmp_path / "bank.csv"
     path.write_text(

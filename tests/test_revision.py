@@ -11,13 +11,29 @@ def by_target(df):
 
 def test_summary_golden_and_fallback(spark):
     rows = by_target(R.revision_summary(attempts(spark)))
-    row = rows[102, "Maths", "Hard"]
-    assert (row.avg_percent, row.attempts, row.avg_minutes, row.is_prediction_mode) == (56.0, 5, 7.0, False)
-    assert row.performance == "Needs Practice"
-    row = rows[102, "Maths", "Intermediate"]  # none of its own: all seven Maths attempts
-    assert row.is_prediction_mode and row.attempts == 7
-    assert row.avg_percent == pytest.approx(60.0)
-    assert row.avg_minutes == pytest.approx((9 + 10 + 6 + 4 + 6 + 4 + 0.37) / 7)
+    row = rows[7, "Maths", "Hard"]
+    assert row.avg_percent == pytest.approx((20 + 40 + 75) / 3)
+    assert (row.attempts, row.avg_minutes, row.is_prediction_mode, row.performance) == (3, 10.0, False, "Needs Practice")
+    row = rows[7, "Maths", "Intermediate"]  # none of its own: all five Maths attempts
+    assert row.is_prediction_mode and row.attempts == 5
+    assert row.avg_percent == pytest.approx((20 + 40 + 80 + 75 + 100) / 5)
+    assert row.avg_minutes == pytest.approx((12 + 8 + 5 + 10 + 0.75) / 5)
+
+
+def test_attempts_without_a_level_count_in_fallbacks(spark):
+    rows = log(spark, [(1, "Art", None, 4), (2, "Art", None, 1), (2, "Art", "Easy", 5)])
+    sets = by_target(R.training_set_fallback(rows))
+    assert {k: r.training_rows for k, r in sets.items()} == {
+        **{(1, "Art", level): 1 for level in ("Easy", "Intermediate", "Hard")},
+        (2, "Art", "Easy"): 1,
+        (2, "Art", "Intermediate"): 2,
+        (2, "Art", "Hard"): 2,
+    }
+    assert by_target(R.revision_summary(rows))[2, "Art", "Hard"].avg_percent == pytest.approx(60.0)
+    recent = R.recent_attempts(rows).filter("user_id = 1 and difficulty = 'Hard'").collect()
+    assert [(r.score, r.taken_at, r.is_prediction_mode) for r in recent] == [(4, None, True)]
+    features = by_target(R.fallback_features(rows.withColumn("attempt_no", rows.log_pos.cast("int"))))
+    assert features[2, "Art", "Hard"].mean_percent == 100.0 and features[1, "Art", "Hard"].mean_percent is None
 
 
 def test_targets_keep_levels_outside_the_standard_ones(spark):
@@ -31,8 +47,8 @@ def test_targets_keep_levels_outside_the_standard_ones(spark):
 
 
 def test_fallback_features_weigh_levels_equally(spark):
-    row = by_target(R.fallback_features(attempts(spark)))[102, "Maths", "Intermediate"]
-    hard, easy = (56.0, 5, 7.0), (70.0, 7, 2.185)
+    row = by_target(R.fallback_features(attempts(spark)))[7, "Maths", "Intermediate"]
+    hard, easy = (45.0, 4, 10.0), (90.0, 5, 2.875)
     assert (row.mean_percent, row.mean_max_attempt, row.mean_minutes) == pytest.approx(
         tuple((h + e) / 2 for h, e in zip(hard, easy))
     )
@@ -40,11 +56,11 @@ def test_fallback_features_weigh_levels_equally(spark):
 
 def test_recent_attempts_are_the_last_five_in_the_log(spark):
     rows = R.recent_attempts(attempts(spark))
-    hard = [tuple(r) for r in rows.filter("user_id = 102 and subject = 'Maths' and difficulty = 'Hard'").orderBy("back").select("score", "percent").collect()]
-    assert hard == [(3, 60.0), (3, 60.0), (2, 40.0), (3, 60.0), (3, 60.0)]
-    other = rows.filter("user_id = 102 and subject = 'Maths' and difficulty = 'Intermediate'").orderBy("back")
-    assert [r.score for r in other.collect()] == [5, 2, 3, 3, 2]
-    assert all(r.is_prediction_mode for r in other.collect())
+    hard = rows.filter("user_id = 7 and subject = 'Maths' and difficulty = 'Hard'").orderBy("back")
+    assert [(r.score, r.percent) for r in hard.collect()] == [(3, 75.0), (2, 40.0), (1, 20.0)]
+    other = rows.filter("user_id = 7 and subject = 'Maths' and difficulty = 'Intermediate'").orderBy("back").collect()
+    assert [r.score for r in other] == [5, 3, 4, 2, 1]
+    assert all(r.is_prediction_mode for r in other)
 
 
 def test_label_codes(spark):
@@ -87,6 +103,6 @@ def test_recommendations(spark, score, minutes, codes):
 def test_model_predicts_within_the_label_range_and_repeats(spark):
     first = by_target(R.revision_interval_model(attempts(spark), trees=10))
     again = by_target(R.revision_interval_model(attempts(spark), trees=10))
-    assert len(first) == 6 * 3
+    assert len(first) == 5 * 3
     assert all(2 <= r.base_interval <= 7 for r in first.values())
     assert {k: r.base_interval for k, r in first.items()} == {k: r.base_interval for k, r in again.items()}

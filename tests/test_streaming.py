@@ -28,6 +28,23 @@ def test_state_equals_the_batch_after_every_append(spark, tmp_path):
     assert records(streamed, *board) == records(leaderboard.subject_leaderboard(rows), *board)
 
 
+def test_generations_bound_what_is_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(attempt_log, "GENERATION", 3)
+    source, state, progress = (str(tmp_path / d) for d in ("log", "state", "progress"))
+    rows = attempts(spark)
+    rows.limit(0).write.parquet(source)
+    attempt_log.run_available(stream(spark, source, rows.schema), state, progress)
+    assert attempt_log.read_cells(spark, state).count() == 0
+    for part in range(8):
+        rows.filter(f"log_pos % 8 = {part}").coalesce(1).write.mode("append").parquet(source)
+    attempt_log.run_available(stream(spark, source, rows.schema), state, progress)
+    cells = attempt_log.read_cells(spark, state)
+    assert records(cells, *CELL) == records(attempt_log.running_cells(rows), *CELL)
+    assert len(list((tmp_path / "state").glob("generation=*"))) >= 3
+    text = cells._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(generation" in text
+
+
 def test_weights_from_cells_equal_weights_from_attempts(spark):
     rows = log(spark, [(u, "Maths", "Easy", s) for u in (1, 2) for s in (0, 3, 5, 2)])
     cells = attempt_log.running_cells(rows)
