@@ -168,6 +168,26 @@ def _two(name: str) -> Column:
     return rules.half_even(rules.settled(F.col(name)), 2)
 
 
+def peer_comparison(profiles: DataFrame, groups: DataFrame | None = None, weight: float = K.PEER_LAMBDA) -> DataFrame:
+    """Every user next to the recommended peer, metric by metric; with ``groups`` (user_id,
+    study_group) also the group letters of both."""
+    pairs = checkpointed(
+        peer_recommendation(profiles, weight)
+        .filter("peer_id is not null")
+        .select(F.col("user_id").alias("first_user"), F.col("peer_id").alias("second_user"))
+    )
+    rows = compare_users(profiles, pairs)
+    return rows if groups is None else with_groups(rows, groups)
+
+
+def with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """A comparison with the study group of both users."""
+    for side in ("first", "second"):
+        letters = groups.select(F.col("user_id").alias(f"{side}_user"), F.col("study_group").alias(f"{side}_group"))
+        rows = rows.join(letters, f"{side}_user", "left")
+    return rows
+
+
 def peer_recommendation(profiles: DataFrame, weight: float = K.PEER_LAMBDA) -> DataFrame:
     """The closest other user by |difficulty gap| + weight * |score gap|; ties to the lowest id."""
     closest = nearest(profiles, "user_id", "avg_score", "avg_difficulty", weight)

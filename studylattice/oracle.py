@@ -494,6 +494,24 @@ _add(
     ),
     ("first_value", "second_value"),
 )
+_add(
+    "peer_comparison",
+    ("attempts", "profiles"),
+    "WITH peers AS (SELECT user_id, arg_min(peer_id, (score, peer_id)) AS peer_id FROM (SELECT a.user_id, b.user_id AS peer_id,"
+    + " ROUND(ABS(ROUND(b.avg_difficulty, 9) - ROUND(a.avg_difficulty, 9))"
+    + f" + ABS(ROUND(CAST({K.PEER_LAMBDA} AS DOUBLE) * b.avg_score, 9) - ROUND(CAST({K.PEER_LAMBDA} AS DOUBLE) * a.avg_score, 9)), 9) AS score"
+    + " FROM profiles a JOIN profiles b ON a.user_id <> b.user_id) WHERE score IS NOT NULL GROUP BY user_id) "
+    + " UNION ALL ".join(
+        f"SELECT a.user_id AS first_user, b.user_id AS second_user, '{label}' AS metric, "
+        + ", ".join(
+            (_round(_settled(f"{side}.{c}"), 2) if rounded else f"CAST({side}.{c} AS DOUBLE)") + f" AS {out}"
+            for side, out in (("a", "first_value"), ("b", "second_value"))
+        )
+        + " FROM peers p JOIN profiles a ON a.user_id = p.user_id JOIN profiles b ON b.user_id = p.peer_id"
+        for label, c, rounded in _METRICS
+    ),
+    ("first_value", "second_value"),
+)
 _add(
     "peer_recommendation",
     ("attempts", "profiles"),

@@ -9,6 +9,9 @@ A searching point is alone in a cell a quarter as wide as the grid it searches,
 serves at most 16 searching points per neighbour cell, however many points it holds: the
 candidate pairs grow with the number of points, not with its square. Points at the very same
 place are merged first and need no search at all.
+
+Coordinates are settled to nine decimals first, so averages that differ by float noise are the same
+place. Two places are then further apart than a cell of the finest grid, and everyone is alone there.
 """
 
 from __future__ import annotations
@@ -16,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from studylattice.functions import rules
 from studylattice.session import checkpointed
 
-# Cell widths run from 2^7 down to 2^-32; level 0 is one cell that holds everything.
+# Cell widths run from 2^7 down to 2^-32, below the 1e-9 that settled places are apart; level 0 is one
+# cell that holds everything.
 _WIDEST_EXPONENT = 7
 _LEVELS = 40
 
@@ -31,14 +36,17 @@ def _cell(value: Column, level: Column) -> Column:
 
 def nearest(points: DataFrame, key: str, x: str, y: str, x_weight: float) -> DataFrame:
     """For every row of ``points`` (unique ``key``, position ``x``, ``y``): the other row
-    nearest to it by |dy| + x_weight * |dx|, ties to the lowest key, as (key, peer, distance).
+    nearest to it by |dy| + x_weight * |dx|, to nine decimals of y and of x_weight * x, ties to the
+    lowest key, as (key, peer, distance).
 
     A row with a NULL coordinate, and a row without any other, gets a NULL peer. ``points``
     is read three times; hand in a kept table rather than a long computation. Runs a job.
     """
     weight = F.lit(float(x_weight))
     points = points.select(
-        F.col(key).alias("key"), F.col(x).alias("raw"), (weight * F.col(x)).alias("x"), F.col(y).alias("y")
+        F.col(key).alias("key"),
+        rules.settled(weight * F.col(x)).alias("x"),
+        rules.settled(F.col(y).cast("double")).alias("y"),
     )
     located = points.filter("x is not null and y is not null")
 
@@ -48,7 +56,7 @@ def nearest(points: DataFrame, key: str, x: str, y: str, x_weight: float) -> Dat
         located.withColumn("n", F.row_number().over(lowest))
         .filter("n <= 2")
         .groupBy("x", "y")
-        .agg(F.min("key").alias("first"), F.max("key").alias("second"), F.min("raw").alias("raw"))
+        .agg(F.min("key").alias("first"), F.max("key").alias("second"))
     )
     places = checkpointed(places)  # read four times below
     together = located.join(places.filter("first <> second"), ["x", "y"]).select(
@@ -58,27 +66,26 @@ def nearest(points: DataFrame, key: str, x: str, y: str, x_weight: float) -> Dat
     )
 
     level = F.col("level").cast("double")
-    cells = (
-        places.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))))
-        .withColumn("cx", _cell(F.col("x"), level))
-        .withColumn("cy", _cell(F.col("y"), level))
-    )
+
+    def cells(levels: Column) -> DataFrame:
+        on_grids = places.withColumn("level", F.explode(levels))
+        return on_grids.withColumns({"cx": _cell(F.col("x"), level), "cy": _cell(F.col("y"), level)})
+
     alone = (
-        cells.groupBy("level", "cx", "cy")
+        cells(F.sequence(F.lit(0), F.lit(_LEVELS)))
+        .groupBy("level", "cx", "cy")
         .agg(F.count("*").alias("n"), F.min(F.struct("first", "second")).alias("p"))
         .filter("n = 1 and p.first = p.second")
         .groupBy("p")
         .agg(F.min("level").alias("alone_from"))
     )
-    # Places that share even the finest cell never turn up in ``alone``.
-    seekers = (
+    seekers = checkpointed(
         places.filter("first = second")
         .join(alone.select(F.col("p.first").alias("first"), "alone_from"), "first", "left")
         .select(
             F.col("first").alias("key"),
             F.col("x").alias("sx"),
             F.col("y").alias("sy"),
-            F.col("raw").alias("sraw"),
             F.greatest(F.coalesce("alone_from", F.lit(_LEVELS + 1)) - 2, F.lit(0)).alias("level"),
         )
     )
@@ -90,16 +97,19 @@ def nearest(points: DataFrame, key: str, x: str, y: str, x_weight: float) -> Dat
         .withColumn("dy", F.explode(around))
         .select(
             "key",
-            "sraw",
+            "sx",
             "sy",
             "level",
             (_cell(F.col("sx"), level) + F.col("dx")).alias("cx"),
             (_cell(F.col("sy"), level) + F.col("dy")).alias("cy"),
         )
     )
-    distance = F.abs(F.col("y") - F.col("sy")) + weight * F.abs(F.col("raw") - F.col("sraw"))
+    distance = F.abs(F.col("y") - F.col("sy")) + F.abs(F.col("x") - F.col("sx"))
+    # At most one level number per grid: the places are laid on the grids somebody searches only.
+    used = sorted(r[0] for r in seekers.select("level").distinct().collect())
+    searched = cells(F.array(*[F.lit(n) for n in used]).cast("array<int>"))
     found = (
-        reach.join(cells.select("level", "cx", "cy", "raw", "y", "first"), ["level", "cx", "cy"])
+        reach.join(searched.select("level", "cx", "cy", "x", "y", "first"), ["level", "cx", "cy"])
         .filter(F.col("first") != F.col("key"))
         .groupBy("key")
         .agg(F.min(F.struct(distance.alias("distance"), F.col("first").alias("peer"))).alias("best"))

@@ -256,6 +256,24 @@ def peer_recommendation(spark, sf_dir):
     return groups.peer_recommendation(_kept_profiles(spark, sf_dir))
 
 
+@query
+def peer_comparison(spark, sf_dir):
+    return groups.peer_comparison(_kept_profiles(spark, sf_dir))
+
+
+@query
+def compare_users_with_groups(spark, sf_dir):
+    """Every user with a group and their peer, with the groups of both."""
+    profiles = _kept_profiles(spark, sf_dir)
+    return groups.peer_comparison(profiles, checkpointed(groups.student_groups(profiles)))
+
+
+@query
+def revision_schedule_model(spark, sf_dir):
+    """The schedule that follows the model's intervals."""
+    return revision.revision_schedule(revision.revision_interval_model(_numbered(spark, sf_dir)))
+
+
 @query
 def completed_from_grade(spark, sf_dir):
     rows = grades.completed_from_grade(bindings.assignments(spark, sf_dir))

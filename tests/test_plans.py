@@ -72,9 +72,14 @@ def test_indexed_sums_skip_null_values(spark, many_partitions):
 
 def brute(points, weight):
     best = {}
+
+    def settled(value):
+        return None if value is None else round(value, 9)
+
+    points = [(k, settled(None if x is None else weight * x), settled(y)) for k, x, y in points]
     for key, x, y in points:
         others = [
-            (abs(y2 - y) + weight * abs(x2 - x), k2)
+            (abs(y2 - y) + abs(x2 - x), k2)
             for k2, x2, y2 in points
             if k2 != key and None not in (x, y, x2, y2)
         ]
@@ -91,7 +96,8 @@ def clouds(kind, draw):
     if kind == "hot":  # a third at one place, a dense ball, and far points
         same = [(i, 60.0, 2.0) for i in range(60)]
         ball = [(100 + i, 50 + draw.uniform(0, 1e-5), 2 + draw.uniform(0, 1e-5)) for i in range(60)]
-        return same + ball + [(900, 0.0, 1.0), (901, 100.0, 3.0), (902, -5000.0, 1.0), (903, 1e6, 9.0)]
+        noise = [(300 + i, 30 + i * 1e-12, 1.5 - i * 1e-12) for i in range(60)]
+        return same + ball + noise + [(900, 0.0, 1.0), (901, 100.0, 3.0), (902, -5000.0, 1.0), (903, 1e6, 9.0)]
     if kind == "null":
         return [(1, None, 1.0), (2, 10.0, 1.0), (3, 20.0, None), (4, 90.0, 1.0)]
     return [(7, 50.0, 2.0)]
