@@ -126,18 +126,18 @@ def gap_difficulty_context(attempts: DataFrame) -> DataFrame:
     return forecast(attempts).select(*KEYS, "mean_level", "last_level", context.alias("context"))
 
 
+def gap_scores(attempts: DataFrame) -> DataFrame:
+    """Raw scores with their position in time, one row each, from 1. Runs a job."""
+    rows = attempts.filter("score is not null").select(*KEYS, "attempt_ts", "log_pos", "score")
+    return with_position(rows, KEYS, _time_order(), "position").select(*KEYS, "position", "score")
+
+
 def gap_score_path(attempts: DataFrame, page_size: int = 1000) -> DataFrame:
-    """Raw scores in time order, joined into text. A path longer than ``page_size`` scores
-    continues on further pages, so no row grows with the log. Runs a job."""
-    placed = with_position(
-        attempts.filter("score is not null").select(*KEYS, "attempt_ts", "log_pos", "score"),
-        KEYS,
-        _time_order(),
-        "position",
-    )
+    """``gap_scores`` as text for display: rows are pages of ``page_size`` scores, the key is
+    (user, subject, page). Join on ``gap_scores`` instead. Runs a job."""
     step = F.struct("position", "score")
     return (
-        placed.withColumn("page", F.expr(f"(position - 1) div {page_size}"))
+        gap_scores(attempts).withColumn("page", F.expr(f"(position - 1) div {page_size}"))
         .groupBy(*KEYS, "page")
         .agg(F.array_sort(F.collect_list(step)).alias("steps"))
         .select(

@@ -109,6 +109,8 @@ def student_groups(
         if not scores:
             raise ValueError("too few distinct users to form groups")
         k = max(scores, key=lambda s: s[1])[0]
+    if k > 26:
+        raise ValueError("groups are named by one letter: at most 26")
     with ThreadPool(_PARALLEL_FITS) as pool:
         models = pool.map(lambda i: _fit(vectors, k, seed + i), range(restarts))
     model = min(models, key=lambda m: m.summary.trainingCost)
@@ -125,12 +127,17 @@ def student_groups(
     return grouped.unionByName(rest)
 
 
+def group_positions(groups: DataFrame) -> DataFrame:
+    """Members of every group with their place in it by id, one row each, from 1. Runs jobs."""
+    grouped = groups.filter("study_group is not null").select("study_group", "user_id")
+    return with_position(grouped, ["study_group"], [F.col("user_id").asc()], "position")
+
+
 def group_members(groups: DataFrame, page_size: int = 1000) -> DataFrame:
-    """Ordered member list per group, in pages so that no row grows with the group. Runs jobs."""
-    grouped = groups.filter("study_group is not null")
-    placed = with_position(grouped, ["study_group"], [F.col("user_id").asc()], "position")
+    """``group_positions`` as text for display: rows are pages of ``page_size`` members, the key is
+    (study_group, page). Runs jobs."""
     return (
-        placed.withColumn("page", F.expr(f"(position - 1) div {page_size}"))
+        group_positions(groups).withColumn("page", F.expr(f"(position - 1) div {page_size}"))
         .groupBy("study_group", "page")
         .agg(F.array_sort(F.collect_list("user_id")).alias("ids"))
         .select(

@@ -376,6 +376,7 @@ _add(
        FROM forecast""",
     ("mean_level",),
 )
+_add("gap_scores", ("attempts", "timed"), "SELECT user_id, subject, i + 1 AS position, score FROM timed")
 _add(
     "gap_score_path",
     ("attempts", "timed"),

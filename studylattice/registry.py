@@ -76,6 +76,7 @@ for _operator in (
     gap.gap_micro_trend,
     gap.gap_reason,
     gap.gap_difficulty_context,
+    gap.gap_scores,
     gap.gap_score_path,
     gap.gap_most_improved,
     gap.gap_percentile,

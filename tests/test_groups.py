@@ -75,3 +75,5 @@ def test_too_few_users_for_groups(spark):
     assert S.cluster_k_selection(one).count() == 0
     with pytest.raises(ValueError):
         S.student_groups(one)
+    with pytest.raises(ValueError, match="26"):
+        S.student_groups(one, k=27)
