@@ -27,7 +27,7 @@ from studylattice.llm.common import (
 )
 
 # Training reads at most about this many labelled documents.
-TRAINING_ROWS = 4_000
+TRAINING_ROWS = 3_000
 MODULUS, LEFT_OUT = 5, 0
 THRESHOLD = 0.5
 BUCKET_BITS, DIMENSIONS = 17, 8
@@ -151,34 +151,52 @@ class _Adam:
         self.value -= scale * self.first / (np.sqrt(self.second) + 1e-8)
 
 
+def _summed(groups: np.ndarray, values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``values[at]`` by group, in parts that keep memory small."""
+    total = np.zeros(size)
+    for start in range(0, len(at), 1 << 20):
+        total += np.bincount(groups[start : start + (1 << 20)], values[at[start : start + (1 << 20)]], size)
+    return total
+
+
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> ToxicityModel:
     """Train on whole texts. The passages of a text are pooled by a soft maximum that hardens while
     training goes on, so at first all passages count and at last the worst one."""
-    found = [_Words.of(text.lower().encode("utf-8", "replace")) for text in texts]
-    counts = np.array([max(1, len(w.starts)) for w in found])
     numbers: dict[bytes, int] = {}
-    token = array("i")
-    for words in found:
+    token, lengths = array("i"), []
+    for text in texts:
+        words = _Words.of(text.lower().encode("utf-8", "replace"))
         spelled = words.data.tobytes()
         spans = zip(words.starts.tolist(), words.ends.tolist())
-        token.extend([numbers.setdefault(spelled[a:b], len(numbers)) for a, b in spans] or [numbers.setdefault(b"", len(numbers))])
-    del found
-    token = np.array(token)
+        own = [numbers.setdefault(spelled[a:b], len(numbers)) for a, b in spans]
+        own = own or [numbers.setdefault(b"", len(numbers))]
+        token.extend(own)
+        lengths.append(len(own))
+    token, counts = np.array(token), np.array(lengths)
     per_text = -(-counts // PASSAGE_WORDS)
     passages = int(per_text.sum())
     document = np.repeat(np.arange(len(texts)), per_text)
     first = np.cumsum(per_text) - per_text
     within = np.arange(len(token)) - np.repeat(np.cumsum(counts) - counts, counts)
     passage = np.repeat(first, counts) + within // PASSAGE_WORDS
+    del within
     # The empty word of an empty text takes the place of one without buckets of its own.
-    grams, sizes = _Words.of(b" ".join(w or b"0" for w in numbers)).bags()
+    distinct, bags = [w or b"0" for w in numbers], []
+    for at in range(0, len(distinct), 20_000):
+        bags.append(_Words.of(b" ".join(distinct[at : at + 20_000])).bags())
+    grams, sizes = (np.concatenate(part) for part in zip(*bags))
+    del distinct, bags
     owner = np.repeat(np.arange(len(numbers), dtype=np.int32), sizes)
     # A word counts once in a passage, so repeats do not drown the rest.
-    pairs = np.unique(passage.astype(np.int64) * len(numbers) + token)
+    pairs = passage.astype(np.int64) * len(numbers) + token
+    pairs.sort()
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
     passage, token = (pairs // len(numbers)).astype(np.int32), (pairs % len(numbers)).astype(np.int32)
+    del pairs
     # N-grams that occur in too few passages teach nothing.
-    seen = np.bincount(grams, np.bincount(token, minlength=len(numbers))[owner], BUCKETS)
-    owner, grams = owner[seen[grams] >= MIN_PASSAGES], grams[seen[grams] >= MIN_PASSAGES]
+    often = _summed(grams, np.bincount(token, minlength=len(numbers)), owner, BUCKETS) >= MIN_PASSAGES
+    kept = often[grams]
+    owner, grams = owner[kept], grams[kept]
 
     random = np.random.default_rng(0)
     embeddings = _Adam(random.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32))
@@ -188,16 +206,16 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> ToxicityMo
     for step in range(STEPS):
         direction = softmax.value[1] - softmax.value[0]
         pull = embeddings.value @ direction
-        word_pull = np.bincount(owner, pull[grams], len(numbers)) / sizes
-        level = np.bincount(passage, word_pull[token], passages) / PASSAGE_WORDS
+        word_pull = _summed(owner, pull, grams, len(numbers)) / sizes
+        level = _summed(passage, word_pull, token, passages) / PASSAGE_WORDS
         hardness = 0.5 * 20 ** (step / STEPS)
         powers = np.exp(hardness * (level - np.maximum.reduceat(level, first)[document]))
         share = powers / np.add.reduceat(powers, first)[document]
         pooled = np.add.reduceat(share * level, first) + bias.value[1] - bias.value[0]
         slope = weights * (1 / (1 + np.exp(-np.clip(pooled, -30, 30))) - labels)
         on_passage = slope[document] * share / PASSAGE_WORDS
-        on_word = np.bincount(token, on_passage[passage], len(numbers)) / sizes
-        on_bucket = np.bincount(grams, on_word[owner], BUCKETS).astype(np.float32)
+        on_word = _summed(token, on_passage, passage, len(numbers)) / sizes
+        on_bucket = _summed(grams, on_word, owner, BUCKETS).astype(np.float32)
         change = embeddings.value.T @ on_bucket
         embeddings.step(np.outer(on_bucket, direction).astype(np.float32) + DECAY * embeddings.value)
         softmax.step(np.stack([-change, change]))
