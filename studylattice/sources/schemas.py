@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The columns of an attempt log and their types.
 ATTEMPT_TYPES = {
     "timestamp": T.TimestampNTZType(),
     "user_id": T.LongType(),
