@@ -24,7 +24,7 @@ SEQUENCE_TOKENS = 1024
 # Documents in a group, and groups that a partition fills side by side.
 GROUP_DOCS, OPEN_GROUPS = 1024, 4
 # Words whose ids a worker keeps, and the longest of them in characters.
-CACHED_WORDS, CACHED_LENGTH = 500_000, 64
+CACHED_WORDS, CACHED_LENGTH = 200_000, 64
 
 # A pre-token never runs from a non-space over a space, so texts may be cut at single spaces that
 # stand between non-spaces. Texts with other spaces are encoded whole.
