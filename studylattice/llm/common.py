@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Sides up to this many bytes are broadcast; larger ones are joined by a shuffle.
@@ -19,6 +19,11 @@ BROADCAST_BYTES = 8 << 20
 # Bytes of text hashed in one step; longer texts are cut at white space.
 STEP_BYTES = 1 << 20
 
+# Rows that go to a Python worker at once; Spark's default is made for rows of numbers, not texts.
+ARROW_ROWS = 500
+# Bytes of text scored in one step; the arrays made of them are many times as large.
+SCORED_BYTES = 1 << 18
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
@@ -157,6 +162,11 @@ def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python workers in batches of ARROW_ROWS: a session setting."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with the text as bytes; null texts stay null."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
@@ -175,7 +185,7 @@ def filter_texts(docs: DataFrame, keep) -> DataFrame:
         for whole in batches:
             at = 0
             texts = pa.RecordBatch.from_arrays([whole["text"].cast(pa.binary())], ["text"])
-            for part in batches_of(texts, "text", STEP_BYTES):
+            for part in batches_of(texts, "text", SCORED_BYTES):
                 yield whole.slice(at, part.num_rows).filter(pa.array(keep(part["text"])))
                 at += part.num_rows
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studylattice.llm.common import (
+    SCORED_BYTES,
     batches_of,
     distinct,
     filter_texts,
@@ -237,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Addi
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in batches_of(whole, "text", 1 << 20):
+            for batch in batches_of(whole, "text", SCORED_BYTES):
                 table = features(batch["text"])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(table), pa.list_(pa.float64())), batch["label"], batch["weight"]],
@@ -263,7 +264,7 @@ def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in batches_of(whole, "text", 1 << 20):
+            for batch in batches_of(whole, "text", SCORED_BYTES):
                 scores = model.score(features(batch["text"]))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores)], ["doc_id", "score"])
 

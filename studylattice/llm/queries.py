@@ -20,6 +20,7 @@ from studylattice.llm import (
     warc,
     wrappers,
 )
+from studylattice.llm.common import small_batches
 from studylattice.session import allow_skewed_joins, fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,7 @@ SQL: dict[str, str] = {}
 def query(build):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         allow_skewed_joins(spark)
+        small_batches(spark)
         return build(spark, sf_dir)
 
     QUERIES[build.__name__] = run

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studylattice.llm.common import (
+    SCORED_BYTES,
     batches_of,
     filter_texts,
     held_out_rows,
@@ -251,7 +252,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in batches_of(whole, "text", 1 << 20):
+            for batch in batches_of(whole, "text", SCORED_BYTES):
                 scores = shared.value.score(_decoded(batch["text"]))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores)], ["doc_id", "score"])
 
