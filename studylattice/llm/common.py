@@ -6,6 +6,7 @@ are hashed for whole Arrow batches at once, straight from the text buffer.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ ARROW_ROWS = 500
 # Bytes of text scored in one step; the arrays made of them are many times as large.
 SCORED_BYTES = 1 << 18
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
@@ -163,8 +165,13 @@ def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let Spark hand texts to Python workers in batches of ARROW_ROWS: a session setting."""
+    """Let Spark hand texts to Python workers in batches of ARROW_ROWS, a session setting, and let the
+    workers find this package wherever the driver was started."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
