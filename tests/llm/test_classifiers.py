@@ -170,6 +170,14 @@ def test_pseudo_likelihood_equals_a_plain_loop():
         assert total == pytest.approx(plain, abs=1e-4)
 
 
+def test_rounds_learn_from_every_position():
+    """With the registered rounds and stride, whichever batch a text is in."""
+    text = np.repeat(np.arange(4), [1, 700, 0, 40])
+    for cut in (0, 1, 701):
+        seen = [p + a for a, part in ((0, text[:cut]), (cut, text[cut:])) for t in range(lm_score.ROUNDS) for p in lm_score._turn(part, t, lm_score.STRIDE)]
+        assert sorted(seen) == list(range(len(text)))
+
+
 def test_licence_notices(spark):
     told = {
         1: ("some words\nReleased under the MIT License.\nmore", "MIT", 1),
