@@ -170,6 +170,49 @@ def test_pseudo_likelihood_equals_a_plain_loop():
         assert total == pytest.approx(plain, abs=1e-4)
 
 
+def test_every_word_is_predicted_from_both_sides(spark):
+    """Words beyond the vocabulary, however many, follow their neighbours and tell on them."""
+    vocabulary_size, made = lm_score.CLASSES * lm_score.MEMBERS, random.Random(0)
+    common_words = [f"c{i}" for i in range(vocabulary_size)]
+    rows = []
+    for i in range(400):  # "x" is followed by rare words in -ing, "y" by rare words in -ed
+        line = []
+        for k in range(30):
+            left, tail = made.choice([("x", "ing"), ("y", "ed")])
+            line += [left, "".join(made.choice("abcdefgh") for _ in range(4)) + tail, left]
+        rows.append((i, " ".join(line + [c for c in common_words for _ in range(2)] * (i == 0))))
+    docs = frame(spark, rows)
+    vocabulary = lm_score.vocabulary(docs)
+    network = lm_score.train(docs, vocabulary, rounds=4, rate=0.5, stride=2, step_rows=64)
+
+    def total(text):
+        return lm_score.pseudo_likelihood(pa.array([text.encode()], pa.binary()), vocabulary, network)[1][0]
+
+    fit = total("x abcding x") - total("y abcding y")
+    plain = total("x abcding x") - total("x abcded x") + total("y abcded y") - total("y abcding y")
+    assert fit > 0 and plain > 1
+    # Neighbours outside the vocabulary are not one symbol.
+    assert total("abcding x hgfeing") != total("bbcding x hgfeing")
+    # The spelling is a distribution: over all first bytes, and over the first bytes that follow.
+    hidden = np.random.default_rng(0).normal(size=(256, lm_score.HIDDEN)).astype(np.float32)[[0] * 256]
+    for past in (0, 77):
+        chances = np.zeros(256)
+        for _, at, half, logs in network._halves(hidden, vocabulary.spelling, np.arange(256), np.full(256, past)):
+            chances[at] += logs[np.arange(len(at)), half]
+        assert np.exp(chances).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_letters_of_words():
+    texts = pa.array([b" Ab  c", b"", None, "dÉ".encode(), b"x"], pa.binary())
+    assert len(common.hashed_words(texts)[0]) == 4
+    letters = lm_score.Letters.of(texts.slice(0), np.array([True, False, True, True]))
+    spelled = [bytes(letters.values[f : f + n]) for f, n in zip(letters.first, letters.count)]
+    assert spelled == [b"ab ", "dÉ ".encode(), b"x "]
+    assert letters.past[0] == letters.past[3] == letters.past[letters.first[2]]
+    found = [(p.tolist(), o.tolist()) for p, o in letters.pieces(np.array([2, 0]))]
+    assert found == [([letters.first[2], letters.first[2] + 1, 0, 1, 2], [0, 0, 1, 1, 1])]
+
+
 def test_rounds_learn_from_every_position():
     """With the registered rounds and stride, whichever batch a text is in."""
     text = np.repeat(np.arange(4), [1, 700, 0, 40])
