@@ -183,13 +183,56 @@ def _template_pairs() -> dict[str, list[frozenset[int]]]:
     return found
 
 
-def similarity(words: np.ndarray, notices: list[frozenset[int]]) -> float:
-    """The largest share of a notice's word pairs, or of the passage's, that both have."""
+def similarity(words: np.ndarray, notices: list[frozenset[int]], whole: bool = False) -> float:
+    """The largest share of a notice's word pairs, or unless ``whole`` of the passage's, that both have."""
     pairs = set(shingles(words, np.array([0, len(words)]), 2)[0].tolist())
     best = 0.0
     for notice in notices:
         shared = len(pairs & notice)
-        best = max(best, shared / len(notice), shared / max(len(pairs), 1) if len(pairs) >= 3 else 0.0)
+        best = max(best, shared / len(notice), shared / max(len(pairs), 1) if len(pairs) >= 3 and not whole else 0.0)
+    return best
+
+
+def _around(words: np.ndarray, notices: list[frozenset[int]]) -> list[np.ndarray]:
+    """What is left of a passage before and after the place that has most of one of the notices."""
+    pairs = shingles(words, np.array([0, len(words)]), 2)[0].tolist()
+    places = []
+    for notice in notices:
+        hits = np.cumsum([0, *(p in notice for p in pairs)])
+        start = np.arange(max(len(pairs) - len(notice), 0) + 1)
+        end = np.minimum(start + len(notice), len(pairs))
+        at = int((hits[end] - hits[start]).argmax())
+        shared = int(hits[end[at]] - hits[at])
+        places.append((shared / len(notice), shared, at, int(end[at]) + 1))
+    *_, start, end = max(places)
+    return [words[:start], words[end:]]
+
+
+def _confirmed(
+    model: LicenceModel, notices: dict[str, list[frozenset[int]]], hashes: np.ndarray, first: np.ndarray, end: np.ndarray, owners: list
+) -> dict[tuple, tuple[float, float]]:
+    """By owner and family, the probability and similarity of the most certain passage that a template confirms.
+
+    What is around a confirmed notice is looked at again, so that one passage can hold several. There
+    a template must be found itself; that the rest is part of one does not count.
+    """
+    best: dict[tuple, tuple[float, float]] = {}
+    again = False
+    while len(first):
+        chances = model.probabilities(hashes, first, end)[:, :-1]
+        rests = []
+        for at in np.flatnonzero(chances.max(1) >= 0.5):
+            family, words = int(chances[at].argmax()), hashes[first[at] : end[at]]
+            own, chance = notices[FAMILIES[family]], float(chances[at].max())
+            likeness = similarity(words, own, again)
+            if likeness >= CONFIRMED:
+                key = (owners[at], family)
+                best[key] = max(best.get(key, (0.0, 0.0)), (chance, likeness))
+                rests += [(owners[at], rest) for rest in _around(words, own) if len(rest) > 2]
+        owners, again = [owner for owner, _ in rests], True
+        bounds = np.cumsum([0, *(len(rest) for _, rest in rests)])
+        hashes = np.concatenate([rest for _, rest in rests]) if rests else hashes[:0]
+        first, end = bounds[:-1], bounds[1:]
     return best
 
 
@@ -275,8 +318,9 @@ def licence_notices(docs: DataFrame, model: LicenceModel | None = None) -> DataF
     """Paragraphs of ``docs`` (doc_id, text) that are licence notices.
 
     Returns doc_id, paragraph (its line in the text, from 0), family, probability and similarity with the
-    family's templates. A long paragraph counts by its most certain passage. What the classifier does not
-    give an even chance, and what no template confirms, is unknown and not returned.
+    family's templates. A paragraph has a row for every family that is found in it, by the most certain of
+    its passages that a template confirms. What the classifier does not give an even chance, and what no
+    template confirms, is unknown and not returned.
 
     A null or empty text has no notices; a null doc_id is kept; repeated rows are reported as often as
     they occur; other columns are ignored; an empty table gives an empty result.
@@ -292,18 +336,11 @@ def licence_notices(docs: DataFrame, model: LicenceModel | None = None) -> DataF
                 hashes, first, end, paragraph, text = passages(batch["text"])
                 if not len(first):
                     continue
-                chances = shared.value.probabilities(hashes, first, end)[:, :-1]
-                best = {}
-                for at in np.flatnonzero(chances.max(1) >= 0.5):
-                    key = (int(text[at]), int(paragraph[at]))
-                    family = int(chances[at].argmax())
-                    if key not in best or chances[at, family] > best[key][1]:
-                        best[key] = (family, float(chances[at, family]), int(at))
-                rows = []
-                for (row, line), (family, chance, at) in sorted(best.items()):
-                    likeness = similarity(hashes[first[at] : end[at]], notices[FAMILIES[family]])
-                    if likeness >= CONFIRMED:
-                        rows.append((batch["doc_id"][row].as_py(), line, FAMILIES[family], chance, likeness))
+                best = _confirmed(shared.value, notices, hashes, first, end, list(zip(text.tolist(), paragraph.tolist())))
+                rows = [
+                    (batch["doc_id"][row].as_py(), line, FAMILIES[family], chance, likeness)
+                    for ((row, line), family), (chance, likeness) in sorted(best.items())
+                ]
                 if rows:
                     types = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)

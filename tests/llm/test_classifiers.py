@@ -234,3 +234,13 @@ def test_licence_notices(spark):
     got = {(r.doc_id, r.paragraph, r.family) for r in licenses.licence_notices(docs).collect()}
     assert got == {(-i, line, family) for i, (_, family, line) in told.items()}
     assert licenses.licence_notices(docs.limit(0)).count() == 0
+
+
+def test_every_notice_of_a_line_is_found(spark):
+    """Two notices far apart, with a decoy that is more certain than both; and two in one passage."""
+    decoy = "mozilla mozilla 2.0 mozilla " * 30
+    gpl, apache = "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0."
+    line = " ".join([*words(1, 100), gpl, *words(2, 150), decoy, *words(3, 100), apache, *words(4, 100)])
+    docs = frame(spark, [(-1, line), (-2, f"{gpl} Released under the MIT License."), (-3, decoy), *corpus()])
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licenses.licence_notices(docs).collect())
+    assert got == [(-2, 0, "GPL-3.0"), (-2, 0, "MIT"), (-1, 0, "Apache-2.0"), (-1, 0, "GPL-3.0")]
