@@ -53,15 +53,17 @@ _UP = _powers(_BASE, STEP_BYTES)
 _DOWN = _powers(pow(_BASE, -1, 1 << 64), STEP_BYTES)
 
 
-def _hash_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and end positions of the words of ``data``; no word crosses one of ``edges``.
+def _hash_words(
+    data: np.ndarray, edges: np.ndarray, separators: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, start and end positions of the words of ``data``; no word crosses one of ``edges``.
 
     A word's hash is a polynomial over its bytes, taken from running sums of the whole buffer.
     """
     n = len(data)
     if not n:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    solid = ~_SPACE[data]
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    solid = ~separators[data]
     opens = solid.copy()
     opens[1:] &= ~solid[:-1]
     inner = edges[(edges > 0) & (edges < n)]
@@ -75,10 +77,10 @@ def _hash_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nda
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * down[starts]
-    return mixed(hashes + (ends - starts).astype(np.uint64) * _MULTIPLIER), ends
+    return mixed(hashes + (ends - starts).astype(np.uint64) * _MULTIPLIER), starts, ends
 
 
-def _steps(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+def _steps(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> Iterator[tuple[int, int]]:
     """Byte ranges of about STEP_BYTES that end between words."""
     start, end = int(offsets[0]), int(offsets[-1])
     while start < end:
@@ -88,27 +90,38 @@ def _steps(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
             if border > start:
                 stop = border
             else:
-                stop += int(np.argmax(np.append(_SPACE[data[stop:end]], True)))
+                stop += int(np.argmax(np.append(separators[data[stop:end]], True)))
         yield start, stop
         start = stop
 
 
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a binary array in order, and where each text's words begin and end."""
+    data, offsets = text_bytes(texts)
+    hashes, _, ends = word_runs(data, offsets, _SPACE)
+    bounds = np.searchsorted(ends, offsets, "right")
+    bounds[0] = 0
+    return hashes, bounds
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes behind a binary array and the offsets of its texts in them."""
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    hashes, ends = [], []
-    for start, stop in _steps(data, offsets):
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8), offsets
+
+
+def word_runs(
+    data: np.ndarray, offsets: np.ndarray, separators: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end in ``data`` of every run of bytes that are not ``separators`` (256 flags), A-Z
+    lower-cased; no run crosses a text's border."""
+    found = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    for start, stop in _steps(data, offsets, separators):
         inside = offsets[np.searchsorted(offsets, start) : np.searchsorted(offsets, stop, "right")]
-        found, closing = _hash_words(data[start:stop], inside - start)
-        hashes.append(found)
-        ends.append(closing + start)
-    if not hashes:
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    bounds = np.searchsorted(np.concatenate(ends), offsets, "right")
-    bounds[0] = 0
-    return np.concatenate(hashes), bounds
+        hashes, starts, ends = _hash_words(data[start:stop], inside - start, separators)
+        found.append((hashes, starts + start, ends + start))
+    return tuple(np.concatenate(column) for column in zip(*found))
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

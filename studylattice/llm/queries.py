@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studylattice.llm import (
+    collocations,
     decontaminate,
     embed_dedup,
     infill,
@@ -112,6 +113,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 # Words as every operator sees them: A-Z lower-cased, cut at space and tab to carriage return.
 _WORDS = """list_filter(string_split_regex(translate(coalesce(text, ''),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"""
@@ -188,3 +194,22 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
   sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256
 FROM pieces"""
+
+SQL["op12_phrase_collocations"] = """
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+runs AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM runs GROUP BY lang),
+grams AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM runs, (SELECT unnest(range(1, 5)) AS size) WHERE len(w) >= size),
+phrases AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY lang, size, phrase HAVING count(*) >= 30),
+cuts AS (SELECT p.lang, p.size, p.phrase, p.f AS a, k, h.f AS l, t.f AS r, ((2000000::HUGEINT * p.f) // (h.f + t.f))::BIGINT AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM phrases WHERE size > 1) p
+  JOIN phrases h ON h.lang = p.lang AND h.phrase = array_to_string(p.w[1:k], ' ')
+  JOIN phrases t ON t.lang = p.lang AND t.phrase = array_to_string(p.w[k + 1:], ' ')),
+candidates AS MATERIALIZED (SELECT lang, size, phrase, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+covered AS (SELECT DISTINCT s.lang, s.phrase FROM candidates s JOIN candidates b ON s.lang = b.lang AND s.size < b.size
+  AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ') AND 100::HUGEINT * b.a >= 80::HUGEINT * s.a),
+ranked AS (SELECT c.*, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank
+  FROM candidates c ANTI JOIN covered v ON v.lang = c.lang AND v.phrase = c.phrase)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
