@@ -18,6 +18,7 @@ from studylattice.llm import (
     near_dedup,
     packing,
     quality,
+    repeats,
     toxicity,
     warc,
     wrappers,
@@ -118,6 +119,18 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = F.aggregate("removed.length", F.lit(0).cast("long"), lambda total, n: total + n)
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        lengths.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 # Words as every operator sees them: A-Z lower-cased, cut at space and tab to carriage return.
 _WORDS = """list_filter(string_split_regex(translate(coalesce(text, ''),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"""
@@ -213,3 +226,17 @@ covered AS (SELECT DISTINCT s.lang, s.phrase FROM candidates s JOIN candidates b
 ranked AS (SELECT c.*, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank
   FROM candidates c ANTI JOIN covered v ON v.lang = c.lang AND v.phrase = c.phrase)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+# Bytes as pairs of hexadecimal digits; runs are grouped by 128 bits of a digest.
+SQL["op13_suffix_dedup"] = """
+WITH docs AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
+runs AS MATERIALIZED (SELECT doc_id, p, md5_number(substr(x, 2 * p - 1, 200)) AS run FROM (SELECT doc_id, x, unnest(range(1, n_bytes - 98)) AS p FROM docs)),
+later AS (SELECT doc_id, p FROM runs QUALIFY (doc_id, p) > min((doc_id, p)) OVER (PARTITION BY run)),
+steps AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 1 ELSE 0 END AS fresh FROM later),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 99 AS z FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM steps) GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM spans),
+cut AS (SELECT doc_id, sum(z - a + 1)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last,
+    string_agg(substr(x, 2 * y + 1, 2 * (a - y - 1)), '' ORDER BY a) AS kept FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)"""
