@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterable
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studylattice import constants as K
 from studylattice.functions import rules
+from studylattice.plans import lloyd
 from studylattice.plans.nearest import nearest
 from studylattice.plans.ordered import with_position
 from studylattice.session import checkpointed
 
 FEATURES = ("avg_score", "attempts", "avg_difficulty")
-_PARALLEL_FITS = 8
 
 
 def student_profiles(attempts: DataFrame) -> DataFrame:
@@ -50,45 +47,46 @@ def scaled_features(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("whole", whole).select("user_id", *[scaled(name).alias(f"{name}_z") for name in FEATURES])
 
 
-def _vectors(profiles: DataFrame) -> DataFrame:
-    """Scaled features as vectors, kept in the shared folder because every fit rereads them.
-    Users without a feature cannot be clustered and are left out here."""
-    assemble = VectorAssembler(
-        inputCols=[f"{f}_z" for f in FEATURES], outputCol="features", handleInvalid="skip"
-    )
-    scaled = assemble.transform(scaled_features(profiles)).select("user_id", "features")
-    return checkpointed(scaled)
+def _points(profiles: DataFrame) -> DataFrame:
+    """(user_id, p): scaled features in whole millionths, kept because every step rereads them. Users
+    without a feature cannot be clustered and are left out here."""
+    features = [lloyd.settle(F.col(f"{name}_z")) for name in FEATURES]
+    complete = F.lit(True)
+    for name in FEATURES:
+        complete &= F.col(f"{name}_z").isNotNull()
+    return checkpointed(scaled_features(profiles).filter(complete).select("user_id", F.array(*features).alias("p")))
+
 
+def _fits(points: DataFrame, ks: Iterable[int], restarts: int, seed: int) -> tuple[DataFrame, dict[int, lloyd.Model]]:
+    """The places of the points, and the cheapest fit for every admissible number of clusters."""
+    rows = checkpointed(lloyd.places(points))
+    users = rows.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    allowed = [k for k in ks if k < users]
+    return rows, lloyd.best_of_each(lloyd.fit_all(rows, allowed, restarts, seed)) if allowed else {}
 
-def _fit(vectors: DataFrame, k: int, seed: int):
-    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
 
+def _scores(rows: DataFrame, fits: dict[int, lloyd.Model]) -> tuple[dict[int, float], int | None]:
+    """Silhouettes, and the number of clusters with the best one, of equally good ones the lowest."""
+    scores = lloyd.silhouettes(rows, fits.values())
+    return scores, min(scores, key=lambda k: (-round(scores[k], 9), k)) if scores else None
 
-def _silhouettes(vectors: DataFrame, seed: int) -> list[tuple[int, float]]:
-    """Silhouette (squared distance, which needs no pairs) for every admissible k."""
-    users = vectors.count()
+
+def _selectable() -> range:
     low, high = K.CLUSTER_RANGE
-    judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-
-    def score(k: int) -> tuple[int, float] | None:
-        model = _fit(vectors, k, seed)
-        if sum(size > 0 for size in model.summary.clusterSizes) < 2:
-            return None  # too few distinct points for this k
-        return k, judge.evaluate(model.transform(vectors))
-
-    with ThreadPool(_PARALLEL_FITS) as pool:
-        scores = pool.map(score, range(low, min(high, users - 1) + 1))
-    return [s for s in scores if s is not None]
-
-
-def cluster_k_selection(profiles: DataFrame, seed: int = K.MODEL_SEED) -> DataFrame:
-    """Silhouette per number of clusters and the best of them. Runs jobs."""
-    spark = profiles.sparkSession
-    scores = _silhouettes(_vectors(profiles), seed)
-    best = max(scores, key=lambda s: s[1])[0] if scores else None
-    return spark.createDataFrame(
-        [(k, float(s), k == best) for k, s in scores], "k int, silhouette double, best boolean"
-    )
+    return range(low, high + 1)
+
+
+def cluster_k_selection(
+    profiles: DataFrame, restarts: int = K.CLUSTER_RESTARTS, seed: int = K.MODEL_SEED
+) -> DataFrame:
+    """Silhouette per number of clusters and the best of them. Runs jobs.
+
+    All fits of all numbers of clusters share their steps. Silhouettes are by squared distance. Too many
+    clusters for the users or for their distinct profiles have no row.
+    """
+    scores, best = _scores(*_fits(_points(profiles), _selectable(), restarts, seed))
+    rows = [(k, float(s), k == best) for k, s in sorted(scores.items())]
+    return profiles.sparkSession.createDataFrame(rows, "k int, silhouette double, best boolean")
 
 
 def student_groups(
@@ -99,26 +97,25 @@ def student_groups(
 ) -> DataFrame:
     """Every user's group letter. Runs jobs.
 
-    Of ``restarts`` fits the one with the lowest cost wins. Letters follow the clusters by
-    falling mean score, so that equal inputs give equal letters. Users without a feature
-    (no known level, say) get no letter.
+    Of ``restarts`` fits the one with the lowest cost wins; without ``k`` the fits of all numbers of clusters
+    are made together and the best silhouette decides. Letters follow the clusters by falling mean score, so
+    that equal inputs give equal letters. Users without a feature (no known level, say) get no letter.
     """
-    vectors = _vectors(profiles)
-    if k is None:
-        scores = _silhouettes(vectors, seed)
-        if not scores:
-            raise ValueError("too few distinct users to form groups")
-        k = max(scores, key=lambda s: s[1])[0]
-    if k > 26:
+    if k is not None and k > 26:
         raise ValueError("groups are named by one letter: at most 26")
-    with ThreadPool(_PARALLEL_FITS) as pool:
-        models = pool.map(lambda i: _fit(vectors, k, seed + i), range(restarts))
-    model = min(models, key=lambda m: m.summary.trainingCost)
-    centres = model.clusterCenters()  # k rows
-    ranked = sorted(range(len(centres)), key=lambda c: (-centres[c][0], tuple(centres[c])))
+    points = _points(profiles)
+    rows, fits = _fits(points, _selectable() if k is None else [k], restarts, seed)
+    if k is None:
+        k = _scores(rows, fits)[1]
+    if k not in fits:
+        raise ValueError("too few distinct users to form groups")
+    model = fits[k]
+    filled = [c for c in range(k) if model.sizes[c]]
+    ranked = sorted(filled, key=lambda c: (-model.means[c][0], model.means[c]))
     letters = {cluster: chr(ord("A") + place) for place, cluster in enumerate(ranked)}
-    grouped = model.transform(vectors).select(
-        "user_id", rules.lookup(F.col("cluster"), letters).alias("study_group")
+    centres = F.array(*[F.array(*map(F.lit, centre)) for centre in model.centres])
+    grouped = points.select(
+        "user_id", rules.lookup(lloyd.nearest(F.col("p"), centres)["cluster"], letters).alias("study_group")
     )
     lacking = F.lit(False)
     for name in FEATURES:

@@ -229,10 +229,77 @@ _BLOCKS: dict[str, str] = {
         WHERE choice = 1""",
 }
 
+_FEATURES = ("avg_score", "attempts", "avg_difficulty")
+_LOW_K, _HIGH_K = K.CLUSTER_RANGE
+
+
+def _away(p: str, c: str) -> str:
+    return f"(({p}.x - {c}.x) * ({p}.x - {c}.x) + ({p}.y - {c}.y) * ({p}.y - {c}.y) + ({p}.z - {c}.z) * ({p}.z - {c}.z))"
+
+
+# k-means the plain way: every place with every centre of every model, step by step.
+_BLOCKS |= {
+    "points": "SELECT user_id, "
+    + ", ".join(
+        f"CAST(round_even(({c} - AVG({c}) OVER ()) / COALESCE(NULLIF(stddev_pop({c}) OVER (), 0), 1) * 1e6, 0) AS BIGINT) AS {axis}"
+        for c, axis in zip(_FEATURES, "xyz")
+    )
+    + " FROM profiles QUALIFY x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL",
+    "places": "SELECT x, y, z, COUNT(*) AS w FROM points GROUP BY x, y, z",
+    "starts": f"""
+        SELECT k, restart, place - 1 AS c, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z
+        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY restart
+            ORDER BY md5('{K.MODEL_SEED}:' || restart || ':' || x || ':' || y || ':' || z), x, y, z) AS place
+          FROM places, (SELECT UNNEST(range({K.CLUSTER_RESTARTS})) AS restart)),
+          (SELECT UNNEST(range({_LOW_K}, {_HIGH_K + 1})) AS k)
+        WHERE place <= k AND k <= (SELECT COUNT(*) FROM places) AND k < (SELECT COUNT(*) FROM points)""",
+    "fit": f"""
+        SELECT 0 AS step, k, restart, c, x, y, z, FALSE AS done FROM starts
+        UNION ALL
+        SELECT step + 1, k, restart, c, nx, ny, nz, SUM(shift) OVER (PARTITION BY k, restart) <= 1e8 FROM (
+          SELECT f.step, f.k, f.restart, f.c, COALESCE(s.x, f.x) AS nx, COALESCE(s.y, f.y) AS ny, COALESCE(s.z, f.z) AS nz,
+            COALESCE({_away("s", "f")}, 0) AS shift
+          FROM fit f LEFT JOIN (
+            SELECT k, restart, near.c AS c, SUM(w * x)::DOUBLE / SUM(w)::DOUBLE AS x, SUM(w * y)::DOUBLE / SUM(w)::DOUBLE AS y,
+              SUM(w * z)::DOUBLE / SUM(w)::DOUBLE AS z
+            FROM (SELECT g.k, g.restart, p.x, p.y, p.z, p.w, MIN({{'d': {_away("p", "g")}, 'c': g.c}}) AS near
+              FROM places p, fit g WHERE NOT g.done GROUP BY g.k, g.restart, p.x, p.y, p.z, p.w)
+            GROUP BY k, restart, near.c) s ON s.k = f.k AND s.restart = f.restart AND s.c = f.c
+          WHERE NOT f.done AND f.step < 100)""",
+    "centres": "SELECT k, restart, c, arg_max(x, step) AS x, arg_max(y, step) AS y, arg_max(z, step) AS z FROM fit GROUP BY k, restart, c",
+    "nearest": f"""
+        SELECT k, restart, x, y, z, w, near.c AS c, CAST(floor(near.d) AS HUGEINT) AS d
+        FROM (SELECT g.k, g.restart, p.x, p.y, p.z, p.w, MIN({{'d': {_away("p", "g")}, 'c': g.c}}) AS near
+          FROM places p, centres g GROUP BY g.k, g.restart, p.x, p.y, p.z, p.w)""",
+    "cheapest": """
+        SELECT k, restart FROM (SELECT k, restart, SUM(w * d) AS cost FROM nearest GROUP BY k, restart)
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY k ORDER BY cost, restart) = 1""",
+    "placed": "SELECT n.* FROM nearest n JOIN cheapest USING (k, restart)",
+    "between": f"""
+        SELECT a.k, a.x, a.y, a.z, a.w, a.c, b.c AS other, SUM(b.w * CAST({_away("a", "b")} AS DOUBLE)) AS far, SUM(b.w) AS n
+        FROM placed a JOIN placed b ON a.k = b.k GROUP BY a.k, a.x, a.y, a.z, a.w, a.c, b.c""",
+    "silhouettes": """
+        SELECT k, SUM(w * CASE WHEN own_n > 1 AND GREATEST(inside, outside) > 0 THEN (outside - inside) / GREATEST(inside, outside) ELSE 0 END) / SUM(w) AS silhouette
+        FROM (SELECT k, x, y, z, w, MAX(n) FILTER (other = c) AS own_n, MAX(far / NULLIF(n - 1, 0)) FILTER (other = c) AS inside,
+            MIN(far / n) FILTER (other <> c) AS outside FROM between GROUP BY k, x, y, z, w)
+        GROUP BY k HAVING COUNT(outside) > 0""",
+    "letters": """
+        SELECT k, c, chr(CAST(64 + ROW_NUMBER() OVER (PARTITION BY k ORDER BY mx DESC, my, mz) AS INTEGER)) AS study_group
+        FROM (SELECT k, c, SUM(w * x)::DOUBLE / SUM(w)::DOUBLE AS mx, SUM(w * y)::DOUBLE / SUM(w)::DOUBLE AS my,
+          SUM(w * z)::DOUBLE / SUM(w)::DOUBLE AS mz FROM placed GROUP BY k, c)""",
+    "student_groups": """
+        SELECT p.user_id, study_group FROM profiles p LEFT JOIN (SELECT q.user_id, l.study_group
+          FROM points q JOIN placed n ON n.x = q.x AND n.y = q.y AND n.z = q.z
+          JOIN letters l ON l.k = n.k AND l.c = n.c
+          WHERE n.k = (SELECT k FROM silhouettes ORDER BY ROUND(silhouette, 9) DESC, k LIMIT 1)) USING (user_id)""",
+}
+
 _LOG = ("attempts", "weights", "weighted")
 _TARGETS = ("attempts", "targets", "modes", "training")
 _REVISION = (*_TARGETS, "plan_base", "revision")
 _COURSES = ("assignments", "courses")
+_CLUSTERS = ("attempts", "profiles", "points", "places", "starts", "fit", "centres", "nearest", "cheapest", "placed", "between", "silhouettes")
+_GROUPS = (*_CLUSTERS, "letters", "student_groups")
 _PROPORTIONAL = ("items", "requests", "subsets", "chosen", "proportional")
 
 SQL: dict[str, str] = {}
@@ -244,7 +311,8 @@ def _add(name: str, blocks, select: str, doubles: tuple[str, ...] = ()) -> None:
         shown = ", ".join(f"{_round(f'CAST({c} AS DOUBLE)', SHOWN_DIGITS)} AS {c}" for c in doubles)
         body = f"SELECT * REPLACE ({shown}) FROM ({select})"
     ctes = ",\n".join(f"{b} AS ({_BLOCKS[b]})" for b in blocks)
-    SQL[name] = f"WITH {ctes}\n{body}" if blocks else body
+    recursive = "RECURSIVE " if "fit" in blocks else ""
+    SQL[name] = f"WITH {recursive}{ctes}\n{body}" if blocks else body
 
 
 _add("attempts_scan", ("attempts",), "SELECT * FROM attempts", ("time_spent_mins",))
@@ -480,6 +548,21 @@ _add(
     + " FROM profiles",
     ("avg_score_z", "attempts_z", "avg_difficulty_z"),
 )
+_add(
+    "cluster_k_selection",
+    _CLUSTERS,
+    """SELECT CAST(k AS INTEGER) AS k, silhouette, k = FIRST_VALUE(k) OVER (ORDER BY ROUND(silhouette, 9) DESC, k) AS best FROM silhouettes""",
+    ("silhouette",),
+)
+_add("student_groups", _GROUPS, "SELECT * FROM student_groups")
+_add(
+    "group_members",
+    _GROUPS,
+    """SELECT study_group, page, COUNT(*) AS members, string_agg(CAST(user_id AS VARCHAR), ', ' ORDER BY user_id) AS member_ids
+       FROM (SELECT *, (ROW_NUMBER() OVER (PARTITION BY study_group ORDER BY user_id) - 1) // 1000 AS page
+         FROM student_groups WHERE study_group IS NOT NULL)
+       GROUP BY study_group, page""",
+)
 _METRICS = (("Average Score (%)", "avg_score", True), ("Attempts", "attempts", False), ("Average Difficulty", "avg_difficulty", True))
 _add(
     "compare_users",
@@ -495,9 +578,7 @@ _add(
     ),
     ("first_value", "second_value"),
 )
-_add(
-    "peer_comparison",
-    ("attempts", "profiles"),
+_PEERS = (
     "WITH peers AS (SELECT user_id, arg_min(peer_id, (score, peer_id)) AS peer_id FROM (SELECT a.user_id, b.user_id AS peer_id,"
     + " ROUND(ABS(ROUND(b.avg_difficulty, 9) - ROUND(a.avg_difficulty, 9))"
     + f" + ABS(ROUND(CAST({K.PEER_LAMBDA} AS DOUBLE) * b.avg_score, 9) - ROUND(CAST({K.PEER_LAMBDA} AS DOUBLE) * a.avg_score, 9)), 9) AS score"
@@ -510,7 +591,14 @@ _add(
         )
         + " FROM peers p JOIN profiles a ON a.user_id = p.user_id JOIN profiles b ON b.user_id = p.peer_id"
         for label, c, rounded in _METRICS
-    ),
+    )
+)
+_add("peer_comparison", ("attempts", "profiles"), _PEERS, ("first_value", "second_value"))
+_add(
+    "compare_users_with_groups",
+    _GROUPS,
+    f"""SELECT c.*, f.study_group AS first_group, s.study_group AS second_group FROM ({_PEERS}) c
+        LEFT JOIN student_groups f ON f.user_id = c.first_user LEFT JOIN student_groups s ON s.user_id = c.second_user""",
     ("first_value", "second_value"),
 )
 _add(

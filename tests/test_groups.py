@@ -1,10 +1,14 @@
+from hashlib import md5
 from random import Random
 
 import pytest
 from conftest import records
+from pyspark.sql import functions as F
 from samples import attempts, log
 
 from studylattice.operators import groups as S
+from studylattice.plans import lloyd
+from studylattice.session import checkpointed
 
 
 def test_profile_goldens(spark):
@@ -77,3 +81,92 @@ def test_too_few_users_for_groups(spark):
         S.student_groups(one)
     with pytest.raises(ValueError, match="26"):
         S.student_groups(one, k=27)
+
+
+def plain_fits(points, ks, restarts, seed):
+    """k-means with a loop for every model, place and centre."""
+    places = sorted(set(points))
+    weight = {p: points.count(p) for p in places}
+    cheapest = {}
+    for k in (k for k in ks if k <= len(places) and k < len(points)):
+        for restart in range(restarts):
+            key = lambda p: (md5(":".join(map(str, (seed, restart, *p))).encode()).hexdigest(), p)
+            centres = [tuple(map(float, p)) for p in sorted(places, key=key)[:k]]
+
+            def away(p, c):
+                return sum((a - b) ** 2 for a, b in zip(p, c))
+
+            def nearest(p):
+                return min(range(k), key=lambda c: (away(p, centres[c]), c))
+
+            for _ in range(100):
+                groups = {}
+                for p in places:
+                    groups.setdefault(nearest(p), []).append(p)
+                moved = [
+                    tuple(sum(weight[p] * p[i] for p in groups[c]) / sum(weight[p] for p in groups[c]) for i in range(3)) if c in groups else centres[c]
+                    for c in range(k)
+                ]
+                shift = sum(away(a, b) for a, b in zip(moved, centres))
+                centres = moved
+                if shift <= 1e-4 * 1e12:
+                    break
+            cost = sum(weight[p] * int(away(p, centres[nearest(p)])) for p in places)
+            fit = (cost, restart, {p: nearest(p) for p in places})
+            cheapest[k] = min(cheapest.get(k, fit), fit, key=lambda f: f[:2])
+    return {k: f[2] for k, f in cheapest.items()}
+
+
+def plain_silhouette(points, labels):
+    def mean(p, c, own):
+        others = [q for q in points if labels[q] == c]
+        return sum(sum((a - b) ** 2 for a, b in zip(p, q)) for q in others) / (len(others) - own) if len(others) > own else None
+
+    total = 0.0
+    for p in points:
+        inside = mean(p, labels[p], 1)
+        outside = min(mean(p, c, 0) for c in set(labels.values()) if c != labels[p])
+        total += 0 if inside is None or max(inside, outside) == 0 else (outside - inside) / max(inside, outside)
+    return total / len(points)
+
+
+def test_all_models_equal_plain_fits(spark):
+    random = Random(9)
+    points = [tuple(random.choice([-1, 1]) * 1_000_000 + random.randint(-700_000, 700_000) for _ in range(3)) for _ in range(60)]
+    points += points[:7] * 2
+    rows = spark.createDataFrame([(list(p),) for p in points], "p array<long>").repartition(5)
+    places = checkpointed(lloyd.places(rows))
+    best = lloyd.best_of_each(lloyd.fit_all(places, [2, 3, 5], 4, 7))
+    want = plain_fits(points, [2, 3, 5], 4, 7)
+    scores = lloyd.silhouettes(places, best.values())
+    for k, model in best.items():
+        literal = F.array(*[F.array(*map(F.lit, c)) for c in model.centres])
+        found = places.select("p", lloyd.nearest(F.col("p"), literal)["cluster"].alias("c")).collect()
+        assert {tuple(r.p): r.c for r in found} == want[k]
+        assert scores[k] == pytest.approx(plain_silhouette(points, want[k]), abs=1e-9)
+
+
+def test_fits_do_not_depend_on_the_partitioning(spark):
+    random = Random(3)
+    rows = [(i, random.uniform(0, 100), random.randint(1, 50), random.uniform(1, 3)) for i in range(300)]
+    found = [records(S.student_groups(profiles(spark, rows).repartition(n), restarts=5), "user_id", "study_group") for n in (1, 7)]
+    assert found[0] == found[1]
+
+
+def test_one_job_a_step_whatever_the_models(spark, monkeypatch):
+    """Thirty restarts of eight numbers of clusters take the steps of the slowest of them."""
+    calls = []
+    step = lloyd._step
+    monkeypatch.setattr(lloyd, "_step", lambda *a: calls.append(len(a[1])) or step(*a))
+    S.cluster_k_selection(blobs(spark), restarts=10)
+    assert calls[0] == 80 and len(calls) <= lloyd.MOST_STEPS + 1
+    assert calls[:-1] == sorted(calls[:-1], reverse=True)
+
+
+def test_equal_profiles_form_no_groups(spark):
+    same = profiles(spark, [(i, 50.0, 3, 2.0) for i in range(5)])
+    assert S.cluster_k_selection(same).count() == 0
+    nulls = profiles(spark, [(1, None, 3, 2.0), (2, 50.0, 3, None)])
+    assert S.cluster_k_selection(nulls).count() == 0
+    mixed = profiles(spark, [(1, None, 3, 2.0), (2, 50.0, 3, 1.0), (3, 10.0, 3, 1.0), (4, 10.5, 3, 1.0)])
+    assert records(S.student_groups(mixed, k=2), "user_id", "study_group") == [(1, None), (2, "A"), (3, "B"), (4, "B")]
