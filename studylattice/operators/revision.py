@@ -7,13 +7,14 @@ level), so the fallback copies aggregates and not attempts.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studylattice import constants as K
 from studylattice.functions import rules
+from studylattice.plans import forests
+from studylattice.plans.skew import join_totals
+from studylattice.session import checkpointed
 
 KEYS = ["user_id", "subject"]
 TARGET = [*KEYS, "difficulty"]
@@ -247,48 +248,84 @@ def revision_schedule(plan: DataFrame, days: int = K.DAYS_UNTIL_QUIZ, as_of: str
     )
 
 
+def _own_rows(numbered: DataFrame) -> DataFrame:
+    """Training rows of the targets with attempts: the attempts themselves; their level is the only one."""
+    return numbered.filter("difficulty is not null").select(
+        _key(*TARGET).alias("key"), "log_pos", _features(F.lit(0.0)).alias("x"), _label().alias("y")
+    )
+
+
+def _subject_rows(numbered: DataFrame, levels: DataFrame) -> DataFrame:
+    """Training rows of the subjects some level of which has no attempts: all attempts, the level as its place
+    among the names the subject has."""
+    lacking = levels.filter(F.size(F.array_except(F.array(*map(F.lit, K.LEVELS)), "levels")) > 0)
+    code = F.array_position("levels", F.col("difficulty")).cast("double") - 1
+    return join_totals(numbered.filter("difficulty is not null"), lacking, KEYS).select(
+        _key(*KEYS).alias("key"), "log_pos", _features(code).alias("x"), _label().alias("y")
+    )
+
+
+def _key(*columns: str) -> Column:
+    return F.to_json(F.struct(*columns))
+
+
+def _features(code: Column) -> Column:
+    minutes = F.col("time_spent_mins").cast("double")
+    return F.array(rules.score_percent(), F.col("attempt_no").cast("double"), minutes, code)
+
+
+def _label() -> Column:
+    return rules.ideal_interval(rules.score_percent()).cast("double")
+
+
+def _whole(x: str) -> Column:
+    return ~F.exists(x, lambda v: v.isNull())
+
+
 def revision_interval_model(
     numbered: DataFrame,
     days: int = K.DAYS_UNTIL_QUIZ,
     trees: int = K.FOREST_TREES,
     seed: int = K.MODEL_SEED,
 ) -> DataFrame:
-    """Base interval of every target from one forest trained on all attempts. Runs jobs.
+    """Base interval of every target from a forest of its own. Runs jobs. Needs ``attempt_no``.
 
-    The features are score, attempt number, minutes and level; the label is the ideal
-    interval. Needs ``attempt_no``.
+    A target with attempts learns from them and is asked its latest attempt. The levels a user has not tried in a
+    subject learn from all attempts there that have a level, and are asked the means over the levels, with the
+    middle one of the levels. The features are score, attempt number, minutes and level; the label is the
+    ideal interval. Attempts and questions without one of them are left out; without any, the interval is NULL.
     """
-    level = rules.lookup(F.col("difficulty"), K.LEVEL_RANK, 2).cast("double").alias("level")
-    inputs = ["percent", "attempt_no", "minutes", "level"]
-    assemble = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip")
-    training = numbered.select(
-        rules.score_percent().alias("percent"),
-        F.col("attempt_no").cast("double").alias("attempt_no"),
-        F.col("time_spent_mins").alias("minutes"),
-        level,
-        rules.ideal_interval(rules.score_percent()).cast("double").alias("label"),
-    )
-    forest = RandomForestRegressor(
-        numTrees=trees, seed=seed, featureSubsetStrategy="all", predictionCol="base_interval"
+    numbered = checkpointed(numbered.select(*TARGET, "log_pos", "attempt_no", "score", "total", "time_spent_mins"))
+    levels = (
+        numbered.filter("difficulty is not null")
+        .groupBy(*KEYS)
+        .agg(F.array_sort(F.collect_set("difficulty")).alias("levels"))
     )
-    model = forest.fit(assemble.transform(training).select("features", "label"))
-    rows = _level_means(_targets(numbered))
     guess = F.col("is_prediction_mode")
-    asked = rows.select(
-        *TARGET,
-        "is_prediction_mode",
-        F.when(guess, F.col("mean_percent")).otherwise(F.col("own.latest_percent")).alias("percent"),
-        F.when(guess, F.col("mean_max_attempt"))
-        .otherwise(F.col("own.latest_attempt_no").cast("double"))
-        .alias("attempt_no"),
-        F.when(guess, F.col("mean_minutes")).otherwise(F.col("own.latest_minutes")).alias("minutes"),
-        level,
+    middle = F.floor(F.size(F.array_compact("all.difficulty")) / 2).cast("double")
+    asked = checkpointed(
+        _level_means(_targets(numbered)).select(
+            *TARGET,
+            "is_prediction_mode",
+            F.when(guess, _key(*KEYS)).otherwise(_key(*TARGET)).alias("key"),
+            F.when(
+                guess, F.array("mean_percent", F.col("mean_max_attempt"), F.col("mean_minutes"), middle)
+            )
+            .otherwise(
+                F.array(
+                    F.col("own.latest_percent"),
+                    F.col("own.latest_attempt_no").cast("double"),
+                    F.col("own.latest_minutes").cast("double"),
+                    F.lit(0.0),
+                )
+            )
+            .alias("asked"),
+        )
     )
-    # A target whose attempts had no questions or times has no input: its interval is NULL.
-    shown = [*TARGET, "is_prediction_mode", "base_interval"]
-    complete = F.lit(True)
-    for name in inputs:
-        complete &= F.col(name).isNotNull()
-    predicted = model.transform(assemble.transform(asked.filter(complete))).select(*shown)
-    unknown = asked.filter(~complete).withColumn("base_interval", F.lit(None).cast("double"))
-    return with_sessions(predicted.unionByName(unknown.select(*shown)), days)
+    rows = _own_rows(numbered).unionByName(_subject_rows(numbered, levels)).filter(_whole("x"))
+    rows = checkpointed(rows.withColumnRenamed("log_pos", "id"))
+    # The levels without attempts of a subject ask the same.
+    questions = asked.filter(_whole("asked")).select("key", "asked").dropDuplicates(["key"])
+    answers = forests.answers(rows, questions, trees, seed).withColumnRenamed("answer", "base_interval")
+    interval = rules.settled(F.col("base_interval")).alias("base_interval")
+    return with_sessions(asked.join(answers, "key", "left").select(*TARGET, "is_prediction_mode", interval), days)

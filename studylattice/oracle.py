@@ -7,6 +7,7 @@ subset enumeration, which the Spark side avoids.
 from __future__ import annotations
 
 from studylattice import constants as K
+from studylattice.plans import forests
 from studylattice.registry import SHOWN_DIGITS
 
 
@@ -294,9 +295,74 @@ _BLOCKS |= {
           WHERE n.k = (SELECT k FROM silhouettes ORDER BY ROUND(silhouette, 9) DESC, k LIMIT 1)) USING (user_id)""",
 }
 
+
+def _mixed(x: str, factor: int) -> str:
+    return f"CAST(CAST({x} AS UHUGEINT) * {factor} % 18446744073709551616 AS UBIGINT)"
+
+
+_DRAW_0 = f"CAST((CAST(id AS UHUGEINT) * {forests.MULTIPLIERS[0]} + CAST(tree AS UHUGEINT) * {forests.MULTIPLIERS[1]} + {K.MODEL_SEED}) % 18446744073709551616 AS UBIGINT)"
+_ROW = "user_id, subject, level"
+
+# A forest for every target the plain way: all cuts of all nodes, one level after the other.
+_BLOCKS |= {
+    "lacking": """
+        SELECT user_id, subject, COUNT(DISTINCT difficulty) AS levels FROM numbered WHERE difficulty IS NOT NULL
+        GROUP BY user_id, subject HAVING COUNT(DISTINCT difficulty) FILTER (difficulty IN ('Easy', 'Intermediate', 'Hard')) < 3""",
+    "learned": f"""
+        SELECT user_id, subject, difficulty AS level, log_pos AS id, {_PERCENT} AS x0, CAST(attempt_no AS DOUBLE) AS x1,
+          CAST(time_spent_mins AS DOUBLE) AS x2, CAST(0 AS DOUBLE) AS x3, CAST({_IDEAL.format(p="(" + _PERCENT + ")")} AS DOUBLE) AS y
+        FROM numbered WHERE difficulty IS NOT NULL
+        UNION ALL
+        SELECT user_id, subject, '', log_pos, {_PERCENT}, attempt_no, time_spent_mins,
+          DENSE_RANK() OVER (PARTITION BY user_id, subject ORDER BY difficulty) - 1, {_IDEAL.format(p="(" + _PERCENT + ")")}
+        FROM numbered SEMI JOIN lacking USING (user_id, subject) WHERE difficulty IS NOT NULL""",
+    "asked": f"""
+        SELECT user_id, subject, difficulty AS level, arg_max({_PERCENT}, log_pos) AS q0, CAST(MAX(attempt_no) AS DOUBLE) AS q1,
+          CAST(arg_max(time_spent_mins, log_pos) AS DOUBLE) AS q2, CAST(0 AS DOUBLE) AS q3
+        FROM numbered WHERE difficulty IS NOT NULL GROUP BY user_id, subject, difficulty
+        UNION ALL
+        SELECT user_id, subject, '', AVG(p), AVG(a), AVG(t), CAST(MAX(levels) // 2 AS DOUBLE)
+        FROM (SELECT user_id, subject, difficulty, AVG({_PERCENT}) AS p, MAX(attempt_no) AS a, AVG(time_spent_mins) AS t
+          FROM numbered WHERE difficulty IS NOT NULL GROUP BY user_id, subject, difficulty) JOIN lacking USING (user_id, subject)
+        GROUP BY user_id, subject""",
+    "drawn": f"""
+        SELECT * EXCLUDE (h), len(list_filter([{", ".join(f"CAST({p!r} AS DOUBLE)" for p in forests.POISSON)}],
+            lambda p: p <= CAST(h >> 11 AS DOUBLE) / 9007199254740992)) AS w
+        FROM (SELECT * REPLACE (xor(h, h >> 31) AS h) FROM (
+          SELECT * REPLACE ({_mixed("xor(h, h >> 27)", 0x94D049BB133111EB)} AS h) FROM (
+          SELECT * REPLACE ({_mixed("xor(h, h >> 30)", 0xBF58476D1CE4E5B9)} AS h) FROM (
+          SELECT l.*, tree, {_DRAW_0} AS h FROM learned l, (SELECT UNNEST(range({K.FOREST_TREES})) AS tree)
+          WHERE x0 IS NOT NULL AND x2 IS NOT NULL))))""",
+    "grown": f"""
+        SELECT 0 AS depth, {_ROW}, tree, x0, x1, x2, x3, y, CAST(w AS DOUBLE) AS w, q0, q1, q2, q3
+        FROM drawn JOIN asked USING ({_ROW}) WHERE w > 0
+        UNION ALL
+        SELECT e.depth + 1, {", ".join("e." + c for c in _ROW.split(", "))}, e.tree, x0, x1, x2, x3, y, w, q0, q1, q2, q3
+        FROM grown e JOIN (
+          SELECT {_ROW}, tree, arg_min({{'f': f, 'cut': (v + higher) / 2}}, {{'s': -(lt * lt / lw + (t - lt) * (t - lt) / (n - lw)), 'f': f, 'v': v}}) AS best
+          FROM (SELECT {_ROW}, tree, f, v, LEAD(v) OVER along AS higher, SUM(w) OVER along AS lw, SUM(wy) OVER along AS lt,
+              SUM(w) OVER whole AS n, SUM(wy) OVER whole AS t, MIN(low) OVER whole AS low, MAX(high) OVER whole AS high
+            FROM (SELECT {_ROW}, tree, f, v, SUM(w) AS w, SUM(w * y) AS wy, MIN(y) AS low, MAX(y) AS high
+              FROM (SELECT {_ROW}, tree, y, w, UNNEST([0, 1, 2, 3]) AS f, UNNEST([x0, x1, x2, x3]) AS v FROM grown)
+              GROUP BY {_ROW}, tree, f, v)
+            WINDOW along AS (PARTITION BY {_ROW}, tree, f ORDER BY v), whole AS (PARTITION BY {_ROW}, tree, f))
+          WHERE higher IS NOT NULL AND low < high GROUP BY {_ROW}, tree) b
+          ON b.user_id = e.user_id AND b.subject = e.subject AND b.level = e.level AND b.tree = e.tree
+        WHERE ([x0, x1, x2, x3][best.f + 1] <= best.cut) = ([q0, q1, q2, q3][best.f + 1] <= best.cut)""",
+    "intervals": f"""
+        SELECT {_ROW}, {_settled("AVG(leaf)")} AS base FROM (
+          SELECT {_ROW}, tree, SUM(w * y) / SUM(w) AS leaf
+          FROM (SELECT * FROM grown QUALIFY depth = MAX(depth) OVER (PARTITION BY {_ROW}, tree)) GROUP BY {_ROW}, tree)
+        GROUP BY {_ROW}""",
+    "model_base": """
+        SELECT m.user_id, m.subject, m.difficulty, is_prediction_mode, base FROM modes m LEFT JOIN intervals i
+          ON i.user_id = m.user_id AND i.subject = m.subject AND i.level = CASE WHEN is_prediction_mode THEN '' ELSE m.difficulty END""",
+}
+
 _LOG = ("attempts", "weights", "weighted")
 _TARGETS = ("attempts", "targets", "modes", "training")
 _REVISION = (*_TARGETS, "plan_base", "revision")
+_MODEL = ("attempts", "numbered", "targets", "modes", "lacking", "learned", "asked", "drawn", "grown", "intervals", "model_base")
 _COURSES = ("assignments", "courses")
 _CLUSTERS = ("attempts", "profiles", "points", "places", "starts", "fit", "centres", "nearest", "cheapest", "placed", "between", "silhouettes")
 _GROUPS = (*_CLUSTERS, "letters", "student_groups")
@@ -311,7 +377,7 @@ def _add(name: str, blocks, select: str, doubles: tuple[str, ...] = ()) -> None:
         shown = ", ".join(f"{_round(f'CAST({c} AS DOUBLE)', SHOWN_DIGITS)} AS {c}" for c in doubles)
         body = f"SELECT * REPLACE ({shown}) FROM ({select})"
     ctes = ",\n".join(f"{b} AS ({_BLOCKS[b]})" for b in blocks)
-    recursive = "RECURSIVE " if "fit" in blocks else ""
+    recursive = "RECURSIVE " if {"fit", "grown"} & set(blocks) else ""
     SQL[name] = f"WITH {recursive}{ctes}\n{body}" if blocks else body
 
 
@@ -535,6 +601,12 @@ _add(
 )
 for _name in ("revision_schedule", "export_schedule_csv"):
     _add(_name, (*_REVISION, "sessions_out"), "SELECT * FROM sessions_out")
+_PLANNED = """SELECT user_id, subject, difficulty, is_prediction_mode, CAST(base AS DOUBLE) AS base_interval, sessions, interval_days,
+  CEIL(interval_days * 2) / 2 AS rounded_days FROM revision"""
+_BLOCKS["plan_base_rules"], _BLOCKS["plan_base"] = _BLOCKS["plan_base"], "SELECT * FROM model_base"
+_add("revision_interval_model", (*_MODEL, "plan_base", "revision"), _PLANNED, ("base_interval", "interval_days", "rounded_days"))
+_add("revision_schedule_model", (*_MODEL, "plan_base", "revision", "sessions_out"), "SELECT * FROM sessions_out")
+_BLOCKS["plan_base"] = _BLOCKS.pop("plan_base_rules")
 
 _add("student_profiles", ("attempts", "profiles"), "SELECT * FROM profiles", ("avg_score", "avg_difficulty"))
 _add(

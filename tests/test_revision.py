@@ -1,8 +1,10 @@
 import pytest
 from conftest import records
+from pyspark.sql import functions as F
 from samples import attempts, log
 
 from studylattice.operators import revision as R
+from studylattice.operators.quiz import attempt_numbering
 
 
 def by_target(df):
@@ -106,3 +108,29 @@ def test_model_predicts_within_the_label_range_and_repeats(spark):
     assert len(first) == 5 * 3
     assert all(2 <= r.base_interval <= 7 for r in first.values())
     assert {k: r.base_interval for k, r in first.items()} == {k: r.base_interval for k, r in again.items()}
+
+
+def test_every_target_learns_from_its_own_attempts(spark):
+    """A user with constant results gets the interval of that result; others have no part in it."""
+    rows = [(1, "Art", "Easy", 5)] * 6 + [(2, "Art", "Easy", 0)] * 6 + [(3, "Art", "Easy", 4), (3, "Art", "Hard", 4)]
+    got = by_target(R.revision_interval_model(attempt_numbering(log(spark, rows)), trees=20))
+    want = {1: 7.0, 2: 2.0, 3: 5.0}
+    assert {k: r.base_interval for k, r in got.items()} == {(u, "Art", d): want[u] for u in want for d in ("Easy", "Intermediate", "Hard")}
+
+
+def test_the_model_needs_whole_questions(spark):
+    numbered = attempt_numbering(log(spark, [(1, "Art", "Easy", 5), (2, "Art", "Easy", 3)]))
+    lacking = numbered.withColumn("time_spent_mins", F.expr("CASE WHEN user_id = 1 THEN time_spent_mins END"))
+    got = by_target(R.revision_interval_model(lacking, trees=20))
+    assert all((r.base_interval is None) == (k[0] == 2) for k, r in got.items()) and len(got) == 6
+    assert R.revision_interval_model(numbered.limit(0)).count() == 0
+
+
+def test_a_hot_target_gives_the_forest_of_its_rows(spark, monkeypatch):
+    rows = [(1, "Art", "Easy", (7 * i) % 6) for i in range(90)] + [(2, "Art", "Hard", 2)] * 3
+    numbered = attempt_numbering(log(spark, rows))
+    small = by_target(R.revision_interval_model(numbered, trees=12))
+    monkeypatch.setattr(R.forests.answers, "__defaults__", (50,))
+    spread = by_target(R.revision_interval_model(numbered, trees=12))
+    assert small[2, "Art", "Hard"] == spread[2, "Art", "Hard"]
+    assert abs(small[1, "Art", "Easy"].base_interval - spread[1, "Art", "Easy"].base_interval) < 1.5
