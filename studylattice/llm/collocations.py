@@ -4,9 +4,9 @@ A word's id is a hash of its language and its bytes; that no two words share an
 and another seed is taken if they do. Tasks count id sequences in a trie of bounded size and pass
 its subtrees on as sorted runs, which are merged per prefix partition: a phrase goes by its first
 id, and by all of its ids where that id is one of the commonest, so no partition holds more than its
-share. Phrases grow word by word. A phrase can only be frequent if the two phrases one word
-shorter are, which a bitmap of at most BITS bits tells; a bit set by another phrase costs work but no
-exactness, so the bitmap's bound is no bound on the result.
+share. A phrase can only be frequent if all of its words and pairs are, which a bitmap of at most BITS
+bits tells: one for words before pairs are counted, one for pairs before longer phrases are. A bit set by another
+phrase costs work but no exactness, so the bitmap's bound is no bound on the result.
 
 A null text counts as empty, a null language as ``und``, rows count as often as they occur, ids and
 other columns are not looked at, and an empty table gives an empty result.
@@ -23,15 +23,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from studylattice.llm.common import STEP_BYTES, batches_of, mixed, text_bytes, word_runs
+from studylattice.llm.common import STEP_BYTES, batches_of, bitmap_of, flagged, mixed, text_bytes, word_runs
 from studylattice.llm.hat_trie import HatTrie, folded
 from studylattice.session import checkpointed
 
 # The least count of a phrase, its longest form, phrases in each language's report,
 # and the share in percent at which a longer phrase makes a shorter one needless.
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
-BITS = 1 << 26  # 8 MB
 SCALE = 2_000_000
+SPREAD = 1 << 12  # prefix partitions of a common first word
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -39,7 +39,6 @@ _SEPARATORS = _BREAKS.copy()
 _SEPARATORS[[9, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_BITMAP_BITS = 8 * 4096  # of one row of Spark's bitmap aggregate
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -101,37 +100,17 @@ def word_table(docs: DataFrame) -> tuple[DataFrame, int]:
         seed += 1
 
 
-def bitmap_of(hashes: DataFrame, rows: int) -> np.ndarray:
-    """Flags, one bit each, at the places the column ``hash`` leads to; at most BITS. Runs a job."""
-    bits = _BITMAP_BITS
-    while bits < min(BITS, 16 * rows):
-        bits *= 2
-    slot = F.col("hash").bitwiseAND(bits - 1) + 1
-    parts = (
-        hashes.select(slot.alias("slot"))
-        .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("flags"))
-    )
-    flags = np.zeros(bits // 8, np.uint8)
-    for bucket, part in parts.collect():
-        at = (bucket - 1) * (_BITMAP_BITS // 8)
-        flags[at : at + len(part)] = np.frombuffer(bytes(part), np.uint8)
-    return flags
-
-
-def flagged(flags: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = hashes & np.uint64(8 * len(flags) - 1)
-    return (flags[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def _names(size: int) -> list[str]:
     return [f"w{i}" for i in range(1, size + 1)]
 
 
-def _sequences(size: int, shared, seed: int):
+def _sequences(sizes: range, known_size: int, shared, seed: int):
+    """Counts of the phrases of some sizes, padded with 0, all of whose parts of ``known_size`` words are flagged."""
+    width = sizes[-1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, trie = shared.value, HatTrie(size)
-        names = [*_names(size), "n"]
+        flags, trie = shared.value, HatTrie(width)
+        names = [*_names(width), "n"]
 
         def out(runs) -> Iterator[pa.RecordBatch]:
             for rows, counts in runs:
@@ -141,14 +120,22 @@ def _sequences(size: int, shared, seed: int):
         for whole in batches:
             for part in batches_of(whole, "text", STEP_BYTES):
                 words = Words(part, seed)
-                n = len(words.ids) - size + 1
-                if n <= 0:
+                n = len(words.ids)
+                if n < sizes[0]:
                     continue
-                shorter = np.column_stack([words.ids[i : i + n + 1] for i in range(size - 1)])
-                known = flagged(flags, folded(shorter))
-                usable = known[:-1] & known[1:] & (words.piece[:n] == words.piece[size - 1 :])
-                at = np.flatnonzero(usable)
-                rows = np.column_stack([words.ids[at + i] for i in range(size)])
+                parts = np.column_stack([words.ids[i : n - known_size + 1 + i] for i in range(known_size)])
+                known = flagged(flags, folded(parts))
+                found = []
+                for size in sizes:
+                    usable = words.piece[: max(0, n - size + 1)] == words.piece[size - 1 :]
+                    for i in range(size - known_size + 1):
+                        usable &= known[i : i + len(usable)]
+                    at = np.flatnonzero(usable)
+                    rows = np.zeros((len(at), width), np.uint64)
+                    for i in range(size):
+                        rows[:, i] = words.ids[at + i]
+                    found.append(rows)
+                rows = np.concatenate(found)
                 yield from out(trie.add(rows, np.ones(len(rows), np.int64)))
         yield from out(trie.runs())
 
@@ -173,14 +160,19 @@ def phrase_counts(
     share = total // (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))) + 1
     common = [r.w1 for r in frequent.filter(F.col("n") >= share).collect()]
     found = [frequent]
-    for size in range(2, longest + 1):
-        names = _names(size)
-        hashes = frequent.select(*names[:-1]).mapInArrow(_hash_rows, "hash long")
+    # Pairs by their words, then all longer phrases by their pairs in one more pass over the texts.
+    for known_size, sizes in ((1, range(2, 3)), (2, range(3, longest + 1))):
+        if longest < sizes[0]:
+            break
+        names = _names(sizes[-1])
+        hashes = frequent.select(*_names(known_size)).mapInArrow(_hash_rows, "hash long")
         shared = spark.sparkContext.broadcast(bitmap_of(hashes, frequent.count()))
         runs = _rows(docs).mapInArrow(
-            _sequences(size, shared, seed), ", ".join(f"{name} long" for name in [*names, "n"])
+            _sequences(sizes, known_size, shared, seed), ", ".join(f"{name} long" for name in [*names, "n"])
         )
-        prefix = F.when(F.col("w1").isin(common), F.xxhash64(*names)).otherwise(F.col("w1"))
+        # Phrases that begin with a common id are dealt over SPREAD neighbours of it.
+        spread = F.xxhash64(*names).bitwiseAND(SPREAD - 1)
+        prefix = F.when(F.col("w1").isin(common), F.col("w1").bitwiseXOR(spread)).otherwise(F.col("w1"))
         merged = (
             runs.withColumn("prefix", prefix)
             .repartition("prefix")
@@ -189,7 +181,7 @@ def phrase_counts(
         )
         frequent = checkpointed(merged.filter(F.col("n") >= least).drop("prefix"))
         found.append(frequent)
-    phrases = [f.select(F.array(*f.columns[:-1]).alias("ids"), "n") for f in found]
+    phrases = [f.select(F.filter(F.array(*f.columns[:-1]), lambda i: i != 0).alias("ids"), "n") for f in found]
     return reduce(DataFrame.unionByName, phrases)
 
 

@@ -20,6 +20,10 @@ BROADCAST_BYTES = 8 << 20
 # Bytes of text hashed in one step; longer texts are cut at white space.
 STEP_BYTES = 1 << 20
 
+# Most bits of a bitmap that goes to all tasks: 8 MB.
+BITS = 1 << 26
+_BITMAP_BITS = 8 * 4096  # of one row of Spark's bitmap aggregate
+
 # Rows that go to a Python worker at once; Spark's default is made for rows of numbers, not texts.
 ARROW_ROWS = 500
 # Bytes of text scored in one step; the arrays made of them are many times as large.
@@ -197,6 +201,29 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def bitmap_of(hashes: DataFrame, rows: int) -> np.ndarray:
+    """Flags, one bit each, at the places the column ``hash`` leads to; at most BITS. Runs a job."""
+    bits = _BITMAP_BITS
+    while bits < min(BITS, 16 * rows):
+        bits *= 2
+    slot = F.col("hash").bitwiseAND(bits - 1) + 1
+    parts = (
+        hashes.select(slot.alias("slot"))
+        .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("flags"))
+    )
+    flags = np.zeros(bits // 8, np.uint8)
+    for bucket, part in parts.collect():
+        at = (bucket - 1) * (_BITMAP_BITS // 8)
+        flags[at : at + len(part)] = np.frombuffer(bytes(part), np.uint8)
+    return flags
+
+
+def flagged(flags: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64(8 * len(flags) - 1)
+    return (flags[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def filter_texts(docs: DataFrame, keep) -> DataFrame:
     """The rows of ``docs`` for whose texts ``keep`` (binary array -> boolean numpy array) says so,
     with all columns and without a shuffle."""

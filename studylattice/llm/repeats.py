@@ -30,9 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studylattice.llm.bwt_merge import LENGTH, repeated_runs
-from studylattice.llm.collocations import bitmap_of, flagged
 from studylattice.llm.common import _powers as powers
-from studylattice.llm.common import batches_of, mixed, text_bytes
+from studylattice.llm.common import batches_of, bitmap_of, flagged, mixed, text_bytes
 from studylattice.session import checkpointed
 
 ANCHOR = 32
