@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from studylattice import constants as K
 from studylattice.functions import rules
-from studylattice.plans.ordered import leading_number, with_position, with_running_sums
+from studylattice.plans.ordered import with_position, with_running_sums
 from studylattice.plans.skew import join_totals
 from studylattice.session import checkpointed
 
@@ -124,7 +124,7 @@ def allocate_proportional(items: DataFrame) -> DataFrame:
         ["request_id", "priority"],
         [F.col("pos").asc()],
         "place",
-        leading_number(eligible, "pos"),
+        F.col("pos"),
     ).filter("place <= taken")
     per_point = F.col("total_hours") / F.greatest("points", "highest")
     return ranked.withColumn("hours", rules.half_steps(F.col("priority") * per_point)).select(*_PLAN)
@@ -221,7 +221,7 @@ def block_schedule(
         ["request_id"],
         [F.col("pos").asc()],
         {"until": F.col("length")},
-        leading_number(subjects, "pos"),
+        F.col("pos"),
     )
     begin = F.col("until") - F.col("length") + F.col("block") * (block_hours + break_hours)
     study = F.struct(

@@ -8,8 +8,9 @@ the pieces of a key (its *runs*) are stitched together from one small row per ru
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +18,8 @@ from studylattice.session import checkpointed
 
 # A row's place: the partition it is in, and its index there after sorting.
 PART, INDEX = "_part", "_index"
-_MOST_BUCKETS = 1000
+# Sampled rows, and pieces of hot keys, for each partition, and the most rows of a sample.
+_SAMPLED, _PIECES, _MOST_SAMPLED = 64, 2, 1 << 17
 _INDEX_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
@@ -91,61 +93,100 @@ def with_position(
     return with_running_sums(df, keys, order, {name: F.lit(1)}, place)
 
 
-def _bucket(df: DataFrame, place: Column) -> Column:
-    """Number of the cut points below ``place``: a function of the row alone, in up to as many
-    buckets of about equal size as there are shuffle partitions. Runs an aggregation."""
-    wanted = min(_MOST_BUCKETS, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    shares = [i / wanted for i in range(1, wanted)]
-    found = df.agg(F.percentile_approx(place, shares, 10 * wanted)).first()[0]
-    cuts = sorted(set(found or []))
-    # Two steps of about the square root each, instead of looking at every cut point.
-    width = max(1, int(len(cuts) ** 0.5))
-    steps = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    if not steps:
-        return F.lit(0)
-    above = sum(((place > s[0]).cast("int") for s in steps[1:]), F.lit(0))
-    above = F.coalesce(above, F.lit(0))
-    own = F.get(F.array(*[F.array(*[F.lit(c) for c in s]) for s in steps]), above)
-    return (above * width + F.size(F.filter(own, lambda c: F.coalesce(c < place, F.lit(False))))).cast("int")
-
-
-def leading_number(df: DataFrame, column: str) -> Column | None:
-    """A number that never falls along ``column``: itself, or the first field of a struct."""
-    kind, place = df.schema[column].dataType, F.col(column)
-    while isinstance(kind, T.StructType) and kind.fields:
-        place, kind = place[kind.fields[0].name], kind.fields[0].dataType
-    return place if isinstance(kind, T.NumericType) else None
+def _hot_cuts(df: DataFrame, keys: Sequence[str], place: Column, parts: int) -> list[tuple[Row, list[Row]]]:
+    """Keys with more than half a partition's share of the rows, and the places to cut each at, so that
+    a piece holds about half a partition. Runs a job.
+
+    Both come from a uniform sample of _SAMPLED rows a partition, the ones with the smallest hashes, and at
+    most _MOST_SAMPLED in all; the sample decides how evenly rows lie, never a result.
+    """
+    sample = df.select(F.struct(*keys).alias("key"), F.struct(place.alias("place")).alias("place"))
+    drawn = sample.orderBy(F.xxhash64("key", "place")).limit(min(_SAMPLED * parts, _MOST_SAMPLED)).orderBy("key", "place").collect()
+    half = max(1.0, len(drawn) / (_PIECES * parts))
+    found = []
+    for key, rows in groupby(drawn, lambda r: r.key):
+        places = [r.place for r in rows]
+        pieces = round(len(places) / half)
+        if pieces > 1:
+            cuts = [places[i * len(places) // pieces - 1] for i in range(1, pieces)]
+            found.append((key, [c for c, _ in groupby(cuts)]))
+    return found
+
+
+def _with_pieces(df: DataFrame, keys: Sequence[str], place: Column, parts: int) -> tuple[DataFrame, bool]:
+    """Add ``_slot``, the partition of a row, and ``_piece``, its key and which of the key's pieces it
+    lies in; also whether any key has several. Pieces follow each other along ``place`` and are dealt to the
+    partitions in turn; a key in one piece goes by its hash. Runs a job.
+
+    The cuts have at most a row for each sampled row, so they are broadcast.
+    """
+    hot = _hot_cuts(df, keys, place, parts)
+    slot = F.pmod(F.hash(*keys), F.lit(parts))
+    if not hot:
+        return df.withColumns({"_slot": slot, "_piece": F.struct(*keys, F.lit(0).alias("_bucket"))}), False
+    table, base = [], 0
+    for key, cuts in hot:
+        # Two steps of about the square root each, instead of looking at every cut.
+        width = max(1, int(len(cuts) ** 0.5))
+        table.append((key, base, width, [cuts[i : i + width] for i in range(0, len(cuts), width)]))
+        base += len(cuts) + 1
+    spot = F.struct(place.alias("place"))
+    kinds = df.select(F.struct(*keys).alias("key"), spot.alias("place")).schema
+    schema = T.StructType(
+        [
+            T.StructField("_key", kinds["key"].dataType),
+            T.StructField("_base", T.IntegerType()),
+            T.StructField("_width", T.IntegerType()),
+            T.StructField("_steps", T.ArrayType(T.ArrayType(kinds["place"].dataType))),
+        ]
+    )
+    cuts = F.broadcast(df.sparkSession.createDataFrame(table, schema))
+    above = F.greatest(F.size(F.filter("_steps", lambda step: step[0] < F.col("_spot"))) - 1, F.lit(0))
+    own = F.get("_steps", F.col("_above"))
+    bucket = F.col("_above") * F.col("_width") + F.size(F.filter(own, lambda cut: cut < F.col("_spot")))
+    rows = (
+        df.withColumns({"_key_of": F.struct(*keys), "_spot": spot})
+        .join(cuts, F.col("_key_of") == F.col("_key"), "left")
+        .withColumn("_above", above)
+        .withColumn("_bucket", F.when(F.col("_base").isNotNull(), bucket).otherwise(0))
+        .withColumn("_slot", F.when(F.col("_base").isNotNull(), F.pmod(F.col("_base") + F.col("_bucket"), F.lit(parts))).otherwise(slot))
+        .withColumn("_hot", F.col("_base").isNotNull())
+        .withColumn("_piece", F.struct(*keys, "_bucket"))
+    )
+    return rows.select(*df.columns, "_slot", "_piece", "_hot"), True
 
 
 def _bucketed_sums(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column], place: Column
 ) -> DataFrame:
-    """Running sums inside (key, bucket), plus the sums of the key's earlier buckets.
+    """Running sums inside a piece of a key, plus the sums of the key's earlier pieces.
 
-    The rows are shuffled once, by (key, bucket), which serves the window and the join alike; the
-    other side has a row for each (key, bucket).
+    The rows are shuffled once, to the partition of their piece. Only keys in several pieces are added up
+    beforehand, a row a piece, no more than a fixed number for each partition.
     """
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     values = {f"_v_{name}": column for name, column in sums.items()}
-    # A struct groups and joins NULL keys like any other.
-    piece = F.struct(*[F.col(k) for k in keys], F.col("_bucket"))
-    rows = (
-        df.withColumns({**values, "_place": place.cast("double")})
-        .withColumn("_bucket", _bucket(df, place.cast("double")))
-        .withColumn("_piece", piece)
+    rows, several = _with_pieces(df.withColumns(values), keys, place, parts)
+    inside = (
+        Window.partitionBy("_slot", "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    pieces = rows.groupBy("_piece").agg(*[F.sum(v).alias(f"{v}_sum") for v in values])
+    placed = rows.repartitionById(parts, F.col("_slot").cast("int"))
+    running = placed.withColumns({f"{v}_here": F.sum(v).over(inside) for v in values})
+    if not several:
+        return running.select(*df.columns, *[F.col(f"{v}_here").alias(name) for name, v in zip(sums, values)])
+    pieces = rows.filter("_hot").groupBy("_piece").agg(*[F.sum(v).alias(f"{v}_sum") for v in values])
     earlier = (
         Window.partitionBy(*[F.col(f"_piece.{k}") for k in keys])
         .orderBy("_piece._bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    bases = pieces.select("_piece", *[F.sum(f"{v}_sum").over(earlier).alias(f"{v}_base") for v in values])
-    inside = Window.partitionBy("_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = rows.withColumns({f"{v}_here": F.sum(v).over(inside) for v in values})
+    bases = pieces.select(
+        F.col("_piece").alias("_of"), *[F.sum(f"{v}_sum").over(earlier).alias(f"{v}_base") for v in values]
+    )
     totals = [
         (F.col(f"{v}_here") + F.coalesce(F.col(f"{v}_base"), F.lit(0))).alias(name) for name, v in zip(sums, values)
     ]
-    return running.join(bases, "_piece").select(*df.columns, *totals)
+    return running.join(F.broadcast(bases), F.col("_piece") == F.col("_of"), "left").select(*df.columns, *totals)
 
 
 def with_running_sums(
@@ -157,8 +198,9 @@ def with_running_sums(
 ) -> DataFrame:
     """Add, per row, the sums over the rows of its key up to and including itself.
 
-    ``order`` must be a total order inside a key. Given a number ``place`` that never falls along
-    ``order`` (NULLs first), rows are cut into buckets of that number and shuffled once. Otherwise they
+    ``order`` must be a total order inside a key. Given a ``place`` that never falls along ``order`` (NULLs
+    first; a number, a text or a struct), rows are shuffled once, and the keys that many rows have are cut at
+    sampled places. Give it the whole order: rows with equal places stay together. Otherwise rows
     are placed by range: inside a run the sum is a window over
     (key, partition), so no task holds more than one partition of a key. The placed rows are
     checkpointed, because their partition numbers are used twice and must not change between

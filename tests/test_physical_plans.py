@@ -50,12 +50,11 @@ def test_raw_rows_are_aggregated_by_hashing(spark, name, monkeypatch):
 
 
 def test_numbering_moves_the_raw_rows_once(spark):
-    """One shuffle by (key, bucket) serves the window and the join; the others move a row for each
-    (key, bucket)."""
+    """One shuffle to the partition of a row's piece serves the window; sums of pieces are broadcast."""
     text = plan(spark, "attempt_numbering")
     assert "Scan ExistingRDD" not in text and "rangepartitioning" not in text
     window = re.search(r"Window \[sum\(1\).*?FileScan parquet", text, re.S).group(0)
-    assert window.count("Exchange hashpartitioning") == 1
+    assert window.count("Exchange shufflepartitionidpassthrough") == 1 and "Exchange hashpartitioning" not in window
 
 
 def test_forecast_moves_the_raw_rows_once(spark):

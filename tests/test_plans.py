@@ -176,16 +176,44 @@ def test_bucketed_sums_shuffle_the_rows_once(spark, many_partitions):
     assert (rows.n == want.n).all() and (rows.s - want.s).abs().max() < 1e-9
     text = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Checkpoint" not in text and "ExternalRDD" not in text
-    # A hot key's rows lie in several pieces.
-    pieces = df.withColumn("_bucket", ordered._bucket(df, F.col("t").cast("double")))
-    assert pieces.filter("key = 'hot'").groupBy("_bucket").count().agg(F.max("count")).first()[0] < 400
 
 
-@pytest.mark.parametrize("values", [[None, None], [1.0], [5, 5, 5, 5], list(range(100)), [-2.5, None, 3.5, 3.5, 9.0]])
-def test_buckets_never_fall_along_the_order(spark, values):
-    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "p double")
-    rows = [r.b for r in df.withColumn("b", ordered._bucket(df, F.col("p"))).orderBy(F.col("p").asc_nulls_first()).collect()]
-    assert rows == sorted(rows)
+def parts_of(df, place, keys=("key",), parts=8):
+    rows, _ = ordered._with_pieces(df, list(keys), place, parts)
+    placed = rows.repartitionById(parts, F.col("_slot").cast("int")).withColumn("part", F.spark_partition_id())
+    return {r.part: r["count"] for r in placed.groupBy("part").count().collect()}
+
+
+@pytest.mark.parametrize("leading", ["1", "id % 3", "id"])
+def test_a_key_with_any_leading_numbers_lies_evenly(spark, leading):
+    """The cuts follow the whole order tuple, and pieces are dealt in turn, not hashed."""
+    df = spark.range(200_000).selectExpr("'hot' AS key", f"struct({leading} AS lead, concat('x', id) AS rest) AS pos", "id")
+    sizes = parts_of(df, F.col("pos"))
+    assert len(sizes) == 8 and max(sizes.values()) < 1.5 * 200_000 / 8
+
+
+def test_a_third_of_the_rows_in_one_key_lies_evenly(spark):
+    df = spark.range(90_000).selectExpr("IF(id % 3 = 0, NULL, id % 5000) AS key", "struct(0 AS a, id AS b) AS pos")
+    sizes = parts_of(df, F.col("pos"))
+    assert len(sizes) == 8 and max(sizes.values()) < 1.5 * 90_000 / 8
+
+
+@pytest.mark.parametrize("values", [[None, None], [1.0], [5, 5, 5, 5], list(range(100)), [-2.5, None, 3.5, 3.5, 9.0], [None] * 50 + [1.5] * 50])
+def test_pieces_never_fall_along_the_order(spark, values):
+    df = spark.createDataFrame([(1, None if v is None else float(v)) for v in values], "key int, p double")
+    rows, _ = ordered._with_pieces(df, ["key"], F.col("p"), 4)
+    found = [r.b for r in rows.select("p", F.col("_piece._bucket").alias("b")).orderBy(F.col("p").asc_nulls_first(), "b").collect()]
+    assert found == sorted(found)
+
+
+def test_sums_over_struct_places_equal_a_loop(spark, many_partitions):
+    df, pdf = skewed(spark)
+    df = df.fillna(0.0, ["v"]).withColumn("pos", F.struct("t", "id"))
+    got = with_running_sums(df, ["key"], [F.col("pos").asc()], {"s": F.col("v")}, F.col("pos")).toPandas()
+    pdf = pdf.fillna({"v": 0.0}).sort_values(["t", "id"])
+    pdf["s"] = pdf.groupby("key", dropna=False)["v"].cumsum()
+    assert dict(zip(got.id, got.s)) == dict(zip(pdf.id, pdf.s))
+    assert with_running_sums(df.limit(0), ["key"], [F.col("pos").asc()], {"s": F.col("v")}, F.col("pos")).count() == 0
 
 
 def test_rows_without_totals_are_left_out(spark):
