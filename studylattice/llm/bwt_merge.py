@@ -14,9 +14,7 @@ import numpy as np
 LENGTH = 100  # bytes of a run
 WIDTH = 5  # bytes of a symbol
 SHARD_BYTES = 1 << 18
-_PLACE_BITS = 64 - 8 * WIDTH
 _BEYOND = 1 << 60
-_PLACE_MASK = np.uint64((1 << _PLACE_BITS) - 1)
 
 
 class Shard:
@@ -41,14 +39,16 @@ class Shard:
         following = np.where(last, string, ends + np.arange(len(at)) + WIDTH)
         before = np.where(offset < WIDTH, -1, ends + np.arange(len(at)) - WIDTH)
         count = ends + len(at)
-        ranks = np.concatenate([np.arange(ends), ends + np.unique(symbols, return_inverse=True)[1]])
+        order, own = sorted_places(symbols, 8 * WIDTH)
+        ranks = np.arange(count)
+        ranks[ends + order] = ends + np.cumsum(np.append(False, own[1:] != own[:-1]))
         following = np.concatenate([np.arange(ends), following])
+        bits = max(1, int(count).bit_length())
         while True:
-            keys = (ranks.astype(np.uint64) << np.uint64(32)) | ranks[following].astype(np.uint64)
-            order = np.argsort(keys)
-            fresh = np.concatenate([[False], keys[order[1:]] != keys[order[:-1]]])
+            keys = (ranks.astype(np.uint64) << np.uint64(bits)) | ranks[following].astype(np.uint64)
+            order, own = sorted_places(keys, 2 * bits)
             ranks = np.empty(count, np.int64)
-            ranks[order] = np.cumsum(fresh)
+            ranks[order] = np.cumsum(np.append(False, own[1:] != own[:-1]))
             if ranks[order[-1]] == count - 1:
                 break
             following = following[following]
@@ -64,40 +64,44 @@ class Shard:
         self.step = np.where(self.first, 0, ranks[previous[order]])
 
 
+def sorted_places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of values of so many bits, and the values in it."""
+    place_bits = max(1, int(len(values)).bit_length())
+    if bits + place_bits > 64:
+        order = np.argsort(values, kind="stable")
+        return order, values[order]
+    # A value and its place share a number, so a plain sort is stable.
+    keys = np.sort((values << np.uint64(place_bits)) | np.arange(len(values), dtype=np.uint64))
+    return (keys & np.uint64((1 << place_bits) - 1)).astype(np.int64), keys >> np.uint64(place_bits)
+
+
 def merged_blocks(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes of the shards by their first ``rounds`` symbols, as numbers into the shards' orders one
-    after the other, and the number of the block of equal ones that each lies in."""
+    """The suffixes of the shards that share their first ``rounds`` symbols with another one, in order, as
+    numbers into the shards' orders one after the other, and the number of the block of equal ones that each
+    lies in.
+
+    A suffix that is alone in its block leaves: what stands before it is alone in the next round. Ends differ from all
+    others, so they are looked at before the first round only.
+    """
     bases = np.cumsum([0, *(len(s.text) for s in shards)])
     symbol = np.concatenate([s.symbol for s in shards])
     first = np.concatenate([s.first for s in shards])
     step = np.concatenate([s.step + b for s, b in zip(shards, bases)])
-    ends = np.concatenate([b + np.arange(s.ends) for s, b in zip(shards, bases)])
-    rest = np.concatenate([b + np.arange(s.ends, len(s.text)) for s, b in zip(shards, bases)])
-    merged = np.concatenate([ends, rest])
-    # No symbol has been looked at yet, so all are alike, ends too.
+    merged = np.arange(len(symbol))
     block = np.zeros(len(merged), np.int64)
     for _ in range(rounds):
         inner = np.flatnonzero(~first[merged])
         numbers = merged[inner]
-        order, own = _by_symbol(symbol[numbers])
+        order, own = sorted_places(symbol[numbers], 8 * WIDTH)
         was = block[inner[order]]
-        fresh = np.ones(len(order), np.int64)
-        fresh[1:] = (own[1:] != own[:-1]) | (was[1:] != was[:-1])
-        merged = np.concatenate([ends, step[numbers[order]]])
-        block = np.concatenate([np.arange(len(ends)), len(ends) + np.cumsum(fresh)])
+        fresh = np.ones(len(order) + 1, bool)
+        fresh[1:-1] = (own[1:] != own[:-1]) | (was[1:] != was[:-1])
+        shared = ~(fresh[:-1] & fresh[1:])
+        block = np.cumsum(fresh[:-1])[shared]
+        merged = step[numbers[order[shared]]]
     return merged, block
 
 
-def _by_symbol(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stable order of symbols, and the symbols in it."""
-    if len(symbols) > int(_PLACE_MASK):
-        order = np.argsort(symbols, kind="stable")
-        return order, symbols[order]
-    # A symbol and its place share a number, so a plain sort is stable.
-    keys = np.sort((symbols << np.uint64(_PLACE_BITS)) | np.arange(len(symbols), dtype=np.uint64))
-    return (keys & _PLACE_MASK).astype(np.int64), keys >> np.uint64(_PLACE_BITS)
-
-
 def repeated_runs(
     data: np.ndarray, bounds: np.ndarray, shard_bytes: int = SHARD_BYTES
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,9 +116,5 @@ def repeated_runs(
     merged, block = merged_blocks(shards, LENGTH // WIDTH)
     text = np.concatenate([s.text + first for s, first in zip(shards, cuts)])[merged]
     offset = np.concatenate([s.offset for s in shards])[merged]
-    whole = offset + LENGTH <= np.diff(bounds)[text]
-    text, offset, block = text[whole], offset[whole], block[whole]
-    alike = np.zeros(len(block), bool)
-    alike[1:] = block[1:] == block[:-1]
-    alike[:-1] |= alike[1:].copy()
-    return text[alike], offset[alike], block[alike]
+    # Blocks are runs of symbols, so all of a block's suffixes are long enough.
+    return text, offset, block
