@@ -56,10 +56,11 @@ def grade_responses(responses: DataFrame, bank: DataFrame) -> DataFrame:
 
 def attempt_numbering(attempts: DataFrame) -> DataFrame:
     """Number every attempt of a (user, subject) in log order, levels mixed. Runs a job."""
-    return _numbered(attempts.withColumn("subject_key", _subject_key()), F.lit(1))
+    return _numbered(attempts.withColumn("subject_key", subject_key()), F.lit(1))
 
 
-def _subject_key() -> Column:
+def subject_key() -> Column:
+    """What attempts are numbered by, with the user."""
     return rules.title_case(F.col("subject"))
 
 
@@ -112,10 +113,10 @@ def continue_numbering(batch: DataFrame, log: DataFrame) -> DataFrame:
     a row before the batch's first, so the batch itself is not joined to anything. Instead of
     the log, the stream's running cells will do; they save reading it.
     """
-    keyed = batch.withColumn("subject_key", _subject_key())
+    keyed = batch.withColumn("subject_key", subject_key())
     n = F.sum("attempts") if "attempts" in log.columns else F.count("*")
     so_far = (
-        log.groupBy("user_id", _subject_key().alias("subject_key"))
+        log.groupBy("user_id", subject_key().alias("subject_key"))
         .agg(n.alias("step"))
         .join(keyed.select("user_id", "subject_key").distinct(), ["user_id", "subject_key"], "left_semi")
         .withColumn("from_log", F.lit(True))

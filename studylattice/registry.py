@@ -188,11 +188,11 @@ def grade_responses(spark, sf_dir):
 
 @query
 def log_attempts(spark, sf_dir):
-    """Graded sittings numbered after the existing log, appended to a log and read back."""
+    """Graded sittings numbered after the existing log, appended to a log as a batch and read back."""
     path = fresh_dir(spark, "attempt-log")
     batch = quiz.continue_numbering(_new_attempts(spark, sf_dir), bindings.attempts(spark, sf_dir))
-    files.append_attempts(batch, path)
-    return files.read_attempts_parquet(spark, path)
+    files.append_attempts(batch, path, "sittings")
+    return files.read_attempt_log(spark, path)
 
 
 @query

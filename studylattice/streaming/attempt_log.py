@@ -1,4 +1,4 @@
-"""The attempt log as a stream: running facts per (user, subject, level).
+"""The attempt log as a stream: running facts per (user, subject, level), and numbered attempts.
 
 The facts are raw (best score, attempts, passes, fails) because weights change
 with every attempt and apply to old attempts too; weights are joined when the state is read.
@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studylattice.functions import rules
+from studylattice.operators import quiz
+from studylattice.session import checkpointed
+from studylattice.sources import files
+from studylattice.streaming import generations
 
 CELL = ["user_id", "subject", "difficulty"]
-# Batches after which all cells are written again.
-GENERATION = 16
+COUNTED = ["user_id", "subject"]
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,24 +34,16 @@ def running_cells(attempts: DataFrame) -> DataFrame:
 def run_available(attempts: DataFrame, state_path: str, checkpoint_path: str) -> None:
     """Process everything the streaming ``attempts`` has and stop. Runs a streaming query.
 
-    Every micro-batch writes the cells it changed to a folder of its own. A batch that is run
-    again after a failure overwrites that folder, so nothing is counted twice. The first batch of
-    every generation of GENERATION batches also writes all other cells, so a reader needs the
-    newest generation only.
+    Every micro-batch saves the cells it changed (see ``generations``). A batch that is run again after a
+    failure overwrites its own, so nothing is counted twice.
     """
     cells = running_cells(attempts)
     spark = attempts.sparkSession
     # A log without any attempt yet has a state too, an empty one.
-    empty = spark.createDataFrame([], cells.schema)
-    empty.write.mode("overwrite").parquet(f"{state_path}/generation=-1/batch_id=-1")
+    generations.start(spark, state_path, cells.schema)
 
     def save(changed: DataFrame, batch_id: int) -> None:
-        generation = batch_id // GENERATION
-        if generation and batch_id % GENERATION == 0:
-            older = _newest(spark, state_path, generation - 1)
-            same = [older[c].eqNullSafe(changed[c]) for c in CELL]
-            changed = changed.unionByName(older.join(changed, same, "left_anti"))
-        changed.write.mode("overwrite").parquet(f"{state_path}/generation={generation}/batch_id={batch_id}")
+        generations.save(changed, state_path, CELL, batch_id)
 
     # On disk, because the number of cells grows with the users. The query keeps the setting it
     # is started with, so the session has its own back at once.
@@ -68,18 +63,36 @@ def run_available(attempts: DataFrame, state_path: str, checkpoint_path: str) ->
     query.awaitTermination()
 
 
-def _newest(spark: SparkSession, state_path: str, generation: int) -> DataFrame:
-    facts = F.struct("score", "attempts", "passes", "fails")
-    return (
-        spark.read.parquet(state_path)
-        .filter(F.col("generation") == generation)
-        .groupBy(*CELL)
-        .agg(F.max_by(facts, "batch_id").alias("f"))
-        .select(*CELL, "f.*")
-    )
-
-
 def read_cells(spark: SparkSession, state_path: str) -> DataFrame:
     """The newest row of every cell, from the files of the newest generation."""
-    newest = spark.read.parquet(state_path).agg(F.max("generation")).first()[0]
-    return _newest(spark, state_path, newest)
+    return generations.newest(spark, state_path, CELL)
+
+
+def number_available(attempts: DataFrame, log_path: str, counts_path: str, checkpoint_path: str) -> None:
+    """Number everything the streaming ``attempts`` has after the attempts before it, append it to the log, and
+    stop. Runs a streaming query.
+
+    A micro-batch takes the counts of its (user, subject) keys from the batches before it, numbers
+    its attempts in log order, appends them as a batch of that id, and saves the new counts of its keys. Run again after
+    a failure, it finds the same counts, its rows enter the log once, and its counts overwrite their own.
+    """
+    spark = attempts.sparkSession
+    generations.start(spark, counts_path, "user_id long, subject string, attempts long")
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        rows = checkpointed(batch)
+        counts = generations.newest(spark, counts_path, COUNTED, batch_id)
+        files.append_attempts(quiz.continue_numbering(rows, counts), log_path, f"{batch_id:09d}")
+        came = rows.select("user_id", quiz.subject_key().alias("subject")).groupBy(*COUNTED).agg(F.count("*").alias("came"))
+        same = [came[k].eqNullSafe(counts[k]) for k in COUNTED]
+        total = (came["came"] + F.coalesce(counts["attempts"], F.lit(0))).alias("attempts")
+        changed = came.join(counts, same, "left").select(*[came[k] for k in COUNTED], total)
+        generations.save(changed, counts_path, COUNTED, batch_id)
+
+    query = (
+        attempts.writeStream.foreachBatch(save)
+        .option("checkpointLocation", checkpoint_path)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()

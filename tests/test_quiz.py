@@ -1,7 +1,12 @@
+import time
+from pathlib import Path
+
 import pytest
 from conftest import records
+from pyspark.sql import functions as F
 from samples import attempts, log
 
+from studylattice.operators import leaderboard, revision
 from studylattice.operators import quiz as Q
 from studylattice.sources import files
 
@@ -79,8 +84,8 @@ def test_filter_and_domains(spark):
 
 def test_filters_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "log")
-    files.append_attempts(attempts(spark), path)
-    plan = Q.attempts_filter(files.read_attempts_parquet(spark, path), user_id=7, subject="Maths").select("score")
+    files.append_attempts(attempts(spark), path, "first")
+    plan = Q.attempts_filter(files.read_attempt_log(spark, path), user_id=7, subject="Maths").select("score")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(user_id,7)" in text and "EqualTo(subject,Maths)" in text
     assert "ReadSchema: struct<user_id:bigint,subject:string,score:int>" in text
@@ -102,10 +107,80 @@ def test_csv_header_in_any_order_and_bad_values(spark, tmp_path):
         " Score ,TIMESTAMP,user_id,subject,difficulty,total,dataset,attempt_no,time_spent(mins)\n"
         "3,2031-05-01T20:00:00,41,Maths,Hard,5,bank.csv,1,9\n"
         "oops,2031-05-02 08:15,42,Maths,Hard,5,bank.csv,1,0.25\n"
+        ",2031-05-02 08:15,43,Maths,Hard,5,bank.csv,1,0.25\n"
     )
     rows = files.read_attempts_csv(spark, str(path))
-    assert records(rows, "user_id", "score", "time_spent_mins", "log_pos") == [(41, 3, 9.0, 1), (42, None, 0.25, 1)]
-    assert files.rejected_attempts(spark, str(path)).count() == 0
+    assert records(rows, "user_id", "score", "time_spent_mins", "log_pos") == [(41, 3, 9.0, 0), (43, None, 0.25, 2)]
+    assert records(files.rejected_attempts(spark, str(path)), "user_id", "score", "reason") == [("42", "oops", "score")]
+
+
+def without_positions(spark, rows, path):
+    """A log in one CSV file, its lines in log order and without a ``log_pos``."""
+    files.write_attempts_csv(rows.drop("log_pos").coalesce(1), path)
+    return [p for p in Path(path).iterdir() if p.suffix == ".csv"]
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    """Files are read in many splits, several of them by one task."""
+    settings = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "3"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_lines_of_a_csv_log_are_its_order(spark, tmp_path, tiny_splits):
+    made = [(i % 3, "Maths" if i % 2 else "Art", "Easy", (7 * i) % 6) for i in range(200)]
+    rows = log(spark, made).withColumn("attempt_no", F.lit(1)).orderBy("log_pos")
+    assert len(without_positions(spark, rows, str(tmp_path / "log.csv"))) == 1
+    back = files.read_attempts_csv(spark, str(tmp_path / "log.csv"))
+    assert back.rdd.getNumPartitions() > 5
+    assert records(back, "log_pos", "user_id", "score") == records(rows, "log_pos", "user_id", "score")
+    # More files: those changed later come after, and rows that are rejected keep their number.
+    time.sleep(1.1)
+    (tmp_path / "log.csv" / "a-later.csv").write_text(
+        "timestamp,user_id,subject,difficulty,score,total,dataset,attempt_no,time_spent(mins)\n"
+        "never,1,Art,Easy,1,5,b.csv,1,1\n2031-05-01T20:00:00,77,Art,Easy,1,5,b.csv,1,1\n"
+    )
+    back = files.read_attempts_csv(spark, str(tmp_path / "log.csv"))
+    assert [r.log_pos for r in back.filter("user_id = 77").collect()] == [201]
+
+
+def test_queries_over_a_csv_log_agree_with_the_parquet_log(spark, tmp_path, tiny_splits):
+    made = [(i % 4, ["Maths", "Science", "English"][i % 3], ["Easy", "Hard"][i % 2], (11 * i) % 6) for i in range(90)]
+    rows = Q.attempt_numbering(log(spark, made)).orderBy("log_pos")
+    without_positions(spark, rows, str(tmp_path / "log.csv"))
+    files.append_attempts(rows, str(tmp_path / "log"), "all")
+    text, table = files.read_attempts_csv(spark, str(tmp_path / "log.csv")), files.read_attempt_log(spark, str(tmp_path / "log"))
+    for operator in (leaderboard.progress_leaderboard, revision.recent_attempts, lambda r: revision.revision_interval_model(r, trees=5)):
+        found, want = operator(text), operator(table)
+        assert records(found, *want.columns) == records(want, *want.columns)
+
+
+def test_a_batch_enters_the_log_once(spark, tmp_path, monkeypatch):
+    path, rows = str(tmp_path / "log"), attempts(spark)
+    half = rows.filter("log_pos < 10")
+    assert files.append_attempts(half, path, "one")
+    assert not files.append_attempts(half, path, "one")
+    assert files.append_attempts(rows.filter("log_pos >= 10"), path, "two")
+    assert records(files.read_attempt_log(spark, path), *rows.columns) == records(rows, *rows.columns)
+    # Killed between the rows and the name: readers see nothing of it, and the next try is whole.
+    with monkeypatch.context() as patch:
+        patch.setattr(files, "_renamed", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            files.append_attempts(half, path, "three")
+    assert files.read_attempt_log(spark, path).count() == 20
+    assert files.append_attempts(half, path, "three") and files.read_attempt_log(spark, path).count() == 30
+    # Two drivers at once: the second finds the name taken when it renames.
+    with monkeypatch.context() as patch:
+        patch.setattr(files, "_exists", lambda *a: False)
+        assert not files.append_attempts(half, path, "three")
+    assert files.read_attempt_log(spark, path).count() == 30
+    with pytest.raises(ValueError, match="named"):
+        files.append_attempts(half, path, "a/b")
 
 
 def test_missing_columns_are_named(spark, tmp_path):

@@ -1,8 +1,12 @@
+import time
+
 from conftest import records
+from pyspark.sql import functions as F
 from samples import attempts, log
 
-from studylattice.operators import leaderboard
-from studylattice.streaming import attempt_log
+from studylattice.operators import leaderboard, quiz
+from studylattice.sources import files
+from studylattice.streaming import attempt_log, generations
 
 CELL = (*attempt_log.CELL, "score", "attempts", "passes", "fails")
 
@@ -28,21 +32,63 @@ def test_state_equals_the_batch_after_every_append(spark, tmp_path):
     assert records(streamed, *board) == records(leaderboard.subject_leaderboard(rows), *board)
 
 
-def test_generations_bound_what_is_read(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(attempt_log, "GENERATION", 3)
+def test_generations_bound_what_is_read_and_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(generations, "GENERATION", 3)
     source, state, progress = (str(tmp_path / d) for d in ("log", "state", "progress"))
     rows = attempts(spark)
     rows.limit(0).write.parquet(source)
     attempt_log.run_available(stream(spark, source, rows.schema), state, progress)
     assert attempt_log.read_cells(spark, state).count() == 0
-    for part in range(8):
-        rows.filter(f"log_pos % 8 = {part}").coalesce(1).write.mode("append").parquet(source)
+    for part in range(12):
+        rows.filter(f"log_pos % 12 = {part}").coalesce(1).write.mode("append").parquet(source)
     attempt_log.run_available(stream(spark, source, rows.schema), state, progress)
     cells = attempt_log.read_cells(spark, state)
     assert records(cells, *CELL) == records(attempt_log.running_cells(rows), *CELL)
-    assert len(list((tmp_path / "state").glob("generation=*"))) >= 3
-    text = cells._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(generation" in text
+    assert len(list((tmp_path / "state").glob("generation=*"))) <= generations.KEPT + 1
+
+
+def test_a_hundred_batches_leave_few_folders_and_a_reader_ends(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(generations, "GENERATION", 5)
+    path, schema = str(tmp_path / "state"), "k int, v long"
+    generations.start(spark, path, schema)
+    most, reader = 0, None
+    for batch in range(100):
+        generations.save(spark.createDataFrame([(batch % 7, batch)], schema).coalesce(1), path, ["k"], batch)
+        most = max(most, len(list((tmp_path / "state").glob("generation=*/batch_id=*"))))
+        if batch == 90:
+            reader = generations.newest(spark, path, ["k"])
+    assert most <= 5 * (generations.KEPT + 1) + 1
+    assert records(generations.newest(spark, path, ["k"]), "k", "v") == sorted((b % 7, b) for b in range(93, 100))
+    assert records(reader, "k", "v") == sorted((b % 7, b) for b in range(84, 91))
+    # A batch that runs again sees the batches before it only, and overwrites its own.
+    generations.save(spark.createDataFrame([(1, 990)], schema), path, ["k"], 99)
+    assert records(generations.newest(spark, path, ["k"]), "k", "v")[1] == (1, 990)
+
+
+def test_micro_batches_number_like_one_batch(spark, tmp_path):
+    source, log_path, counts, progress = (str(tmp_path / d) for d in ("in", "log", "counts", "progress"))
+    rows = attempts(spark).drop("attempt_no").withColumn("subject", F.expr("IF(log_pos % 4 = 0, upper(subject), subject)"))
+    for low, high in ((0, 6), (6, 7), (7, 13)):
+        rows.filter(f"log_pos >= {low} and log_pos < {high}").coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)  # files come in order of their times
+    run = lambda: attempt_log.number_available(stream(spark, source, rows.schema), log_path, counts, progress)
+    run()
+    want = quiz.attempt_numbering(rows)
+    columns = ("log_pos", "user_id", "subject", "attempt_no")
+    assert records(files.read_attempt_log(spark, log_path), *columns) == records(want.filter("log_pos < 13"), *columns)
+    # After a restart, and with a batch that stopped between the log and its counts.
+    rows.filter("log_pos >= 13").coalesce(1).write.mode("append").parquet(source)
+    run()
+    last = sorted((tmp_path / "counts").glob("generation=*/batch_id=*"))[-1]
+    commits = sorted((p for p in (tmp_path / "progress" / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    for path in [*last.iterdir(), *last.glob(".*"), commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")]:
+        path.unlink(missing_ok=True)
+    run()
+    assert records(files.read_attempt_log(spark, log_path), *columns) == records(want, *columns)
+    totals = want.groupBy("user_id", F.initcap("subject").alias("subject")).agg(F.count("*").alias("attempts"))
+    assert records(generations.newest(spark, counts, attempt_log.COUNTED), "user_id", "subject", "attempts") == records(
+        totals, "user_id", "subject", "attempts"
+    )
 
 
 def test_weights_from_cells_equal_weights_from_attempts(spark):
