@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from studylattice.llm.common import (
     BROADCAST_BYTES,
@@ -79,8 +80,7 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int,
         for batch in batches_of(whole, "text", 1 << 20):
             found, bounds = shingle_sets(batch["text"], words)
             sizes = np.diff(bounds)
-            digests = [xxhash.xxh3_128_digest(found[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
-            digests = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            digests = _set_keys(found, bounds)
             linkable = sizes >= smallest
             kept = np.repeat(linkable, sizes)
             ends = np.concatenate([[0], np.cumsum(sizes[linkable])])
@@ -97,11 +97,19 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int,
             )
 
 
+def _set_keys(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The two halves of a 128-bit key of every set."""
+    digests = [xxhash.xxh3_128_digest(found[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], words: int):
     for whole in batches:
         for batch in batches_of(whole, "text"):
-            sets = lists(*shingle_sets(batch["text"], words))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], sets], ["doc_id", "shingles"])
+            found, bounds = shingle_sets(batch["text"], words)
+            high, low = _set_keys(found, bounds).T
+            columns = [batch["doc_id"], pa.array(high), pa.array(low), lists(found, bounds)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key_high", "key_low", "shingles"])
 
 
 def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -261,7 +269,29 @@ def near_duplicates(
 
     A text without words, or null, has an empty set and links with nothing. A null doc_id links
     with nothing either: its component is null and it is not kept. Rows that repeat a doc_id are
-    all returned. Other columns are ignored; an empty table gives an empty result.
+    all returned; with another text each is a document of its own, which only its own text links. Other columns are
+    ignored; an empty table gives an empty result.
+    """
+    return _grouped(docs, words, threshold, bands, rows).drop("key_high", "key_low")
+
+
+def _ids_with_several_sets(signed: DataFrame) -> DataFrame:
+    """The doc_ids that rows with different sets share."""
+    halves = [f(c).alias(f"{name}_{c}") for c in ("key_high", "key_low") for name, f in (("low", F.min), ("high", F.max))]
+    return (
+        signed.filter("doc_id is not null")
+        .groupBy("doc_id")
+        .agg(*halves)
+        .filter("low_key_high <> high_key_high or low_key_low <> high_key_low")
+        .select("doc_id")
+    )
+
+
+def _grouped(docs: DataFrame, words: int, threshold: int, bands: int, rows: int) -> DataFrame:
+    """``near_duplicates`` with the key of every row's set.
+
+    Classes of equal sets are named by their smallest doc_id, or, where rows with other sets have that
+    id too, by a hash of the set's key.
     """
     # A set of n elements can only link with another one if n / (n + 1) reaches the threshold.
     smallest = -(-threshold // (100 - threshold)) if threshold < 100 else 1 << 60
@@ -271,54 +301,100 @@ def near_duplicates(
             "doc_id long, n_shingles long, key_high long, key_low long, bands array<long>",
         )
     )
+    several = checkpointed(_ids_with_several_sets(signed))
+    several = broadcast_if_small(several, several.count(), 32)
     # Equal sets are one class, known by its smallest document.
-    classes = checkpointed(
+    classes = (
         signed.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("key_high", "key_low")
-        .agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
+        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
     )
+    unclear = classes.join(several, "doc_id", "left_semi").withColumn("doc", F.xxhash64("key_high", "key_low"))
+    clear = classes.join(several, "doc_id", "left_anti").withColumn("doc", F.col("doc_id"))
+    classes = checkpointed(clear.unionByName(unclear))
+    key = ["key_high", "key_low", "doc_id"]
     banded = (
         signed.filter("size(bands) > 0")
-        .join(classes.select("key_high", "key_low", F.col("doc").alias("doc_id"), "n"), ["key_high", "key_low", "doc_id"])
-        .dropDuplicates(["doc_id", "key_high", "key_low"])
-        .select(F.col("doc_id").alias("doc"), "n", F.explode("bands").alias("band"))
+        .join(classes.select(*key, "doc", "n"), key)
+        .dropDuplicates(["doc"])
+        .select("doc", "n", F.explode("bands").alias("band"))
     )
     shared = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band")
     buckets = checkpointed(banded.join(shared, "band").select("band", "doc", "n"))
-    wanted = checkpointed(buckets.select(F.col("doc").alias("doc_id")).distinct())
-    sets = checkpointed(
+    named = classes.join(buckets.select("doc").distinct(), "doc", "left_semi").select(*key, "doc")
+    wanted = checkpointed(named)
+    made = (
         texts_of(docs)
-        .join(broadcast_if_small(wanted, wanted.count(), 32), "doc_id", "left_semi")
-        .mapInArrow(partial(_sets, words=words), "doc_id long, shingles array<long>")
-        .groupBy("doc_id")
-        .agg(F.first("shingles").alias("shingles"))
+        .join(broadcast_if_small(wanted.select("doc_id"), wanted.count(), 32), "doc_id", "left_semi")
+        .mapInArrow(partial(_sets, words=words), "doc_id long, key_high long, key_low long, shingles array<long>")
+    )
+    # Only where an id has several sets must a row's set be looked at to know whose it is.
+    own = made.join(several, "doc_id", "left_semi").join(wanted, key).select("doc", "shingles")
+    plain = made.join(several, "doc_id", "left_anti").select(F.col("doc_id").alias("doc"), "shingles")
+    sets = checkpointed(
+        plain.unionByName(own).groupBy(F.col("doc").alias("doc_id")).agg(F.first("shingles").alias("shingles"))
+    )
+    groups = _groups(buckets, sets, threshold).withColumnRenamed("node", "doc")
+    lowest = (
+        groups.join(classes.select("doc", "doc_id"), "doc")
+        .groupBy("component")
+        .agg(F.min("doc_id").alias("lowest"))
     )
-    groups = _groups(buckets, sets, threshold)
-    named = (
-        classes.join(groups.withColumnRenamed("node", "doc"), "doc", "left")
-        .filter("copies > 1 or component is not null")
-        .select("key_high", "key_low", F.coalesce("component", "doc").alias("component"))
+    reached = groups.join(lowest, "component").select("doc", "lowest")
+    names = (
+        classes.join(reached, "doc", "left")
+        .filter("copies > 1 or lowest is not null")
+        .select("key_high", "key_low", F.coalesce("lowest", "doc_id").alias("component"))
     )
-    own = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "doc_id"))
+    found = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "doc_id"))
     return (
         signed.drop("bands")
-        .join(named, ["key_high", "key_low"], "left")
-        .select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("component_id"))
+        .join(names, ["key_high", "key_low"], "left")
+        .select("doc_id", "n_shingles", F.coalesce(found, "doc_id").alias("component_id"), "key_high", "key_low")
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
 
 
+def _with_set_keys(docs: DataFrame, names: list[str], words: int) -> DataFrame:
+    """All columns of ``docs`` and the two halves of the key of each row's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            texts = pa.RecordBatch.from_arrays([whole["text"].cast(pa.binary())], ["text"])
+            at = 0
+            for part in batches_of(texts, "text"):
+                rows = whole.slice(at, part.num_rows)
+                at += part.num_rows
+                halves = _set_keys(*shingle_sets(part["text"], words)).T
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, *map(pa.array, halves)], [*rows.schema.names, *names]
+                )
+
+    halves = [T.StructField(name, T.LongType()) for name in names]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *halves]))
+
+
 def without_duplicates(docs: DataFrame, words: int = 5, threshold: int = THRESHOLD_PERCENT) -> DataFrame:
     """The rows of ``docs`` with one document of each group left, the one with the smallest doc_id, and
-    with all their columns. Rows without an id all stay; rows that repeat both an id and its text
-    stay once."""
-    grouped = checkpointed(near_duplicates(docs, words, threshold))
+    with all their columns. Rows without an id all stay; rows that repeat both an id and its set of
+    shingles stay once. Rows that share an id but not their set stay or go by their own set."""
+    grouped = checkpointed(_grouped(docs, words, threshold, BANDS, BAND_ROWS))
+    repeated = checkpointed(
+        grouped.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    )
+    rows = repeated.count()
     dropped = grouped.filter("not kept and doc_id is not null").select("doc_id").distinct()
-    left = docs.join(broadcast_if_small(dropped, dropped.count(), 32), "doc_id", "left_anti").select(docs.columns)
-    repeated = grouped.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return left
-    repeated = broadcast_if_small(repeated, repeated.count(), 32)
-    once = left.join(repeated, "doc_id", "left_semi").withColumn("text_hash", F.xxhash64("text"))
-    once = once.dropDuplicates(["doc_id", "text_hash"]).select(docs.columns)
-    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).union(once)
+    if not rows:
+        return docs.join(broadcast_if_small(dropped, dropped.count(), 32), "doc_id", "left_anti").select(docs.columns)
+    several = broadcast_if_small(repeated, rows, 32)
+    dropped = dropped.join(several, "doc_id", "left_anti")
+    once = docs.join(several, "doc_id", "left_anti")
+    once = once.join(broadcast_if_small(dropped, dropped.count(), 32), "doc_id", "left_anti").select(docs.columns)
+    taken = {name.lower() for name in docs.columns}
+    names = [next(n for n in (f"_{half}{i}" for i in range(len(taken) + 1)) if n not in taken) for half in ("high", "low")]
+    kept = grouped.filter("kept").join(several, "doc_id", "left_semi").select(
+        "doc_id", F.col("key_high").alias(names[0]), F.col("key_low").alias(names[1])
+    )
+    again = _with_set_keys(docs.join(several, "doc_id", "left_semi").select(docs.columns), names, words)
+    again = again.join(kept.distinct(), ["doc_id", *names], "left_semi").dropDuplicates(["doc_id", *names])
+    return once.union(again.select(docs.columns))

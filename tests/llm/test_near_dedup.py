@@ -64,6 +64,51 @@ def test_empty_table_and_rows_kept(spark):
     assert ids == sorted({c for _, c in expected(corpus(), 2).values()})
 
 
+CLASHING_IDS = [
+    [(5, "A"), (5, "B"), (3, "b")],
+    [(5, "A"), (5, "B"), (2, "B")],
+    [(5, "A"), (5, "B"), (5, "b"), (7, "a")],
+    [(5, "A"), (5, "A"), (5, None), (5, ""), (1, "a"), (None, "A")],
+    [(5, "A"), (6, "a"), (5, "B"), (6, "b"), (6, "A")],
+]
+
+
+def clashing(rows):
+    """Texts A and B, and near copies a and b of them, under the given ids."""
+    base = {"A": [f"x{i}" for i in range(120)], "B": [f"y{i}" for i in range(120)]}
+    base |= {k.lower(): words[:-1] + ["end"] for k, words in base.items()}
+    return [(i, " ".join(base[t]) if t else t) for i, t in rows]
+
+
+@pytest.mark.parametrize("rows", CLASHING_IDS)
+def test_rows_with_one_id_are_documents_of_their_own(spark, rows):
+    """Brute force over (id, set) pairs, for groups and for the rows that stay."""
+    rows = clashing(rows)
+    nodes = sorted({(i, tuple(sorted(shingles(t, 2)))) for i, t in rows if i is not None})
+    groups = UnionFind()
+    for x, (_, a) in enumerate(nodes):
+        groups.find(x)
+        for y, (_, b) in enumerate(nodes[:x]):
+            shared = len(set(a) & set(b))
+            if shared and 100 * shared >= 80 * (len(a) + len(b) - shared):
+                groups.join(x, y)
+    members = {}
+    for x, (i, _) in enumerate(nodes):
+        members.setdefault(groups.find(x), []).append(i)
+    lowest = {node: min(members[groups.find(x)]) for x, node in enumerate(nodes)}
+    docs = frame(spark, rows)
+    want = [(i, None if i is None else lowest[i, tuple(sorted(shingles(t, 2)))]) for i, t in rows]
+    got = [(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs, words=2).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    clash = docs.withColumnsRenamed({"score": "text_hash", "kept": "_high0"})
+    left = near_dedup.without_duplicates(clash, words=2)
+    assert left.columns == clash.columns
+    stay = {(i, tuple(sorted(shingles(t, 2)))) for i, t in rows if i is not None and lowest[i, tuple(sorted(shingles(t, 2)))] == i}
+    found = [(r.doc_id, tuple(sorted(shingles(r.text, 2)))) for r in left.collect() if r.doc_id is not None]
+    assert len(found) == len(set(found)) and set(found) == stay
+    assert left.filter("doc_id is null").count() == sum(i is None for i, _ in rows)
+
+
 def plain_superminhash(elements, size):
     """One element and one step after another."""
     lowest = [None] * size
