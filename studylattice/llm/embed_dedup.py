@@ -14,6 +14,7 @@ allow is no link, so tiles of blocks that far apart are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import comb, erf, sqrt
 
 import numpy as np
@@ -124,11 +125,21 @@ def _tile(table: pa.Table, threshold: float) -> pa.Table:
     )
 
 
+@lru_cache(maxsize=64)
+def _first_direction(size: int) -> np.ndarray:
+    return directions(size, PROJECTIONS)[:, 0]
+
+
 def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the first projection of each unit vector."""
     for batch in batches:
-        vectors = batch["vector"].to_pylist()
-        places = [float(_unit(np.array([v]))[0] @ directions(len(v), PROJECTIONS)[:, 0]) for v in vectors]
+        vectors = batch["vector"]
+        sizes, places = np.asarray(pc.list_value_length(vectors)), np.zeros(batch.num_rows)
+        # Vectors of one length are one matrix; the first direction of a length is drawn once.
+        for size in np.unique(sizes):
+            own = np.flatnonzero(sizes == size)
+            table = vectors.take(pa.array(own)).flatten().to_numpy().reshape(len(own), size)
+            places[own] = _unit(table) @ _first_direction(int(size))
         yield batch.append_column("place", pa.array(places, pa.float64()))
 
 
