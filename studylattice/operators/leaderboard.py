@@ -17,6 +17,9 @@ from studylattice.plans.ordered import with_position
 # Beyond this exponent two different weighted scores are more than 100 points apart.
 _HUGE_EXPONENT = 600.0
 
+# Bits of a register number in the sketches of distinct users.
+SKETCH_BITS = 14
+
 
 def difficulty_weights(attempts: DataFrame) -> DataFrame:
     """Weight per weighted subject and level: the base weight times one factor per attempt.
@@ -247,6 +250,34 @@ def subject_participation(attempts: DataFrame) -> DataFrame:
     )
 
 
+def user_sketches(attempts: DataFrame) -> DataFrame:
+    """(subject, users): a mergeable sketch of the distinct users of every subject, 16 KB at most each.
+
+    Its estimates have a relative standard error of about 0.7 percent, whatever the number of users.
+    """
+    return attempts.filter("user_id is not null").groupBy("subject").agg(
+        F.hll_sketch_agg("user_id", SKETCH_BITS).alias("users")
+    )
+
+
+def merged_sketches(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The sketches of ``first``, each with what ``second`` knows of its subject."""
+    other = second.select(F.col("subject").alias("_subject"), F.col("users").alias("_users"))
+    both = first.join(other, F.col("subject").eqNullSafe(F.col("_subject")), "left")
+    merged = F.when(F.col("_users").isNull(), F.col("users")).otherwise(F.hll_union("users", "_users"))
+    return both.select("subject", merged.alias("users"))
+
+
+def estimated_participation(sketches: DataFrame) -> DataFrame:
+    """Estimated distinct users per subject, as a share of the best attended subject, and of all subjects
+    together (``all_users``): ``subject_participation`` and the users of ``platform_kpis`` without the attempts."""
+    counts = sketches.select("subject", F.hll_sketch_estimate("users").alias("participants"))
+    most = counts.agg(F.max("participants")).scalar().cast("double")
+    everyone = sketches.agg(F.hll_sketch_estimate(F.hll_union_agg("users"))).scalar()
+    share = F.col("participants").cast("double") / most * 100.0
+    return counts.select("subject", "participants", share.alias("share"), everyone.alias("all_users"))
+
+
 def difficulty_distribution(attempts: DataFrame) -> DataFrame:
     """Attempts and share per standard level; levels without attempts are kept.
 

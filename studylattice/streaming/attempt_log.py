@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studylattice.functions import rules
-from studylattice.operators import quiz
+from studylattice.operators import leaderboard, quiz
 from studylattice.session import checkpointed
 from studylattice.sources import files
 from studylattice.streaming import generations
@@ -96,3 +96,28 @@ def number_available(attempts: DataFrame, log_path: str, counts_path: str, check
         .start()
     )
     query.awaitTermination()
+
+
+def sketch_available(attempts: DataFrame, state_path: str, checkpoint_path: str) -> None:
+    """Take everything the streaming ``attempts`` has into the sketches of the users of every subject, and stop.
+    Runs a streaming query. Taking the same attempts in twice changes nothing."""
+    spark = attempts.sparkSession
+    generations.start(spark, state_path, "subject string, users binary")
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        before = generations.newest(spark, state_path, ["subject"], batch_id)
+        came = checkpointed(leaderboard.user_sketches(batch))
+        generations.save(leaderboard.merged_sketches(came, before), state_path, ["subject"], batch_id)
+
+    query = (
+        attempts.writeStream.foreachBatch(save)
+        .option("checkpointLocation", checkpoint_path)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def read_sketches(spark: SparkSession, state_path: str) -> DataFrame:
+    """The newest sketch of every subject."""
+    return generations.newest(spark, state_path, ["subject"])

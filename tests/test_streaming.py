@@ -96,3 +96,25 @@ def test_weights_from_cells_equal_weights_from_attempts(spark):
     cells = attempt_log.running_cells(rows)
     columns = ("subject", "difficulty", "passes", "fails")
     assert records(leaderboard.difficulty_weights(cells), *columns) == records(leaderboard.difficulty_weights(rows), *columns)
+
+
+def test_sketches_of_users_keep_their_error(spark, tmp_path):
+    """Micro-batches that share users, and a restart: within two percent of the exact counts."""
+    source, state, progress = (str(tmp_path / d) for d in ("in", "state", "progress"))
+    rows = spark.range(120_000).selectExpr(
+        "id AS log_pos", "IF(id % 1000 = 0, NULL, id % 40000) AS user_id",
+        "CASE WHEN id % 40000 < 9000 THEN 'Maths' WHEN id % 40000 < 9100 THEN NULL ELSE 'Art' END AS subject",
+    )
+    for part in range(3):
+        rows.filter(f"log_pos % 3 = {part}").coalesce(1).write.mode("append").parquet(source)
+        attempt_log.sketch_available(stream(spark, source, rows.schema), state, progress)
+    exact = {r.subject: r.n for r in rows.groupBy("subject").agg(F.countDistinct("user_id").alias("n")).collect()}
+    got = {r.subject: r for r in leaderboard.estimated_participation(attempt_log.read_sketches(spark, state)).collect()}
+    assert got.keys() == exact.keys()
+    for subject, row in got.items():
+        assert abs(row.participants - exact[subject]) <= 0.02 * exact[subject]
+        assert abs(row.all_users - 39_960) <= 0.02 * 39_960
+    assert max(r.share for r in got.values()) == 100
+    once = leaderboard.estimated_participation(leaderboard.user_sketches(rows))
+    assert records(once, "subject", "participants") == sorted(((s, r.participants) for s, r in got.items()), key=repr)
+    assert leaderboard.estimated_participation(leaderboard.user_sketches(rows.limit(0))).count() == 0
