@@ -278,12 +278,49 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     )
 
 
+_DONE = "doc long, n_bytes long, removed array<struct<start: long, length: long>>, kept binary"
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for part in batches_of(whole, "text", 4 * STEP_BYTES):
             yield _without(part)
 
 
+def _rows_hash(batch: pa.RecordBatch) -> np.ndarray:
+    doc, copy = (batch[c].to_numpy().view(np.uint64) for c in ("doc", "copy"))
+    return mixed(mixed(doc * _MULTIPLIER) + copy)
+
+
+def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_rows_hash(batch).view(np.int64))], ["hash"])
+
+
+def _with_ranges(shared):
+    """The texts that may have ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(flagged(shared.value, _rows_hash(batch))))
+
+    return run
+
+
+def _whole_texts(shared):
+    """The results of all other texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.filter(pa.array(~flagged(shared.value, _rows_hash(batch))))
+            none = pa.StructArray.from_arrays([pa.array([], pa.int64())] * 2, ["start", "length"])
+            removed = pa.ListArray.from_arrays(pa.array(np.zeros(rows.num_rows + 1, np.int32)), none)
+            sizes = pc.binary_length(rows["text"]).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([rows["doc"], sizes, removed, rows["text"]], ["doc", "n_bytes", "removed", "kept"])
+
+    return run
+
+
 def _without(part: pa.RecordBatch) -> pa.RecordBatch:
     data, offsets = text_bytes(part["text"])
     data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -328,13 +365,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     possible, as structs of start and length, and the bytes that stay. Runs jobs.
 
     The ranges of a text, no more than it has bytes, are gathered and checkpointed, so the join with the texts is
-    between plain tables and AQE can split a text that many rows repeat.
+    between plain tables and AQE can split a text that many rows repeat. Texts without ranges need no
+    join; a bitmap of at most BITS bits tells most of them.
     """
     ranges = checkpointed(
         repeated_ranges(docs).groupBy("doc", "copy").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     )
-    rows = _texts(docs).join(ranges, ["doc", "copy"], "left").select("doc", "text", "ranges")
-    made = rows.mapInArrow(
-        _removed, "doc long, n_bytes long, removed array<struct<start: long, length: long>>, kept binary"
-    )
+    texts = _texts(docs)
+    hashes = ranges.select("doc", "copy").mapInArrow(_hash_rows, "hash long")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(hashes, ranges.count()))
+    whole = texts.mapInArrow(_whole_texts(shared), _DONE)
+    some = texts.mapInArrow(_with_ranges(shared), texts.schema).join(ranges, ["doc", "copy"], "left")
+    made = whole.unionByName(some.select("doc", "text", "ranges").mapInArrow(_removed, _DONE))
     return made.select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "removed", "kept")
