@@ -79,7 +79,7 @@ def allocate_proportional(items: DataFrame) -> DataFrame:
     priority = F.when(known, F.col("priority")).otherwise(
         F.raise_error(F.concat(F.lit("priority must be 1 to 5, not "), F.coalesce(F.col("priority").cast("string"), F.lit("NULL")))).cast("int")
     )
-    measured = items.withColumn("priority", priority).withColumns({"demand": _demand(), "budget": _budget()})
+    measured = checkpointed(items.withColumn("priority", priority).withColumns({"demand": _demand(), "budget": _budget()}))
     counts = [F.count_if(F.col("priority") == p).alias(f"n{p}") for p in PRIORITIES]
     bands = checkpointed(
         measured.groupBy("request_id", "demand").agg(
@@ -108,9 +108,10 @@ def allocate_proportional(items: DataFrame) -> DataFrame:
         .agg(F.max(best).alias("best"), F.max_by(rest, best).alias("set"))
         .select("request_id", F.col("best.size").alias("size"), "set.*")
     )
-    full = widest.filter("points >= highest")
-    short = _fullest_small_sets(measured, widest.filter("points < highest"))
-    sets = checkpointed(full.drop("size").unionByName(short))  # one row per request
+    widest = checkpointed(widest)  # one row per request
+    sets, unfilled = widest.filter("points >= highest").drop("size"), widest.filter("points < highest")
+    if not unfilled.isEmpty():
+        sets = checkpointed(sets.unionByName(_fullest_small_sets(measured, unfilled)))
 
     taken = F.element_at(F.array(*picked), F.col("priority"))
     eligible = (
@@ -151,16 +152,15 @@ def _fullest_small_sets(measured: DataFrame, widest: DataFrame) -> DataFrame:
             for p in PRIORITIES
         ])
     )
-    tried = lists.withColumn(
-        "shape", F.explode(F.array(*[F.array(*[F.lit(c) for c in shape]) for shape in shapes]))
-    )
+    # 125 rows; a request meets those of its own size only.
+    table = measured.sparkSession.createDataFrame([(sum(s), list(s)) for s in shapes], "size bigint, shape array<int>")
+    tried = lists.join(F.broadcast(table), "size")
     counts = {p: F.col("shape")[i] for i, p in enumerate(PRIORITIES)}
-    size = sum((counts[p] for p in PRIORITIES[1:]), counts[1])
     points = sum((p * counts[p] for p in PRIORITIES[1:]), counts[1])
     available = F.lit(True)
     for p in PRIORITIES:
         available &= counts[p] <= F.size(f"d{p}")
-    tried = tried.filter((size == F.col("size")) & available)
+    tried = tried.filter(available)
 
     def hardest(field: str) -> list[Column]:
         return [F.when(counts[p] > 0, F.get(F.col(f"d{p}"), counts[p] - 1)[field]) for p in PRIORITIES]

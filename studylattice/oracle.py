@@ -284,14 +284,14 @@ _BLOCKS |= {
         FROM (SELECT k, x, y, z, w, MAX(n) FILTER (other = c) AS own_n, MAX(far / NULLIF(n - 1, 0)) FILTER (other = c) AS inside,
             MIN(far / n) FILTER (other <> c) AS outside FROM between GROUP BY k, x, y, z, w)
         GROUP BY k HAVING COUNT(outside) > 0""",
-    "letters": """
+    "group_letters": """
         SELECT k, c, chr(CAST(64 + ROW_NUMBER() OVER (PARTITION BY k ORDER BY mx DESC, my, mz) AS INTEGER)) AS study_group
         FROM (SELECT k, c, SUM(w * x)::DOUBLE / SUM(w)::DOUBLE AS mx, SUM(w * y)::DOUBLE / SUM(w)::DOUBLE AS my,
           SUM(w * z)::DOUBLE / SUM(w)::DOUBLE AS mz FROM placed GROUP BY k, c)""",
     "student_groups": """
         SELECT p.user_id, study_group FROM profiles p LEFT JOIN (SELECT q.user_id, l.study_group
           FROM points q JOIN placed n ON n.x = q.x AND n.y = q.y AND n.z = q.z
-          JOIN letters l ON l.k = n.k AND l.c = n.c
+          JOIN group_letters l ON l.k = n.k AND l.c = n.c
           WHERE n.k = (SELECT k FROM silhouettes ORDER BY ROUND(silhouette, 9) DESC, k LIMIT 1)) USING (user_id)""",
 }
 
@@ -365,7 +365,7 @@ _REVISION = (*_TARGETS, "plan_base", "revision")
 _MODEL = ("attempts", "numbered", "targets", "modes", "lacking", "learned", "asked", "drawn", "grown", "intervals", "model_base")
 _COURSES = ("assignments", "courses")
 _CLUSTERS = ("attempts", "profiles", "points", "places", "starts", "fit", "centres", "nearest", "cheapest", "placed", "between", "silhouettes")
-_GROUPS = (*_CLUSTERS, "letters", "student_groups")
+_GROUPS = (*_CLUSTERS, "group_letters", "student_groups")
 _PROPORTIONAL = ("items", "requests", "subsets", "chosen", "proportional")
 
 SQL: dict[str, str] = {}
