@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from studylattice.llm.common import batches_of, hashed_words, shingles, texts_of
 
-# Documents at most about this many give the paragraphs without a notice that training needs, and
-# at most this many paragraphs of them are used.
-BACKGROUND_DOCS, BACKGROUND_PARAGRAPHS = 300, 4_000
+# At most so many passages of all lines, each of at most so many characters, are the paragraphs without a
+# notice that training needs.
+BACKGROUND_PARAGRAPHS, BACKGROUND_CHARS = 4_000, 2_000
 BITS, GRAMS = 16, 3
 # Longer paragraphs are read as overlapping passages of this many words.
 PASSAGE, STEP = 48, 24
@@ -255,7 +255,7 @@ def fit(background: list[str]) -> LicenceModel:
                 words = around[:3] + words + around[3:]
             texts.append(" ".join(words))
             families.append(FAMILIES.index(family))
-    plain = [p for p in background if p.split()][:BACKGROUND_PARAGRAPHS]
+    plain = [p for p in background if p.split()]
     hashes_of = [passages(_encoded([p]))[0] for p in plain]
     plain = [p for p, h in zip(plain, hashes_of) if similarity(h[:PASSAGE], everything) < 0.3]
     for p in plain + DECOYS * 5:
@@ -303,15 +303,29 @@ def fit(background: list[str]) -> LicenceModel:
     return LicenceModel(table, bias, min(losses, key=losses.get))
 
 
+def background(docs: DataFrame, most: int = BACKGROUND_PARAGRAPHS) -> list[str]:
+    """Passages of distinct lines of all texts: at most ``most``, the ones whose lines have the smallest hashes.
+
+    A line with more than PASSAGE words gives so many of them from a place its hash decides. All lines
+    are looked at; of about twenty times the wanted number the distinct ones are sorted.
+    """
+    texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    lines = texts.agg(F.coalesce(F.sum(breaks), F.lit(0))).first()[0]
+    scale = 1 << 40
+    share = min(scale, scale * 20 * most // max(lines, 1) + 1)
+    rows = texts.select(F.explode(F.split("text", "\n")).alias("line")).filter(F.trim("line") != "")
+    drawn = rows.withColumn("draw", F.xxhash64("line")).filter(F.pmod("draw", F.lit(scale)) < share).distinct()
+    words = F.split(F.trim("line"), "[\\x20\\x09-\\x0D]+")
+    first = F.pmod(F.shiftrightunsigned("draw", 20), F.greatest(F.size("words") - PASSAGE + 1, F.lit(1)).cast("long"))
+    passage = F.array_join(F.slice("words", first.cast("int") + 1, PASSAGE), " ")
+    found = drawn.orderBy(F.pmod("draw", F.lit(scale)), "line").limit(most).withColumn("words", words)
+    return sorted({r[0] for r in found.select(F.substring(passage, 1, BACKGROUND_CHARS)).collect()})
+
+
 def train(docs: DataFrame) -> LicenceModel:
-    """The model, with paragraphs of at most about BACKGROUND_DOCS documents, chosen by a hash of their
-    text, as background."""
-    rows, scale = docs.count(), 1 << 20
-    share = min(scale, int(scale * BACKGROUND_DOCS / max(rows, 1)) + 1)
-    chosen = texts_of(docs).filter(F.pmod(F.xxhash64("text"), F.lit(scale)) < share).filter("text is not null")
-    some = F.slice(F.split(F.col("text").cast("string"), "\n"), 1, 40)
-    found = chosen.select(F.explode(some).alias("line")).select(F.substring("line", 1, 400).alias("line"))
-    return fit(sorted({r["line"] for r in found.limit(5 * BACKGROUND_PARAGRAPHS).collect()}))
+    """The model, with at most BACKGROUND_PARAGRAPHS passages of ``docs`` as background."""
+    return fit(background(docs))
 
 
 def licence_notices(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
