@@ -134,7 +134,8 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndar
     counts = np.diff(bounds)
     folded = np.full(len(hashes), np.uint64(size))
     for i in range(size):
-        folded[: len(hashes) - i] = mixed(folded[: len(hashes) - i] * _MULTIPLIER + hashes[i:])
+        whole = max(0, len(hashes) - i)
+        folded[:whole] = mixed(folded[:whole] * _MULTIPLIER + hashes[i:])
     kept = np.ones(len(hashes), bool)
     for i in range(1, size):
         kept[bounds[1:][counts >= i] - i] = False
