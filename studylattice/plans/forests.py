@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studylattice.session import checkpointed
+from studylattice.session import checkpointed, package_for_workers
 
 SMALL = 1024
 # Rows solved side by side; one more key may come on top.
@@ -137,6 +137,7 @@ def answers(
 
     Keys without rows have no answer. Both tables are read several times; hand in kept ones.
     """
+    package_for_workers(rows.sparkSession)
     sizes = rows.groupBy("key").count()
     large = checkpointed(sizes.filter(F.col("count") > small).select("key"))
     few = rows.join(large, "key", "left_anti").join(questions, "key")

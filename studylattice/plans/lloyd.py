@@ -2,19 +2,23 @@
 
 Points are settled to whole millionths and equal points are one weighted place, so all sums are of whole
 numbers: neither the partitioning nor a lost executor can change a centre, and a run repeats bit by bit. A step
-takes the centres of all unfinished models to the rows as one literal, aggregates map-side, and
+takes the centres of all unfinished models to the rows, adds up in numpy what a task has, and
 brings back a row for each (model, cluster): 44 for each restart of 2 to 9 clusters, whatever the rows.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from studylattice.session import package_for_workers
+
 # Millionths of a unit, and the squared shift of all centres of a model, in squared units, that ends it.
 SCALE = 1_000_000
 TOLERANCE = 1e-4
@@ -63,12 +67,6 @@ def _starts(rows: DataFrame, ks: list[int], restarts: int, seed: int) -> list[Mo
     return [Model(k, r, at[:k]) for r, at in sorted(first.items()) for k in ks if k <= len(at)]
 
 
-def _centres(models: Iterable[Model]) -> Column:
-    """The models as one literal array of (k, restart, centres)."""
-    text = json.dumps([{"k": m.k, "restart": m.restart, "centres": m.centres} for m in models])
-    return F.from_json(F.lit(text), "array<struct<k: int, restart: int, centres: array<array<double>>>>")
-
-
 def squared(p: Column, centre: Column) -> Column:
     """Squared distance of a place from a centre, added up in the order of the features."""
     parts = F.zip_with(p, centre, lambda a, b: (a - b) * (a - b))
@@ -81,19 +79,58 @@ def nearest(p: Column, centres: Column) -> Column:
     return F.array_min(numbered)
 
 
+_HALF = 1 << 20  # costs are summed in two parts that no number of rows of a task overflows
+
+
+def _sums(models: list[Model], features: int):
+    """Weight, cost and sums of every cluster of every model over the rows of a task."""
+    centres = np.array([c for m in models for c in m.centres])
+    bounds = np.cumsum([0, *(m.k for m in models)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((3 + features, len(centres)), np.int64)
+        for whole in batches:
+            for start in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(start, _ROWS)
+                n, w = batch.num_rows, batch["w"].to_numpy()
+                points = batch["p"].flatten().to_numpy().reshape(n, features)
+                away = np.zeros((n, len(centres)))
+                for i in range(features):
+                    gap = points[:, i, None] - centres[None, :, i]
+                    away += gap * gap
+                for low, high in zip(bounds[:-1], bounds[1:]):
+                    near = away[:, low:high].argmin(1)
+                    cost = away[np.arange(n), low + near].astype(np.int64)
+                    for row, values in enumerate((w, w * (cost // _HALF), w * (cost % _HALF), *(points.T * w))):
+                        np.add.at(found[row], low + near, values)
+        used = np.flatnonzero(found[0])
+        owner = np.searchsorted(bounds, used, "right") - 1
+        model = [[models[i].k for i in owner], [models[i].restart for i in owner], (used - bounds[owner]).tolist()]
+        columns = [*(pa.array(c, pa.int32()) for c in model), *(pa.array(row[used]) for row in found)]
+        yield pa.RecordBatch.from_arrays(columns, [*_KEY, *_facts(features)])
+
+    return run
+
+
+_KEY = ["k", "restart", "cluster"]
+_ROWS = 2048
+
+
+def _facts(features: int) -> list[str]:
+    return ["w", "high", "low", *(f"s{i}" for i in range(features))]
+
+
 def _step(rows: DataFrame, models: list[Model], features: int) -> dict[tuple[int, int], dict[int, tuple]]:
     """One pass over the rows: weight, cost and mean of every cluster of every model."""
-    cost = F.sum(F.floor("near.distance").cast("decimal(28,0)") * F.col("w").cast("decimal(10,0)"))
-    sums = [F.sum(F.col("w") * F.col("p")[i]).alias(f"s{i}") for i in range(features)]
-    facts = (
-        rows.select("p", "w", F.explode(_centres(models)).alias("m"))
-        .select("p", "w", "m.k", "m.restart", nearest(F.col("p"), F.col("m.centres")).alias("near"))
-        .groupBy("k", "restart", "near.cluster")
-        .agg(F.sum("w").alias("w"), cost.alias("cost"), *sums)
-    )
+    schema = ", ".join([*(f"{c} int" for c in _KEY), *(f"{c} long" for c in _facts(features))])
+    parts = rows.select("p", "w").mapInArrow(_sums(models, features), schema)
+    wide = [F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in ("high", "low")]
+    plain = [F.sum(c).alias(c) for c in _facts(features) if c not in ("high", "low")]
     found: dict[tuple[int, int], dict[int, tuple]] = {}
-    for k, restart, cluster, weight, cost, *totals in facts.collect():  # a row for each cluster of each model
-        found.setdefault((k, restart), {})[cluster] = (weight, int(cost), [t / weight for t in totals])
+    for row in parts.groupBy(*_KEY).agg(*wide, *plain).collect():  # a row for each cluster of each model
+        cost = int(row.high) * _HALF + int(row.low)
+        mean = [row[f"s{i}"] / row.w for i in range(features)]
+        found.setdefault((row.k, row.restart), {})[row.cluster] = (row.w, cost, mean)
     return found
 
 
@@ -104,6 +141,7 @@ def fit_all(rows: DataFrame, ks: Iterable[int], restarts: int, seed: int) -> lis
     A model ends when its centres move by TOLERANCE or less, or after MOST_STEPS. An empty cluster keeps
     its centre. Sizes, means and costs belong to the last centres.
     """
+    package_for_workers(rows.sparkSession)
     models = _starts(rows, sorted(ks), restarts, seed)
     features = len(models[0].centres[0]) if models else 0
     for step in range(MOST_STEPS):

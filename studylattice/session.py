@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -36,6 +38,14 @@ def allow_skewed_joins(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
 
 
+def package_for_workers(spark: SparkSession) -> None:
+    """Let Python workers find this package wherever the driver was started."""
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
