@@ -250,19 +250,21 @@ def held_out_rows(modulus: int, left_out: int):
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, modulus: int, left_out: int, rows: int
+    docs: DataFrame, labels: DataFrame, label: str, modulus: int, left_out: int, rows: int, longest: int | None = None
 ) -> DataFrame:
     """(text, label) of at most about ``rows`` labelled documents, as evenly of both classes as they
     come, plus the weight that gives a class its share of all labels back.
 
     Rows whose id leaves the remainder ``left_out`` are not looked at. Labels other than 0 and 1,
-    and null ids, are left out; of several labels of an id the larger counts. Sampling is by a hash
-    of the id, so it is the same in every run. Only the chosen ids, at most about ``rows``, are
-    broadcast.
+    null ids, and labels of documents that are not in ``docs`` or whose texts have more than ``longest`` bytes are left
+    out; of several labels of an id the larger counts. Sampling is by a hash of the id, so it is the same in every run.
+    Only the chosen ids, at most about ``rows``, are broadcast.
     """
+    docs = docs if longest is None else docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
     usable = (
         labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label"))
         .filter(F.col("label").isin(0, 1) & ~held_out_rows(modulus, left_out) & F.col("doc_id").isNotNull())
+        .join(docs.select(F.col("doc_id").cast("long")), "doc_id", "left_semi")
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
     )

@@ -27,8 +27,8 @@ from studylattice.llm.common import (
     texts_of,
 )
 
-# Training reads at most about this many labelled documents.
-TRAINING_ROWS = 3_000
+# Training reads at most about this many labelled documents, and none with more bytes.
+TRAINING_ROWS, TRAINING_BYTES = 4_000, 1 << 15
 MODULUS, LEFT_OUT = 5, 0
 THRESHOLD = 0.5
 BUCKET_BITS, DIMENSIONS = 17, 8
@@ -227,10 +227,10 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> ToxicityMo
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> ToxicityModel:
     """The model for ``labels.toxic``, from rows whose crc32(doc_id) mod 5 is not 0.
 
-    The driver gets the texts of at most about ``rows`` labelled documents. Without usable labels
-    the model scores 0.5.
+    The driver gets the texts of at most about ``rows`` labelled documents of up to TRAINING_BYTES bytes each.
+    Without usable labels the model scores 0.5.
     """
-    found = labelled_sample(docs, labels, "toxic", MODULUS, LEFT_OUT, rows).collect()
+    found = labelled_sample(docs, labels, "toxic", MODULUS, LEFT_OUT, rows, TRAINING_BYTES).collect()
     rows_in_order = sorted((bytes(r["text"] or b""), r["label"], r["weight"]) for r in found)
     if not rows_in_order:
         return ToxicityModel(np.zeros((BUCKETS, 1)), np.zeros((2, 1)), np.zeros(2))

@@ -244,3 +244,57 @@ def test_every_notice_of_a_line_is_found(spark):
     docs = frame(spark, [(-1, line), (-2, f"{gpl} Released under the MIT License."), (-3, decoy), *corpus()])
     got = sorted((r.doc_id, r.paragraph, r.family) for r in licenses.licence_notices(docs).collect())
     assert got == [(-2, 0, "GPL-3.0"), (-2, 0, "MIT"), (-1, 0, "Apache-2.0"), (-1, 0, "GPL-3.0")]
+
+
+def test_background_lines_come_from_whole_texts_and_repeat(spark):
+    rows = [(i, "\n".join(f"line {i} {k} " + "w " * 60 * (k == 99) for k in range(100))) for i in range(20)]
+    rows += [(100 + i, "the same line\n" * 50) for i in range(30)] + [(200, None), (201, ""), (202, " \n\t\n")]
+    docs = frame(spark, rows)
+    found = licenses.background(docs, 300)
+    # Long lines can give equal passages.
+    assert found == licenses.background(docs.repartition(9), 300) and 280 < len(found) == len(set(found)) <= 300
+    places = [int(p.split()[2]) for p in found if p.startswith("line")]
+    assert sum(p >= 40 for p in places) > 100
+    everything = licenses.background(docs, 5000)
+    assert 1981 < len(everything) <= 2001 and "the same line" in everything
+    assert max(len(p.split()) for p in everything) == licenses.PASSAGE
+    assert licenses.background(docs.limit(0)) == []
+
+
+def test_samples_are_of_present_and_short_documents(spark):
+    docs = frame(spark, [(i, "word " * (40 if i % 7 else 9000)) for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(4000)], "doc_id long, quality int, toxic int")
+    sample = common.labelled_sample(docs, labels, "toxic", 5, 0, 150, 1000)
+    usable = [i for i in range(400) if i % 7 and not held_out(i, 5, 0)]
+    assert len(usable) > 150 and 110 < sample.count() < 190
+    assert all(len(r.text) <= 1000 for r in sample.collect())
+    # Without a bound on bytes, the labels of all present documents are used where they are few.
+    assert common.labelled_sample(docs, labels, "toxic", 5, 0, 10_000).count() == sum(not held_out(i, 5, 0) for i in range(400))
+
+
+def test_table_scores_equal_a_plain_loop():
+    made = np.random.default_rng(2)
+    rows = np.round(made.normal(size=(600, 4)), 2)
+    marks = ((rows[:, 0] > 0) ^ (rows[:, 1] > 0)).astype(float)
+    model = quality._Trainer(rows, marks, np.ones(600)).train()
+    assert model.pairs
+    asked = np.vstack([made.normal(size=(40, 4)) * 3, rows[:20], [[c[0] for c in model.cuts]]])
+    for row, found in zip(asked, model.score(asked)):
+        total = model.intercept
+        for value, cuts, table in zip(row, model.cuts, model.tables):
+            total += table[sum(c <= value for c in cuts)]
+        for a, b, cuts_a, cuts_b, table in model.pairs:
+            total += table[sum(c <= row[a] for c in cuts_a)][sum(c <= row[b] for c in cuts_b)]
+        assert found == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_worst_passages_equal_a_plain_loop():
+    made = np.random.default_rng(3)
+    model = toxicity.ToxicityModel(made.normal(size=(toxicity.BUCKETS, 2)), made.normal(size=(2, 2)), np.array([0.1, 0.4]))
+    texts = ["", "one", "Two words", "a b c d e", "it's  \n odd--x. Ünï " * 3, "x" * 300, " ".join(f"w{i}" for i in range(41)), "..."]
+    for text, found in zip(texts, model.score(texts)):
+        words = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in text.lower()).split()
+        pulls = [float(toxicity._Words.of(w.encode()).pulls(model.pull)[0]) for w in words]
+        size = toxicity.PASSAGE_WORDS
+        worst = max((sum(pulls[i : i + size]) / size for i in range(0, len(pulls), size)), default=0.0)
+        assert found == pytest.approx(1 / (1 + np.exp(-(worst + model.offset))))
