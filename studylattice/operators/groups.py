@@ -149,9 +149,9 @@ def group_members(groups: DataFrame, page_size: int = 1000) -> DataFrame:
 def compare_users(profiles: DataFrame, pairs: DataFrame) -> DataFrame:
     """Metric by metric comparison, two decimals, for every (first_user, second_user) pair."""
     metrics = F.array(
-        F.struct(F.lit("Average Score (%)").alias("metric"), _two("avg_score").alias("value")),
-        F.struct(F.lit("Attempts").alias("metric"), F.col("attempts").cast("double").alias("value")),
-        F.struct(F.lit("Average Difficulty").alias("metric"), _two("avg_difficulty").alias("value")),
+        F.struct(F.lit("AVG_SCORE").alias("metric"), _two("avg_score").alias("value")),
+        F.struct(F.lit("ATTEMPTS").alias("metric"), F.col("attempts").cast("double").alias("value")),
+        F.struct(F.lit("AVG_DIFFICULTY").alias("metric"), _two("avg_difficulty").alias("value")),
     )
     cards = profiles.select("user_id", metrics.alias("metrics"))
     first = cards.select(F.col("user_id").alias("first_user"), F.col("metrics").alias("first_metrics"))

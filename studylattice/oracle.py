@@ -635,7 +635,7 @@ _add(
          FROM student_groups WHERE study_group IS NOT NULL)
        GROUP BY study_group, page""",
 )
-_METRICS = (("Average Score (%)", "avg_score", True), ("Attempts", "attempts", False), ("Average Difficulty", "avg_difficulty", True))
+_METRICS = (("AVG_SCORE", "avg_score", True), ("ATTEMPTS", "attempts", False), ("AVG_DIFFICULTY", "avg_difficulty", True))
 _add(
     "compare_users",
     ("attempts", "profiles"),

@@ -49,7 +49,7 @@ def test_comparison_rows(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 9)], "first_user long, second_user long")
     rows = S.compare_users(profiles(spark, [(1, 50.126, 3, 2.0), (2, 61.0, 4, 1.334)]), pairs)
     assert records(rows, "metric", "first_value", "second_value") == [
-        ("Attempts", 3.0, 4.0), ("Average Difficulty", 2.0, 1.33), ("Average Score (%)", 50.13, 61.0),
+        ("ATTEMPTS", 3.0, 4.0), ("AVG_DIFFICULTY", 2.0, 1.33), ("AVG_SCORE", 50.13, 61.0),
     ]
 
 
