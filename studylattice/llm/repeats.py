@@ -38,7 +38,7 @@ ANCHOR = 32
 HOT = 4096
 STEP_BYTES = 1 << 20
 # Bytes of segments a partition is meant for, and bytes of them merged at once.
-PARTITION_BYTES, MERGE_BYTES = 16 << 20, 1 << 21
+PARTITION_BYTES, MERGE_BYTES = 8 << 20, 1 << 20
 
 _WINDOW = LENGTH - ANCHOR + 1  # anchors to choose from in a run
 _PLACE_BITS = 24
