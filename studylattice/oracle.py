@@ -7,7 +7,7 @@ subset enumeration, which the Spark side avoids.
 from __future__ import annotations
 
 from studylattice import constants as K
-from studylattice.plans import forests
+from studylattice.plans import forests, lloyd
 from studylattice.registry import SHOWN_DIGITS
 
 
@@ -266,7 +266,7 @@ _BLOCKS |= {
             FROM (SELECT g.k, g.restart, p.x, p.y, p.z, p.w, MIN({{'d': {_away("p", "g")}, 'c': g.c}}) AS near
               FROM places p, fit g WHERE NOT g.done GROUP BY g.k, g.restart, p.x, p.y, p.z, p.w)
             GROUP BY k, restart, near.c) s ON s.k = f.k AND s.restart = f.restart AND s.c = f.c
-          WHERE NOT f.done AND f.step < 100)""",
+          WHERE NOT f.done AND f.step < {lloyd.MOST_STEPS})""",
     "centres": "SELECT k, restart, c, arg_max(x, step) AS x, arg_max(y, step) AS y, arg_max(z, step) AS z FROM fit GROUP BY k, restart, c",
     "nearest": f"""
         SELECT k, restart, x, y, z, w, near.c AS c, CAST(floor(near.d) AS HUGEINT) AS d

@@ -22,7 +22,7 @@ from studylattice.session import package_for_workers
 # Millionths of a unit, and the squared shift of all centres of a model, in squared units, that ends it.
 SCALE = 1_000_000
 TOLERANCE = 1e-4
-MOST_STEPS = 100
+MOST_STEPS = 25
 
 
 @dataclass

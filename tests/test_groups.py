@@ -99,7 +99,7 @@ def plain_fits(points, ks, restarts, seed):
             def nearest(p):
                 return min(range(k), key=lambda c: (away(p, centres[c]), c))
 
-            for _ in range(100):
+            for _ in range(lloyd.MOST_STEPS):
                 groups = {}
                 for p in places:
                     groups.setdefault(nearest(p), []).append(p)
