@@ -222,6 +222,7 @@ def block_schedule(
         [F.col("pos").asc()],
         {"until": F.col("length")},
         F.col("pos"),
+        joined=True,
     )
     begin = F.col("until") - F.col("length") + F.col("block") * (block_hours + break_hours)
     study = F.struct(
@@ -237,9 +238,21 @@ def block_schedule(
         "request_id", "name", "block", F.explode(F.when(last, F.array(study)).otherwise(F.array(study, pause))).alias("slot")
     )
 
-    def clock(offset: Column) -> Column:
-        seconds = F.rint(offset * 3600e6).cast("bigint") / F.lit(1e6)
-        return F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    # Whole microseconds: a decimal and two date formats for every block would cost more than all the rest.
+    opening = F.lit(start).cast("timestamp_ntz")
+    second = F.date_part(F.lit("SECOND"), opening).cast("double")
+    midnight = F.rint((F.hour(opening) * 3600 + F.minute(opening) * 60 + second) * 1e6).cast("bigint")
+    microsecond = F.make_dt_interval(secs=F.lit("0.000001").cast("decimal(18, 6)"))
+
+    def micros(offset: Column) -> Column:
+        return F.rint(offset * 3600e6).cast("bigint")
+
+    def label(moment: Column) -> Column:
+        """The time of day as ``hh:mm a``."""
+        minute = F.floor(F.pmod(midnight + moment, F.lit(86_400_000_000)) / 60e6).cast("int")
+        hour = F.floor(minute / 60).cast("int")
+        digits = [F.lpad(n.cast("string"), 2, "0") for n in (F.pmod(hour + 11, F.lit(12)) + 1, minute % 60)]
+        return F.concat(digits[0], F.lit(":"), digits[1], F.when(hour < 12, " AM").otherwise(" PM"))
 
     offset, duration = F.col("slot.offset"), F.col("slot.duration")
     return slots.select(
@@ -247,8 +260,8 @@ def block_schedule(
         "name",
         "block",
         F.col("slot.kind").alias("kind"),
-        clock(offset).alias("starts_at"),
-        F.date_format(clock(offset), "hh:mm a").alias("start_label"),
-        F.date_format(clock(offset + duration), "hh:mm a").alias("end_label"),
+        (opening + microsecond * micros(offset)).alias("starts_at"),
+        label(micros(offset)).alias("start_label"),
+        label(micros(offset + duration)).alias("end_label"),
         duration.alias("duration"),
     )

@@ -133,6 +133,20 @@ def test_block_schedule_follows_the_clock(spark, many_partitions, block, pause):
     assert got[0].start_label == "09:00 AM"
 
 
+def test_labels_pass_noon_and_midnight(spark):
+    rows = [(1, i, f"S{i:02}", 3, 100.0, 0.5) for i in range(60)]
+    df = spark.createDataFrame(rows, "request_id long, pos int, name string, priority int, total_hours double, hours double")
+    got = P.block_schedule(df, "2025-01-01 10:45:30.5").withColumn("want", F.date_format("starts_at", "hh:mm a")).collect()
+    assert len(got) == 60 and all(r.start_label == r.want for r in got)
+    assert {"11:45 AM", "12:15 PM", "11:45 PM", "12:15 AM"} <= {r.end_label for r in got}
+
+
+def test_schedule_shuffles_a_joined_plan_no_further_and_formats_no_dates(spark):
+    plan = P.allocate_softmax(table(spark, {i: (6.0, [(3, 3, 0.5)] * 4) for i in range(200)}))
+    text = P.block_schedule(plan)._jdf.queryExecution().executedPlan().toString()
+    assert "shufflepartitionidpassthrough" not in text and "date_format" not in text and "decimal" not in text
+
+
 def test_schedule_of_nothing(spark):
     empty = spark.createDataFrame([(1, 0, "S", 3, 6.0, 0.0)], "request_id long, pos int, name string, priority int, total_hours double, hours double")
     assert records(P.block_schedule(empty), "name") == []

@@ -216,6 +216,31 @@ def test_sums_over_struct_places_equal_a_loop(spark, many_partitions):
     assert with_running_sums(df.limit(0), ["key"], [F.col("pos").asc()], {"s": F.col("v")}, F.col("pos")).count() == 0
 
 
+def test_hot_keys_are_found_without_a_sample_of_every_task(spark, monkeypatch):
+    """Keys are counted; only if one is hot are rows drawn, by a share and not the first ones of each task."""
+    df = spark.range(4000).selectExpr("id % 1000 AS key", "id AS p")
+    monkeypatch.setattr(type(df), "sample", None)
+    assert ordered._hot_cuts(df, ["key"], F.col("p"), 4) == []
+    monkeypatch.undo()
+    limits, limit = [], type(df).limit
+    monkeypatch.setattr(type(df), "limit", lambda self, n: limits.append(n) or limit(self, n))
+    (key, cuts), = ordered._hot_cuts(df.withColumn("key", F.expr("IF(p < 2000, -1, key)")), ["key"], F.col("p"), 4)
+    assert key.key == -1 and cuts == sorted(cuts) and set(limits) <= {1}
+
+
+def test_joined_rows_of_a_hot_key_are_cut(spark, many_partitions):
+    df, pdf = skewed(spark)
+    df = df.fillna(0.0, ["v"]).withColumn("pos", F.struct("t", "id"))
+    for rows in (df, df.filter("key <> 'hot' AND key < 'k2'")):
+        got = with_running_sums(rows, ["key"], [F.col("pos").asc()], {"s": F.col("v")}, F.col("pos"), joined=True)
+        cut = "shufflepartitionidpassthrough" in got._jdf.queryExecution().executedPlan().toString()
+        got = got.toPandas()
+        want = pdf[pdf.id.isin(got.id)].fillna({"v": 0.0}).sort_values(["t", "id"])
+        want["s"] = want.groupby("key", dropna=False)["v"].cumsum()
+        assert dict(zip(got.id, got.s)) == dict(zip(want.id, want.s))
+        assert cut == ("hot" in set(want.key))
+
+
 def test_rows_without_totals_are_left_out(spark):
     df, _ = skewed(spark)
     totals = df.filter("key = 'hot'").groupBy("key").agg(F.count("*").alias("n"))
