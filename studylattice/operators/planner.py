@@ -79,7 +79,8 @@ def allocate_proportional(items: DataFrame) -> DataFrame:
     priority = F.when(known, F.col("priority")).otherwise(
         F.raise_error(F.concat(F.lit("priority must be 1 to 5, not "), F.coalesce(F.col("priority").cast("string"), F.lit("NULL")))).cast("int")
     )
-    measured = checkpointed(items.withColumn("priority", priority).withColumns({"demand": _demand(), "budget": _budget()}))
+    # Read three times with few columns each, which costs less than a copy of all of them.
+    measured = items.withColumn("priority", priority).withColumns({"demand": _demand(), "budget": _budget()})
     counts = [F.count_if(F.col("priority") == p).alias(f"n{p}") for p in PRIORITIES]
     bands = checkpointed(
         measured.groupBy("request_id", "demand").agg(
@@ -126,6 +127,7 @@ def allocate_proportional(items: DataFrame) -> DataFrame:
         [F.col("pos").asc()],
         "place",
         F.col("pos"),
+        joined=True,
     ).filter("place <= taken")
     per_point = F.col("total_hours") / F.greatest("points", "highest")
     return ranked.withColumn("hours", rules.half_steps(F.col("priority") * per_point)).select(*_PLAN)
@@ -152,9 +154,9 @@ def _fullest_small_sets(measured: DataFrame, widest: DataFrame) -> DataFrame:
             for p in PRIORITIES
         ])
     )
-    # 125 rows; a request meets those of its own size only.
-    table = measured.sparkSession.createDataFrame([(sum(s), list(s)) for s in shapes], "size bigint, shape array<int>")
-    tried = lists.join(F.broadcast(table), "size")
+    # 125 shapes; a request meets those of its own size only.
+    of_size = [F.array(*[F.array(*map(F.lit, s)) for s in shapes if sum(s) == n]) for n in range(1, most + 1)]
+    tried = lists.withColumn("shape", F.explode(F.get(F.array(*of_size), F.col("size").cast("int") - 1)))
     counts = {p: F.col("shape")[i] for i, p in enumerate(PRIORITIES)}
     points = sum((p * counts[p] for p in PRIORITIES[1:]), counts[1])
     available = F.lit(True)

@@ -147,6 +147,17 @@ def test_schedule_shuffles_a_joined_plan_no_further_and_formats_no_dates(spark):
     assert "shufflepartitionidpassthrough" not in text and "date_format" not in text and "decimal" not in text
 
 
+def test_proportional_plan_keeps_no_copy_of_the_items(spark, monkeypatch):
+    """Items are not written out, the shapes of small plans are no table, and joined rows are not dealt out again."""
+    kept = []
+    monkeypatch.setattr(P, "checkpointed", lambda df: kept.append(df.columns) or df)
+    requests = {i: (6.0, [(5, 1, 0.5), (1, 1, 9.0), (1 + i % 5, 1, 0.25)]) for i in range(20)}
+    text = P.allocate_proportional(table(spark, requests).filter("pos >= 0"))._jdf.queryExecution().executedPlan().toString()
+    assert not any("name" in columns for columns in kept)
+    last = text[: text.index("SortMergeJoin")]
+    assert "shufflepartitionidpassthrough" not in last and "shape" not in last
+
+
 def test_schedule_of_nothing(spark):
     empty = spark.createDataFrame([(1, 0, "S", 3, 6.0, 0.0)], "request_id long, pos int, name string, priority int, total_hours double, hours double")
     assert records(P.block_schedule(empty), "name") == []
