@@ -99,3 +99,13 @@ def test_keys_without_rows_and_empty_tables(spark):
 def test_counts_have_mean_and_variance_one():
     drawn = forests.bootstrap(42, np.arange(100), np.arange(1000))
     assert abs(drawn.mean() - 1) < 0.02 and abs(drawn.var() - 1) < 0.03
+
+
+def test_rows_are_sorted_once_a_feature(monkeypatch):
+    draw = np.random.default_rng(4)
+    n, groups = 600, 5
+    x, y, group = draw.integers(0, 40, (n, 3)).astype(float), draw.integers(1, 9, n).astype(float), np.sort(draw.integers(0, groups, n))
+    sorts, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda *a, **k: sorts.append(1) or lexsort(*a, **k))
+    forests.solved(x, y, np.arange(n), group, x[:groups], 10, 7)
+    assert len(sorts) == 3
