@@ -2,16 +2,18 @@
 
 *Segments.* Every run of 100 bytes has an anchor, the smallest by hash of the 32-byte strings in it (of
 equal ones the last), so equal runs have equal anchors at equal offsets. Neighbouring runs with one
-anchor form a segment, about one for 35 bytes of text. Segments whose anchor occurs once in the whole table are left where they
-are; a bitmap of at most BITS bits tells, and a wrong bit only costs work. Of equal segments of a batch
-the first goes on, the others are found at once.
+anchor form a segment, about one for 32 bytes of text. A first pass counts them: eight bytes for each segment that differs in
+a batch, with parts of the hashes of its anchor and of the whole. Segments whose anchor occurs once in the whole table
+are left where they are; a bitmap of at most BITS bits tells, and a wrong bit only costs work. Of equal segments of a batch
+the first goes on, the others are found at once. A segment goes as hashes and place; its bytes go along only
+where the segments of its anchor are not all equal.
 
 *Runs.* The segments of an anchor meet in one partition. Of equal ones the first stands for all. Those that
 differ are texts of shards whose Burrows-Wheeler transforms are merged; the intervals of equal runs in the
 merged order decide which runs of the first segments start earlier elsewhere.
 
-*Hot anchors.* Segments of an anchor that occurs over HOT times are split to single runs, each under
-a key of its own, so no key brings more than one row a batch to a partition.
+*Hot anchors.* Segments of an anchor that has over HOT different ones are split to single runs, each under
+a key of its own and without its bytes, so no key brings more than HOT rows a batch to a partition.
 
 Order is by doc_id, then start; a null doc_id comes first. Rows with one doc_id are one document to that order:
 equal starts are not earlier. Null and short texts keep all their bytes, repeated rows get the same result each, other
@@ -29,22 +31,30 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from studylattice.llm import common
 from studylattice.llm.bwt_merge import LENGTH, repeated_runs
 from studylattice.llm.common import _powers as powers
-from studylattice.llm.common import batches_of, bitmap_of, flagged, mixed, text_bytes
+from studylattice.llm.common import batches_of, flagged, mixed, text_bytes
 from studylattice.session import checkpointed
 
 ANCHOR = 32
 HOT = 4096
 STEP_BYTES = 1 << 20
+# Bytes of text whose segments are compared before any is sent.
+BATCH_BYTES = 4 << 20
 # Bytes of segments a partition is meant for, and bytes of them merged at once.
 PARTITION_BYTES, MERGE_BYTES = 8 << 20, 1 << 20
+# Bytes a segment has without its text, and bits of a segment's hash that are counted.
+ROW_BYTES, KIND_BITS = 48, 31
+# Most bits of a bitmap of anchors: 32 MB.
+BITS = 1 << 28
 
 _WINDOW = LENGTH - ANCHOR + 1  # anchors to choose from in a run
 _PLACE_BITS = 24
 _PLACE_MASK = np.uint64((1 << _PLACE_BITS) - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = -(2**63)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 _BASE = 0xD1342543DE82EF95
@@ -173,37 +183,123 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for part in batches_of(whole, "text", 8 * STEP_BYTES):
-            keys, counts = np.unique(Segments(*text_bytes(part["text"])).key, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["hash", "n"])
+def bitmap_of(hashes: DataFrame, rows: int) -> np.ndarray:
+    return common.bitmap_of(hashes, rows, BITS)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about BATCH_BYTES of text."""
+
+    def joined() -> Iterator[pa.RecordBatch]:
+        return batches_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0], "text", BATCH_BYTES)
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += pc.sum(pc.binary_length(batch["text"])).as_py()
+        if size >= BATCH_BYTES:
+            yield from joined()
+            held, size = [], 0
+    if held:
+        yield from joined()
+
+
+def _count_segments(places: int):
+    """For each of ``places`` the segments whose anchors it counts, as numbers of 64 bits: the low half of the anchor's
+    hash, KIND_BITS bits of the segment's, and whether the batch has more such segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _gathered(batches):
+            found = Segments(*text_bytes(part["text"]))
+            place = ((found.key >> np.uint64(32)) % np.uint64(places)).astype(np.int32)
+            kind = (found.kind >> np.uint64(64 - KIND_BITS)) if KIND_BITS else np.zeros_like(found.kind)
+            number = (found.key << np.uint64(32)) | (kind << np.uint64(1))
+            order = np.lexsort((number, place))
+            place, number = place[order], number[order]
+            fresh = np.ones(len(order) + 1, bool)
+            fresh[1:-1] = (place[1:] != place[:-1]) | (number[1:] != number[:-1])
+            first = np.flatnonzero(fresh[:-1])
+            number, place = number[first] | ~fresh[first + 1], place[first]
+            start = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else first
+            bounds = pa.array(np.append(start, len(place)) * 8, pa.int32())
+            blobs = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, bounds.buffers()[1], pa.py_buffer(number)])
+            yield pa.RecordBatch.from_arrays([pa.array(place[start]), blobs], ["place", "numbers"])
+
+    return run
+
+
+# Anchors by what their segments need: one of them only, all equal, some that differ, more than HOT that differ.
+_ONE, _EQUAL, _DIFFER, _MANY = range(4)
+
 
+def _add_up(hot: int):
+    """The anchors of some places by what they need: the low halves of their hashes, none for those that occur once, and
+    how many segments are to be sent for them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for place, numbers in zip(batch["place"].to_pylist(), batch["numbers"].to_pylist()):
+                blobs.setdefault(place, []).append(numbers)
+        for own in blobs.values():
+            number = np.sort(np.frombuffer(b"".join(own), np.uint64))
+            anchor = number >> np.uint64(32)
+            first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+            other = np.append(True, number[1:] >> np.uint64(1) != number[:-1] >> np.uint64(1))
+            kinds = np.add.reduceat(other.astype(np.int64), first)
+            sent = np.diff(np.append(first, len(number)))
+            again = (sent > 1) | (np.bitwise_or.reduceat(number & np.uint64(1), first) > 0)
+            need = np.where(again, np.where(kinds > 1, np.where(kinds > hot, _MANY, _DIFFER), _EQUAL), _ONE)
+            hashes = [anchor[first][need == n].astype(np.uint32) if n else np.empty(0, np.uint32) for n in range(4)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(range(4), pa.int32()),
+                    pa.array([h.tobytes() for h in hashes], pa.binary()),
+                    pa.array([int(sent[need == n].sum()) for n in range(4)], pa.int64()),
+                ],
+                ["need", "hashes", "sent"],
+            )
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for packed in batch["hashes"].to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(packed, np.uint32).astype(np.int64))], ["hash"])
+
+
+# The start of a range that says so.
+_LACKING = -1
 _SEGMENT = "key long, kind long, doc long, copy long, start long, runs long, text binary"
 
 
-def _segments(repeated, hot):
+def _segments(repeated, differing, hot):
     """Rows without a key are byte ranges found already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in batches_of(whole, "text", 2 * STEP_BYTES):
-                yield from made(part)
+        for part in _gathered(batches):
+            yield from made(part)
 
     def made(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offsets = text_bytes(part["text"])
         found = Segments(data, offsets)
         found.only(flagged(repeated.value, found.key))
-        found.split(flagged(hot.value, found.key))
+        split = flagged(hot.value, found.key)
+        told = flagged(differing.value, found.key)[~split]
+        found.split(split)
+        # Split ones come last and need no text: equal keys are equal runs.
+        told = np.append(told, np.zeros(len(found.key) - len(told), bool))
         row = np.searchsorted(offsets, found.start, "right") - 1
         doc, copy = (part[c].to_numpy()[row] for c in ("doc", "copy"))
         start = found.start - offsets[row]
         sent, later = _first_of_each(found.key, found.kind, doc, copy, start)
-        at = zip(found.start[sent].tolist(), (found.start + found.runs + LENGTH - 1)[sent].tolist())
-        columns = [c[sent] for c in (found.key.view(np.int64), found.kind.view(np.int64), doc, copy, start, found.runs)]
-        texts = pa.array([data[a:b].tobytes() for a, b in at], pa.binary())
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), texts], names)
+        for own, texts in ((sent[told[sent]], True), (sent[~told[sent]], False)):
+            columns = [c[own] for c in (found.key.view(np.int64), found.kind.view(np.int64), doc, copy, start, found.runs)]
+            at = zip(found.start[own].tolist(), (found.start + found.runs + LENGTH - 1)[own].tolist())
+            text = pa.array([data[a:b].tobytes() for a, b in at], pa.binary()) if texts else pa.nulls(len(own), pa.binary())
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), text], names)
         done = _spans(doc[later], copy[later], start[later], found.runs[later])
         none = pa.nulls(done.num_rows, pa.int64())
         # Spread like any segment; the end takes the place of the number of runs.
@@ -216,7 +312,8 @@ def _segments(repeated, hot):
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Byte ranges of the runs that start earlier elsewhere, for all segments of some anchors."""
+    """Byte ranges of the runs that start earlier elsewhere, for all segments of some anchors; a range from _LACKING on
+    if segments differ that came without their bytes."""
     held = []
     for batch in batches:
         known = np.asarray(batch["kind"].is_null())
@@ -236,6 +333,10 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     alone[1:] &= ~same
     alone[:-1] &= ~same
     kept = kept[~alone]
+    known = rows["text"].is_valid().to_numpy()[kept]
+    if not known.all():
+        yield _spans(*(np.array([n]) for n in (_NO_ID, 0, _LACKING, 0)))
+        kept = kept[known]
     texts = rows["text"].take(pa.array(kept)).combine_chunks()
     data, bounds = text_bytes(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts)
     data, bounds = data[bounds[0] : bounds[-1]], bounds - bounds[0]
@@ -258,24 +359,41 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc, copy, start, stop): byte ranges to remove, as they were found, they may overlap. Runs jobs."""
+    """(doc, copy, ranges) of the texts that have byte ranges to remove: structs of start and stop, as they were
+    found, they may overlap. Runs jobs."""
     spark, texts = docs.sparkSession, _texts(docs)
-    counted = texts.select("text").mapInArrow(_count_anchors, "hash long, n long")
-    repeated = checkpointed(counted.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1"))
-    hot = repeated.filter(F.col("n") > HOT)
-    rows, total = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    flags = [
-        spark.sparkContext.broadcast(bitmap_of(part.select("hash"), n))
-        for part, n in ((repeated, rows), (hot, hot.count()))
-    ]
-    # A segment has its runs' starts, 35 on the average, and the bytes of the last run.
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(partitions, int(total) * (LENGTH + _WINDOW // 2) // PARTITION_BYTES + 1)
-    return (
-        texts.mapInArrow(_segments(*flags), _SEGMENT)
-        .repartition(wanted, "key")
-        .mapInArrow(_repeats, "doc long, copy long, start long, stop long")
+    anchors = checkpointed(
+        texts.select("text")
+        .mapInArrow(_count_segments(partitions), "place int, numbers binary")
+        .repartitionById(partitions, "place")
+        .mapInArrow(_add_up(HOT), "need int, hashes binary, sent long")
     )
+    known = anchors.groupBy("need").agg((F.sum(F.octet_length("hashes")) / 4).cast("long"), F.sum("sent")).collect()
+    count, sent = ([{r[0]: r[i] for r in known}.get(n, 0) for n in range(4)] for i in (1, 2))
+
+    def flags(least: int):
+        hashes = anchors.filter(F.col("need") >= least).mapInArrow(_unpacked, "hash long")
+        return spark.sparkContext.broadcast(bitmap_of(hashes, sum(count[least:])))
+
+    repeated, some, many = map(flags, (_EQUAL, _DIFFER, _MANY))
+    # A segment has its runs' starts, 32 on the average, and the bytes of the last run.
+    text, runs = LENGTH + _WINDOW // 2, _WINDOW // 2
+    wrong = sent[_ONE] * sum(count) // (8 * len(repeated.value))
+    rows = min(wrong, sent[_ONE]) + sum(sent[_EQUAL:_MANY]) + runs * sent[_MANY]
+    wanted = max(partitions, (ROW_BYTES * rows + text * sent[_DIFFER]) // PARTITION_BYTES + 1)
+
+    def ranges(differ) -> DataFrame:
+        found = texts.mapInArrow(_segments(repeated, differ, many), _SEGMENT).repartition(wanted, "key")
+        spans = found.mapInArrow(_repeats, "doc long, copy long, start long, stop long")
+        return checkpointed(spans.groupBy("doc", "copy").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")))
+
+    lacking = F.exists("ranges", lambda r: r["start"] == _LACKING)
+    made = ranges(some)
+    if not made.filter(lacking).isEmpty():
+        # Different segments agreed in the bits that were counted, which hardly ever happens.
+        made = ranges(spark.sparkContext.broadcast(np.full(8, 255, np.uint8)))
+    return made.filter(~lacking)
 
 
 _DONE = "doc long, n_bytes long, removed array<struct<start: long, length: long>>, kept binary"
@@ -364,13 +482,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, removed, kept) of every document: the byte ranges that go, each as long as
     possible, as structs of start and length, and the bytes that stay. Runs jobs.
 
-    The ranges of a text, no more than it has bytes, are gathered and checkpointed, so the join with the texts is
+    The ranges of a text, no more than it has bytes, come gathered and checkpointed, so the join with the texts is
     between plain tables and AQE can split a text that many rows repeat. Texts without ranges need no
     join; a bitmap of at most BITS bits tells most of them.
     """
-    ranges = checkpointed(
-        repeated_ranges(docs).groupBy("doc", "copy").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    )
+    ranges = repeated_ranges(docs)
     texts = _texts(docs)
     hashes = ranges.select("doc", "copy").mapInArrow(_hash_rows, "hash long")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(hashes, ranges.count()))

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edges import corpus, frame
 
@@ -115,3 +116,48 @@ def test_merged_transforms_give_all_equal_runs(shard_bytes):
     for text, offset, block in zip(*repeated_runs(np.frombuffer(b"".join(texts), np.uint8), bounds, shard_bytes)):
         got[block].append((int(text), int(offset)))
     assert sorted(sorted(v) for v in got.values()) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def sent(spark, rows, partitions, monkeypatch):
+    """Rows and bytes of text that go to the merge."""
+
+    def counted(batches):
+        for i, batch in enumerate(batches):
+            size = sum(len(t or b"") for t in batch["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([n]) for n in (i, 0, batch.num_rows, size)], ["doc", "copy", "start", "stop"])
+
+    monkeypatch.setattr(repeats, "_repeats", counted)
+    monkeypatch.setattr(spark.conf, "get", lambda *a, get=spark.conf.get: "1" if a[0] == "spark.sql.shuffle.partitions" else get(*a))
+    found = repeats.repeated_ranges(frame(spark, rows, partitions)).selectExpr("sum(aggregate(ranges.start, 0L, (t, n) -> t + n))", "sum(aggregate(ranges.stop, 0L, (t, n) -> t + n))")
+    return found.first()
+
+
+def letters(seed, n):
+    made = random.Random(seed)
+    return "".join(made.choice("abcdefghijklmnop") for _ in range(n))
+
+
+def test_equal_segments_are_sent_without_their_bytes(spark, monkeypatch):
+    """Two copies of every document: no anchor has segments that differ."""
+    rows = [(i, letters(i % 100, 2000)) for i in range(200)]
+    count, size = sent(spark, rows, 4, monkeypatch)
+    assert 100 * 40 < count <= 2 * 100 * 80 and size == 0
+
+
+def test_equal_segments_do_not_make_an_anchor_hot(spark, monkeypatch):
+    """A batch sends one row of each of them, however often they occur, and a range for each copy: none is cut to its runs."""
+    monkeypatch.setattr(repeats, "HOT", 20)
+    count, size = sent(spark, [(i, letters(1, 2000)) for i in range(300)], 4, monkeypatch)
+    assert 300 + 40 < count <= 300 + 4 * 80 and size == 0
+
+
+def test_segments_that_agree_in_the_counted_bits(spark, monkeypatch):
+    rows = passages(6)
+    want = found(spark, rows)
+    monkeypatch.setattr(repeats, "KIND_BITS", 0)
+    assert found(spark, rows) == want == plain(rows)
+
+
+def test_bitmaps_grow_with_the_repeated_anchors(spark):
+    hashes = spark.range(1).withColumnRenamed("id", "hash")
+    assert 8 * len(repeats.bitmap_of(hashes, 10_000_000)) >= 160_000_000
