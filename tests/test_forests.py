@@ -109,3 +109,63 @@ def test_rows_are_sorted_once_a_feature(monkeypatch):
     monkeypatch.setattr(np, "lexsort", lambda *a, **k: sorts.append(1) or lexsort(*a, **k))
     forests.solved(x, y, np.arange(n), group, x[:groups], 10, 7)
     assert len(sorts) == 3
+
+
+def whole_answers(rows, questions, trees, seed):
+    return {
+        k: forests.solved(*(np.array([r[i] for r in own]) for i in (1, 2, 0)), np.zeros(len(own), int), np.array([questions[k]]), trees, seed)[0]
+        for k, own in rows.items()
+    }
+
+
+def test_the_size_of_a_key_does_not_change_its_answer(spark):
+    rows, questions = groups(5, [forests.SMALL + 400, 30])
+    questions["k0"][0] = 25.0  # between the scores 20 and 40, before their middle
+    assert found(spark, rows, questions, trees=8, seed=3) == whole_answers(rows, questions, 8, 3)
+
+
+@pytest.mark.parametrize("bins, opened, held", [(3, 1, 1 << 20), (8, 8, 0), (64, 2, 1 << 20)])
+def test_spread_rows_give_the_same_forest(spark, monkeypatch, bins, opened, held):
+    """Few bins, so that splits lie inside them; boxes broadcast and joined."""
+    for name, value in (("SMALL", 20), ("BINS", bins), ("OPENED", opened), ("BROADCAST_BYTES", held)):
+        monkeypatch.setattr(forests, name, value)
+    rows, questions = groups(6, [60, 150, 21, 5])
+    # Labels that no feature tells, a feature with one value, and equal rows with different labels.
+    rows["even"] = [(i, [float(i % 2), 1.0, float(i // 2 % 2), 0.0], float((i % 2) ^ (i // 2 % 2))) for i in range(64)]
+    questions["even"] = [0.5, 1.0, 0.2, 0.0]
+    rows["equal"] = [(i, [1.0, 2.0, 3.0, 0.0], float(i % 3)) for i in range(30)]
+    questions["equal"] = [1.0, 2.0, 3.0, 0.0]
+    got = found(spark, rows, questions, trees=6, seed=2)
+    assert got == whole_answers(rows, questions, 6, 2)
+    assert got == pytest.approx({k: plain_answer(own, questions[k], 6, 2) for k, own in rows.items()})
+
+
+def test_bounds_hold_inside_bins():
+    draw = np.random.default_rng(8)
+    for _ in range(200):
+        y, w = draw.integers(0, 8, 30).astype(float), draw.integers(1, 4, 30).astype(float)
+        a, b = sorted(draw.choice(31, 2, replace=False))
+        lefts = [(w[:i].sum(), (w * y)[:i].sum()) for i in range(31)]
+        all_w, all_t = lefts[-1]
+        best = max(t * t / v + (all_t - t) ** 2 / (all_w - v) for v, t in lefts[max(a, 1) : min(b, 29) + 1]) if b > 1 and a < 29 else 0
+        one = [np.array([c]) for c in (*lefts[a], lefts[b][0] - lefts[a][0], lefts[b][1] - lefts[a][1], y[a:b].min(), y[a:b].max(), all_w, all_t)]
+        assert forests._bounds(*one)[0] >= best * (1 - 1e-12)
+
+
+def test_rows_of_a_key_stay_together_whatever_join_is_chosen(spark):
+    """A join planned by shuffles that is found small enough to broadcast reads the rows where they lie."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "4KB"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows, questions = groups(7, [300, 40, 200, 90])
+        flat, asked = tables(spark, rows, questions)
+        found = forests.answers(flat.localCheckpoint(), asked.dropDuplicates(["key"]), 6, 2)
+        got = found.collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "REPARTITION_BY_NUM" in plan.split("BroadcastHashJoin")[0]
+    assert sorted(map(tuple, got)) == sorted(whole_answers(rows, questions, 6, 2).items())

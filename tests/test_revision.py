@@ -134,3 +134,11 @@ def test_a_hot_target_gives_the_forest_of_its_rows(spark, monkeypatch):
     spread = by_target(R.revision_interval_model(numbered, trees=12))
     assert small[2, "Art", "Hard"] == spread[2, "Art", "Hard"]
     assert abs(small[1, "Art", "Easy"].base_interval - spread[1, "Art", "Easy"].base_interval) < 1.5
+
+
+def test_the_interval_of_a_hot_target_does_not_depend_on_its_size(spark, monkeypatch):
+    rows = [(1, "Art", "Easy", (7 * i * i) % 6) for i in range(90)] + [(2, "Art", "Hard", 2)] * 3
+    numbered = attempt_numbering(log(spark, rows))
+    small = by_target(R.revision_interval_model(numbered, trees=12))
+    monkeypatch.setattr(R.forests, "SMALL", 20)
+    assert by_target(R.revision_interval_model(numbered, trees=12)) == small
